@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import terms, textform
+from . import markup, terms, textform
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,6 +14,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(forms, "text", "left_semi").select("record_kind", "record_id").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.marked_elements(markup.document_blocks(table(spark, d, "documents")))
+    return found.where("element = 'document' OR element_text <> ''").select(F.col("id").cast("bigint").alias("doc_id"), "element", "element_text").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     scored = terms.term_divergence(terms.sentence_terms(table(spark, d, "sentences")), "document_id")
     return scored.where((F.col("tf") >= 3) & (F.col("df") <= 3) & terms.is_word(F.col("term")) & (F.col("score") > 0)).select("document_id", "term")
@@ -25,7 +30,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
