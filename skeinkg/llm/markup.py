@@ -510,12 +510,36 @@ def _tex(text: str) -> list[tuple[str, str]]:
     return out
 
 
+_ENDED = re.compile(r"[.!?。！？।؟…:：,，、—][\"'”’»›」』）)\]]*\s*$")
+_SENTENCES = re.compile(r"[^\W\d_]{3}[.!?。！？।؟][\"'”’»›」』）)\]]*(?:\s*\S|\s*$)")
+_APART = re.compile(r"\s*(?:[•‣·▪*+➤►–—-]|\(?\w{1,4}[.):]\s|No\b)|.*(?:\t|  |[|¦]|;.*;)")
+
+
+def _plain(text: str) -> list[tuple[str, str]]:
+    """The lines of a text without markup; up to three lines of a paragraph that break off are read as one with the line that ends their sentence."""
+    out: list[tuple[str, str]] = []
+    for paragraph in re.split(r"\n\s*\n", text):
+        held: list[str] = []
+        lines = [x for x in paragraph.split("\n") if x.strip()]
+        if len(lines) > 1 and _ENDED.search(lines[-1]) and 3 * sum(1 for x in lines if _SENTENCES.search(x)) >= len(lines) and not any(_APART.match(x) for x in lines[1:]):
+            out.append(("text", " ".join(lines)))
+            continue
+        for line in lines:
+            held.append(line)
+            if _ENDED.search(line) or _APART.match(line):
+                wrapped = len(held) <= 4 and _ENDED.search(line) and not any(_APART.match(x) for x in held[1:])
+                out += [("text", " ".join(held))] if wrapped else [("text", x) for x in held]
+                held = []
+        out += [("text", x) for x in held]
+    return out
+
+
 def blocks(text: str | None, fmt: str | None, path: str = "") -> list[tuple[str, str]]:
     """The blocks of a text in format ``fmt``; plain text has its lines as they are."""
     if not text:
         return []
     if fmt is None:
-        return [("text", line) for line in text.split("\n") if line.strip()]
+        return _plain(text)
     found = _html(text, path) if fmt == "html" else {"md": _md, "wiki": _wiki, "tex": _tex}[fmt](text)
     return [(k, t) for k, t in found if t.strip()]
 

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import markup, terms, textform
+from ..functions.lineage import checkpointed
+from . import markup, quality, terms, textform
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,8 +30,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_terms(fields).where("mark IS NOT NULL").select("field", "term", "mark")
 
 
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    features = checkpointed(quality.document_features(markup.document_blocks(table(spark, d, "documents")), table(spark, d, "common_words")))
+    rules = quality.induced_rules(quality.labelled_features(features, table(spark, d, "doc_labels")))
+    return quality.document_kinds(features, rules).withColumn("doc_id", F.col("id").cast("bigint")).drop("id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_statistics(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
