@@ -512,7 +512,7 @@ def _tex(text: str) -> list[tuple[str, str]]:
 
 _ENDED = re.compile(r"[.!?。！？।؟…:：,，、—][\"'”’»›」』）)\]]*\s*$")
 _SENTENCES = re.compile(r"[^\W\d_]{3}[.!?。！？।؟][\"'”’»›」』）)\]]*(?:\s*\S|\s*$)")
-_APART = re.compile(r"\s*(?:[•‣·▪*+➤►–—-]|\(?\w{1,4}[.):]\s|No\b)|.*(?:\t|  |[|¦]|;.*;)")
+_APART = re.compile(r"\s*(?:[•‣·▪*+➤►–—-]|\(?(?:\d{1,3}|[a-z])[.)]\s|No\.?\s?\d+:)|.*(?:\t|  |[|¦]|;.*;)")
 
 
 def _plain(text: str) -> list[tuple[str, str]]:

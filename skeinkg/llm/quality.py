@@ -30,6 +30,7 @@ WORDS = r"\p{IsHan}|[\p{IsHiragana}\p{IsKatakana}ー]+|[\p{L}\p{M}\p{N}&&[^\p{Is
 MARKER = r"^\s*(?:[•‣·▪◦●○■∙*+➤►-]\s*|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]\s+|No\.?\s*\d+\s*:|[#№]\s?\d+|\d{3,4}\s*[:：]|\[\d+\])"
 INDEX = r"^[^,;]{2,60},\s*\d{1,4}(?:,\s*\d{1,4}(?:\s?[–-]\s?\d{1,4})?){1,8}$"
 HEX = r"^\s*(?:[0-9a-fA-F]{4,8}[:\s]\s*)?[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}(?:\s|$)"
+MISREAD = r"[\u00c2-\u00f4][\u0080-\u00bf\u2018-\u203a\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\ufffd]|\ufffd"
 CODED = r"(?<![\w/])(?=[A-Za-z+/]*\d)[A-Za-z0-9+/]{32,}={0,2}"
 CRAMPED = r"(?i)^[bcdfghjklmnpqrstvwxz]{4,}$|[bcdfghjklmnpqrstvwxz]{5,}|^q[^u]|[jqvwx]{2}|[bcdfghjklmnpqrstvwxz]{2,}[jqx]|[jqx][bcdfghjklmnpqrstvwxz]{2,}"
 
@@ -61,6 +62,8 @@ def document_features(found: DataFrame, common_words: DataFrame | None = None) -
     junk = text & (
         line.rlike(HEX) & (F.regexp_replace(line, r"[0-9a-fA-F:\s]", "") == "") | line.rlike(CODED) | menu | (F.col("symbols") > 0.6 * n) & (n > 3)
         | (F.col("latin") >= 3) & (F.col("odd") > 0.3 * F.size("words")) & ~F.col("ends")
+        | (F.regexp_count("line", F.lit(MISREAD)) > 0.15 * n)
+        | (F.col("tokens") >= 10) & ((F.size(F.array_distinct("words")) <= 0.2 * F.size("words")) | (F.size(F.filter(tokens, lambda t: t.rlike(r"^[^\p{L}\p{N}\p{M}]{1,3}$"))) > 0.12 * F.col("tokens")) & ~F.col("ends"))
         | (F.col("tokens") >= 5) & (F.col("torn") > 0.3 * n)
     )
     index = (size <= 300) & line.rlike(INDEX)
