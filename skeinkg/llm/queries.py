@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..functions.lineage import checkpointed
-from . import markup, quality, terms, textform
+from . import markup, quality, sentences, terms, textform
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_terms(fields).where("mark IS NOT NULL").select("field", "term", "mark")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "sentences")
+    model = sentences.trained_model(sentences.sampled_texts(records))
+    documents = table(spark, d, "documents").where("stage = 'cleaned'").select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_id"), "text")
+    rows = records.where("sentence_id IS NOT NULL").select(F.lit("sentence").alias("record_kind"), F.col("sentence_id").alias("record_id"), "text")
+    return sentences.segmented(documents, model).unionByName(sentences.segmented(rows, model, least=2).distinct())
+
+
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     features = checkpointed(quality.document_features(markup.document_blocks(table(spark, d, "documents")), table(spark, d, "common_words")))
     rules = quality.induced_rules(quality.labelled_features(features, table(spark, d, "doc_labels")))
@@ -41,7 +49,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
