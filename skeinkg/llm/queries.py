@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..functions.lineage import checkpointed
-from . import markup, quality, sentences, terms, textform
+from . import markup, mixing, packing, quality, sentences, terms, textform, tokens, variants
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.segmented(documents, model).unionByName(sentences.segmented(rows, model, least=2).distinct())
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.variant_links(table(spark, d, "mentions"), table(spark, d, "entities"), table(spark, d, "nicknames"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "pack_sizes").select("pack_name", "capacity").limit(100).collect()
+    return packing.packed(table(spark, d, "documents"), [(r["pack_name"], r["capacity"]) for r in sizes])
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(p8_containers(spark, d))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = checkpointed(tokens.with_sizes(table(spark, d, "documents"), ["doc_id", "source"]))
+    return mixing.mixture(sizes, table(spark, d, "mix_targets"))
+
+
+def p9_curriculum(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.in_training_order(_mixture(spark, d)[1])
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.actual_shares(*_mixture(spark, d))
+
+
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     features = checkpointed(quality.document_features(markup.document_blocks(table(spark, d, "documents")), table(spark, d, "common_words")))
     rules = quality.induced_rules(quality.labelled_features(features, table(spark, d, "doc_labels")))
@@ -49,7 +75,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_curriculum": p9_curriculum, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
