@@ -26,6 +26,8 @@ SHARD = 2_000_000
 #: Neighbours that are looked at for one container, at most; what they leave is filled by size.
 NEIGHBOURS = 256
 K1, B = 1.2, 0.75
+#: Terms in more than this share of a shard's texts tell too little apart to be asked for.
+COMMON = 0.1
 OUT = "pack_name string, container string, slot int, doc_id bigint, start_token bigint, end_token bigint, capacity int"
 
 
@@ -47,15 +49,21 @@ class Index:
         norm = K1 * (1 - B + B * lengths / lengths.mean()) if n else lengths
         t = tf[order]
         self.weights = np.repeat(idf, df) * t * (K1 + 1) / (t + norm[self.rows])
-        self.own = [u for u, _ in found]
+        asked = np.flatnonzero(df <= max(2.0, COMMON * n))
+        at = [np.searchsorted(self.terms, u) for u, _ in found]
+        telling = np.zeros(len(self.terms), dtype=bool)
+        telling[asked] = True
+        self.own = [x[telling[x]] for x in at]
 
     def neighbours(self, i: int, unused: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
         """Unused rows by falling score for the terms of row ``i``."""
-        at = np.searchsorted(self.terms, self.own[i])
-        scores = np.zeros(self.n)
-        for k in at:
-            a, b = self.starts[k], self.starts[k + 1]
-            scores[self.rows[a:b]] += self.weights[a:b]
+        starts = self.starts[self.own[i]]
+        lengths = self.starts[self.own[i] + 1] - starts
+        total = int(lengths.sum())
+        if not total:
+            return np.array([], dtype=np.int64)
+        at = np.arange(total) + np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
+        scores = np.bincount(self.rows[at], self.weights[at], self.n)
         scores[~unused] = 0
         k = min(most, np.count_nonzero(scores))
         top = np.argpartition(-scores, k - 1)[:k] if k else np.array([], dtype=np.int64)
