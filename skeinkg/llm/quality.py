@@ -26,12 +26,15 @@ FEWEST = 6
 KINDS = ("list", "table", "junk")
 
 ENDS = r"[.!?。！？।؟…‽][\"'”’»›」』）)\]]*\s*$"
-WORDS = r"\p{IsHan}|[\p{IsHiragana}\p{IsKatakana}ー]+|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+"
+HAN, KANA = r"\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}", r"\x{3040}-\x{30ff}\x{ff66}-\x{ff9d}"
+WORDS = rf"[{HAN}]|[{KANA}]+|[\p{{L}}\p{{M}}\p{{N}}&&[^{HAN}{KANA}]]+"
 MARKER = r"^\s*(?:[•‣·▪◦●○■∙*+➤►-]\s*|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]\s+|No\.?\s*\d+\s*:|[#№]\s?\d+|\d{3,4}\s*[:：]|\[\d+\])"
 INDEX = r"^[^,;]{2,60},\s*\d{1,4}(?:,\s*\d{1,4}(?:\s?[–-]\s?\d{1,4})?){1,8}$"
 HEX = r"^\s*(?:[0-9a-fA-F]{4,8}[:\s]\s*)?[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}(?:\s|$)"
 MISREAD = r"[\u00c2-\u00f4][\u0080-\u00bf\u2018-\u203a\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\ufffd]|\ufffd"
-CODED = r"(?<![\w/])(?=[A-Za-z+/]*\d)[A-Za-z0-9+/]{32,}={0,2}"
+CODED = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}"
+SPACES = r"[\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+THRICE = r"(?<!\S)(\S{1,30}) \1 \1(?!\S)"
 CRAMPED = r"(?i)^[bcdfghjklmnpqrstvwxz]{4,}$|[bcdfghjklmnpqrstvwxz]{5,}|^q[^u]|[jqvwx]{2}|[bcdfghjklmnpqrstvwxz]{2,}[jqx]|[jqx][bcdfghjklmnpqrstvwxz]{2,}"
 
 
@@ -39,7 +42,7 @@ def _lines(found: DataFrame) -> DataFrame:
     """One row for each line of visible text. Formulas are counted where they stand in the text."""
     b = found.select("id", F.posexplode(F.filter("blocks", lambda x: x.kind != "formula")).alias("no", "b"))
     lines = b.select("id", F.col("b.kind").alias("kind"), F.explode(F.when(F.col("b.kind") == "text", F.split("b.text", "\n")).otherwise(F.array("b.text"))).alias("line"))
-    return lines.withColumn("n", F.length(F.regexp_replace("line", r"(?U)\s+", ""))).where("n > 0")
+    return lines.withColumn("n", F.length(F.replace("line", F.lit(" "), F.lit(""))) - F.regexp_count("line", F.lit(SPACES))).where("n > 0")
 
 
 def document_features(found: DataFrame, common_words: DataFrame | None = None) -> DataFrame:
@@ -49,38 +52,59 @@ def document_features(found: DataFrame, common_words: DataFrame | None = None) -
     words = F.regexp_extract_all("line", F.lit(f"({WORDS})"), F.lit(1))
     d = _lines(found).withColumn("words", words)
     n = F.col("n")
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}\p{M}]", ""))
+    count = lambda pattern: F.regexp_count("line", F.lit(pattern))
+    d = d.withColumns({"ends": F.right(F.rtrim(line), F.lit(12)).rlike(ENDS), "symbols": count(r"[^\p{L}\p{M}\p{N}\s]"), "numbers": count(r"\p{N}")})
+    # what follows is looked at only where cheaper signs leave it open
+    open_ = ~F.col("ends") | (F.col("symbols") + F.col("numbers") > 0.12 * n)
     tokens = F.filter(F.split(line, r"(?U)\s+"), lambda t: t != "")
-    d = d.withColumns({"letters": letters, "ends": line.rlike(ENDS), "symbols": F.length(F.regexp_replace(line, r"[\p{L}\p{M}\p{N}\s]", "")), "odd": F.size(F.filter("words", lambda w: w.rlike(CRAMPED)))})
-    latin = F.size(F.filter("words", lambda w: w.rlike(r"^[A-Za-z]{3,}$")))
-    d = d.withColumns({"latin": latin, "torn": F.aggregate(F.filter(tokens, lambda t: t.rlike(r"[a-zA-Z][;:|'!,]+[a-zA-Z]*[;:|'!,]|[a-zA-Z][;:|!,][a-zA-Z]|^[;:|'!^+=&%@,]+[a-zA-Z0-9]{0,2}$|^[;:|'!,][a-zA-Z0-9]|[a-z][A-Z0-9][a-zA-Z]|[a-zA-Z0-9][|]+$|^[01lIO]$")), F.lit(0), lambda x, t: x + F.length(t)), "tokens": F.size(tokens)})
+    d = d.withColumns({"letters": F.greatest(n - F.col("symbols") - F.col("numbers"), F.lit(0)), "tokens": F.when(open_, tokens)})
+    torn = r"[a-zA-Z][;:|'!,]+[a-zA-Z]*[;:|'!,]|[a-zA-Z][;:|!,][a-zA-Z]|^[;:|'!^+=&%@,]+[a-zA-Z0-9]{0,2}$|^[;:|'!,][a-zA-Z0-9]|[a-z][A-Z0-9][a-zA-Z]|[a-zA-Z0-9][|]+$|^[01lIO]$"
+    summed = lambda c, keep: F.aggregate(F.filter(c, keep), F.lit(0), lambda x, t: x + F.length(t))
+    d = d.withColumns({
+        "torn": F.coalesce(F.when(F.size("tokens") >= 5, summed("tokens", lambda t: t.rlike(torn))), F.lit(0)),
+        "odd": F.when(~F.col("ends"), F.size(F.filter("words", lambda w: w.rlike(CRAMPED)))).otherwise(0),
+        "latin": F.when(~F.col("ends"), F.size(F.filter("words", lambda w: w.rlike(r"^[A-Za-z]{3,}$")))).otherwise(0),
+    })
     text = F.col("kind") == "text"
     size = F.length(line)
     small = lambda parts, most: F.forall(parts, lambda c: (F.length(F.trim(c)) <= most) & ~c.rlike(r"[.!?]\s+\S|[。！？]\s*\S"))
     by_bar, by_comma = F.split(line, r"\s[|¦›»·]\s"), F.split(line, r"[,;]")
-    menu = (F.size(by_bar) >= 3) & small(by_bar, 20) & ~line.rlike(r"\d")
+    barred = line.contains("|") | line.contains("¦")
+    menu = (barred | line.rlike("[›»·]")) & ~line.rlike(r"\d") & (F.size(by_bar) >= 3) & small(by_bar, 20)
+    words, tokens = F.col("words"), F.col("tokens")
     junk = text & (
-        line.rlike(HEX) & (F.regexp_replace(line, r"[0-9a-fA-F:\s]", "") == "") | line.rlike(CODED) | menu | (F.col("symbols") > 0.6 * n) & (n > 3)
-        | (F.col("latin") >= 3) & (F.col("odd") > 0.3 * F.size("words")) & ~F.col("ends")
-        | (F.regexp_count("line", F.lit(MISREAD)) > 0.15 * n)
-        | (F.col("tokens") >= 10) & ((F.size(F.array_distinct("words")) <= 0.2 * F.size("words")) | (F.size(F.filter(tokens, lambda t: t.rlike(r"^[^\p{L}\p{N}\p{M}]{1,3}$"))) > 0.12 * F.col("tokens")) & ~F.col("ends"))
-        | (F.col("tokens") >= 5) & (F.col("torn") > 0.3 * n)
+        (F.col("symbols") > 0.6 * n) & (n > 3)
+        | line.rlike(HEX) & (F.regexp_replace(line, r"[0-9a-fA-F:\s]", "") == "")
+        | (size >= 32) & (F.col("numbers") > 0) & line.rlike(CODED)
+        | menu
+        | ~F.col("ends") & (F.col("latin") >= 3) & (F.col("odd") > 0.3 * F.size(words))
+        | (F.col("torn") > 0.3 * n)
+        | line.rlike(r"[\x{c2}-\x{f4}\x{fffd}]") & (count(MISREAD) > 0.15 * n)
+        | (F.size(words) >= 10) & line.rlike(THRICE) & (F.size(F.array_distinct(words)) <= 0.2 * F.size(words))
+        | ~F.col("ends") & (F.size(tokens) >= 10) & (F.size(F.filter(tokens, lambda t: t.rlike(r"^[^\p{L}\p{N}\p{M}]{1,3}$"))) > 0.12 * F.size(tokens))
     )
-    index = (size <= 300) & line.rlike(INDEX)
+    # each sign is a column of its own, so that none is computed twice
+    d = d.withColumn("is_junk", junk)
+    open_line = text & ~F.col("is_junk")
+    commas = ~F.col("ends") & (size <= 500) & (line.contains(",") | line.contains(";"))
+    d = d.withColumns({"is_index": open_line & (size <= 300) & line.contains(",") & line.rlike(INDEX), "cells": F.when(open_line & commas, by_comma)})
     value = r"^\s*(?:-?\d+(?:\.\d+)?|[A-Z]-?\d+(?:/\d+)?|n/a|-)?\s*$"
-    values = F.size(F.filter(by_comma, lambda c: c.rlike(value)))
-    separated = (F.size(by_comma) >= 3) & ((F.size(by_comma) - values <= 1) | (values == 0) & ~line.rlike(r"[,;]\s")) | (F.size(by_comma) == 2) & (values == 1) & ~line.rlike(r"[,;]\s")
-    keyed = line.rlike(r"^[^:：;]{1,40}:") & line.contains(";") & (values >= F.size(by_comma) - 1)
-    table = text & ~junk & ~index & (line.contains("\t") | (F.size(F.split(line, r"[|¦]")) >= 3) | ~F.col("ends") & (size <= 500) & ((F.size(F.split(F.trim(line), " {2,}")) >= 2) | separated & small(by_comma, 40) | keyed & small(by_comma, 60)))
-    short = n <= 70
+    d = d.withColumn("values", F.when(F.col("cells").isNotNull(), F.size(F.filter("cells", lambda c: c.rlike(value)))).otherwise(-1))
+    cells, k, values = F.col("cells"), F.size("cells"), F.col("values")
+    tight = ~line.rlike(r"[,;]\s")
+    separated = (k >= 3) & ((k - values <= 1) | (values == 0) & tight) | (k == 2) & (values == 1) & tight
+    keyed = line.contains(";") & line.rlike(r"^[^:：;]{1,40}:") & (values >= k - 1)
+    comma_row = cells.isNotNull() & F.coalesce(separated & small(cells, 40) | keyed & small(cells, 60), F.lit(False))
+    spaced = ~F.col("ends") & (size <= 500) & line.contains("  ") & (F.size(F.split(F.trim(line), " {2,}")) >= 2)
+    d = d.withColumn("is_row", open_line & ~F.col("is_index") & (line.contains("\t") | barred & (F.size(F.split(line, r"[|¦]")) >= 3) | spaced | comma_row))
     marked = line.rlike(MARKER) & (~F.col("ends") | (n <= 40))
-    entry = text & ~junk & ~table & (index | short & (marked | ~F.col("ends") & ~line.rlike(r"[,，、—:：]\s*$")))
-    d = d.withColumns({"is_junk": junk, "is_table": table | (F.col("kind") == "row"), "is_entry": entry})
+    entry = open_line & ~F.col("is_row") & (F.col("is_index") | (n <= 70) & (marked | ~F.col("ends") & ~line.rlike(r"[,，、—:：]\s*$")))
+    d = d.withColumns({"is_table": F.col("is_row") | (F.col("kind") == "row"), "is_entry": entry})
     of = lambda what: F.sum(F.when(what, n).otherwise(0))
     in_common = F.size(F.filter("words", lambda w: F.lower(w).isin(common))) if common else F.lit(0)
     a = d.groupBy("id").agg(
         F.sum("n").alias("visible"), F.count("*").alias("lines"), F.sum(F.size("words")).alias("words"),
-        F.sum(F.aggregate("words", F.lit(0), lambda x, w: x + F.length(w))).alias("word_chars"), F.sum("symbols").alias("symbols"), F.sum(in_common).alias("common"), F.sum(F.col("ends").cast("int")).alias("ended"),
+        F.sum(F.length(F.array_join("words", ""))).alias("word_chars"), F.sum("symbols").alias("symbols"), F.sum(in_common).alias("common"), F.sum(F.col("ends").cast("int")).alias("ended"),
         F.sum("letters").alias("letters"), of(F.col("is_junk")).alias("junk"), of(F.col("is_table")).alias("table"), of(F.col("kind") == "list_item").alias("items"),
         of(F.col("is_entry")).alias("entries"), F.sum((F.col("is_entry")).cast("int")).alias("entry_lines"),
     )
