@@ -85,6 +85,8 @@ def tables() -> tuple[list[tuple], dict[str, str], str]:
             to = "\n"
         elif deco.startswith(STYLES) and (cat[0] == "L" or cat in ("Nd", "Nl") or 0x2E80 <= cp <= 0x2FDF):
             to = U.normalize("NFKC", ch)
+        elif any(U.decomposition(c).startswith(STYLES) and U.category(c)[0] == "L" for c in U.normalize("NFD", ch)[:1]):
+            to = U.normalize("NFKC", ch)
         parts = [(c, U.combining(c), c in seconds, _script(c)) for c in U.normalize("NFD", to)]
         if U.normalize("NFC", to) != ch or U.combining(ch):
             dirty.append(cp)
