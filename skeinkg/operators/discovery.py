@@ -97,7 +97,7 @@ def extended(entities: DataFrame, new: DataFrame) -> DataFrame:
 def fragment_clusters(mentions: DataFrame, sentences: DataFrame, entities: DataFrame, threshold: float = 0.75, prefix: str = "discovered_", width: int = 40, longest: int = 2) -> DataFrame:
     """(fragment, canonical, similarity): a discovered entity with a name of at most ``longest`` characters is merged into the entity whose longer name holds it and whose contexts are most alike: the product of the mean unit TF-IDF vectors (grams of 2 and 3 characters), which equals the mean pairwise cosine. Both need two contexts."""
     known = entities.select(F.col("id").alias("linked_entity_id"), "name")
-    m = mentions.where("linked_entity_id IS NOT NULL").join(small_or_shuffled(known), "linked_entity_id").join(sentences.select("sentence_id", F.col("text").alias("_t")), "sentence_id")
+    m = mentions.where("linked_entity_id IS NOT NULL").select("mention_id", "sentence_id", "start", "end", "linked_entity_id").join(small_or_shuffled(known), "linked_entity_id").join(sentences.select("sentence_id", F.col("text").alias("_t")), "sentence_id")
     a = F.greatest(F.col("start") - width, F.lit(0))
     ctx = m.select(F.col("linked_entity_id").alias("e"), "mention_id", F.substring("_t", a + 1, F.col("end") + width - a).alias("c"))
     short = entities.where(F.col("id").startswith(prefix) & (F.length("name") <= longest) & (F.length("name") > 0)).select(F.col("id").alias("fragment"), F.col("name").alias("part"))

@@ -30,13 +30,16 @@ def alias_candidates(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return exact.unionByName(near).groupBy("key", "entity_id").agg(F.max("alias_score").alias("alias_score"), F.min("place").alias("place"))
 
 
-def context_scores(sentences: DataFrame, entities: DataFrame, profile_tokens) -> DataFrame:
-    """(sentence_id, entity_id, context_score): cosine of a sentence's tokens and the entity's profile (names and description), on the profiles' vocabulary. ``profile_tokens`` turns text into an array of tokens."""
+def context_scores(pairs: DataFrame, sentences: DataFrame, entities: DataFrame, profile_tokens) -> DataFrame:
+    """(sentence_id, entity_id, context_score) of the given pairs: cosine of a sentence's tokens and the entity's profile (names and description), on the profiles' vocabulary. ``profile_tokens`` turns text into an array of tokens."""
     text = F.array_join(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")), F.array(F.coalesce("description", F.lit("")))), " ")
     profiles = entities.select(F.col("id"), F.explode(profile_tokens(text)).alias("term"))
     fit, vocabulary = tfidf.fitted(profiles.select("id", F.lower("term").alias("term")))
     words = sentences.select(F.col("sentence_id").alias("id"), F.explode("tokens").alias("t")).select("id", F.lower("t.text").alias("term"))
-    return tfidf.cosines(tfidf.weights(tfidf.counts(words), vocabulary), fit).select(F.col("id").alias("sentence_id"), F.col("other").alias("entity_id"), F.col("cosine").alias("context_score"))
+    w = tfidf.weights(tfidf.counts(words), vocabulary).select(F.col("id").alias("sentence_id"), "term", "weight")
+    profile = small_or_shuffled(fit.select(F.col("id").alias("entity_id"), "term", F.col("weight").alias("_w")))
+    both = pairs.select("sentence_id", "entity_id").distinct().join(w, "sentence_id").join(profile, ["entity_id", "term"])
+    return both.groupBy("sentence_id", "entity_id").agg(F.sum(F.col("weight") * F.col("_w")).alias("context_score"))
 
 
 def type_score(mention_type, entity_type, parents: dict[str, list[str]] | None = None):
@@ -52,7 +55,8 @@ def scored_candidates(mentions: DataFrame, sentences: DataFrame, entities: DataF
     keyed = mentions.select("mention_id", "sentence_id", "entity_type", F.lower(stripped(F.col("text"))).alias("key")).where("key <> ''")
     candidates = checkpointed(alias_candidates(keyed.select("key").distinct(), checkpointed(alias_index(entities))))
     types = small_or_shuffled(entities.select(F.col("id").alias("entity_id"), F.col("entity_type").alias("kind")))
-    c = keyed.join(small_or_shuffled(candidates), "key").join(types, "entity_id").join(context_scores(sentences, entities, profile_tokens), ["sentence_id", "entity_id"], "left")
+    c = keyed.join(small_or_shuffled(candidates), "key").join(types, "entity_id")
+    c = c.join(context_scores(c, sentences, entities, profile_tokens), ["sentence_id", "entity_id"], "left")
     ctx = F.least(F.coalesce("context_score", F.lit(0.0)), F.lit(1.0))
     kind = type_score(F.col("entity_type"), F.col("kind"), parents)
     c = c.select("mention_id", "entity_id", "alias_score", ctx.alias("context_score"), kind.alias("type_score"), "place")
