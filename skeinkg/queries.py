@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.lineage import checkpointed
-from .operators import discovery, graph, hmm, linking, metrics, nested, reasoning, relations, spans, store, tfidf
+from .operators import discovery, graph, hmm, linking, maxent, metrics, nested, reasoning, relations, spans, store, tfidf
 from .operators.reasoning import Rule
 from .sources import domain
 from .sources.tables import table
@@ -414,6 +414,16 @@ def hmm_viterbi(spark, d):
     return spans.bio_spans(tagged)
 
 
+@query
+def maxent_report(spark, d):
+    s, labels = domain.sentences(spark, d), checkpointed(_labels(spark, d))
+    fit = maxent.fitted(s, labels)
+    if fit is None:
+        return maxent.report(labels.limit(0).select("label", F.col("label").alias("predicted")))
+    held = labels.where(F.pmod(F.xxhash64("sentence_id"), F.lit(5)) == 0)
+    return maxent.report(held.join(maxent.tagged(s, *fit), ["sentence_id", "token_index"]).select("label", "predicted"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.p2_found(spark, d)
 

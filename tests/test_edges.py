@@ -39,7 +39,7 @@ def test_edges(spark, folders, name):
     run = queries.queries()[name]
     assert run(spark, f"{folders}/nulls").count() >= 0
     got = run(spark, f"{folders}/empty").collect()
-    assert got == [] or name in ("component_ratio", "projection_stats", "pipeline_metrics", "boundary_metrics", "confidence_histogram", "center_component")
+    assert got == [] or name in ("component_ratio", "projection_stats", "pipeline_metrics", "boundary_metrics", "confidence_histogram", "center_component", "maxent_report")
 
 
 def test_every_sql_has_its_query():
