@@ -31,6 +31,8 @@ OTHER, OTHER_LATIN = "іѕјһԁԛԝІЅЈԌԚԜοναιρυκΑΒΕΖΗΙΚΜΝ
 RADICALS = "⺁厂⺈刀⺊卜⺋㔾⺌小⺎兀⺏尢⺐尣⺒巳⺓幺⺔彑⺖忄⺗心⺘扌⺙攵⺛旡⺝月⺞歺⺟母⺠民⺡氵⺢氺⺣灬⺥爫⺧牛⺨犭⺪疋⺬示⺭礻⺮竹⺯糹⺱罓⺲罒⺳网⺶羊⺷羊⺸羋⺹耂⺻聿⺼肉⺾艹⺿艹⻀艹⻁虎⻂衤⻃覀⻄西⻅见⻆角⻇角⻈讠⻉贝⻊足⻋车⻌辶⻍辶⻎辶⻏阝⻐钅⻑長⻒镸⻓长⻔门⻕阝⻖阝⻗雨⻘青⻙韦⻚页⻛风⻜飞⻝食⻟飠⻠饣⻡首⻢马⻣骨⻤鬼⻥鱼⻦鸟⻧卤⻨麦⻩黄⻪黾⻫斉⻬齐⻭歯⻮齿⻯竜⻰龙⻱亀⻲龟"
 # Letters of one script that look alike in some of their forms.
 SAME_SCRIPT = {"ی": "ي", "ى‍": "ى", "ک": "ك", "ہ": "ه", "ھ": "ه"}
+# Russian words of one letter, and the Latin letters they look like.
+LONE, LONE_LATIN = "асоуАВСКОУ", "acoyABCKOY"
 DOTS = "•‧・∙⋅･᛫‣●․ꞏ・ᐧ"
 VISIBLE_FORMATS = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 FILLERS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x2800, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
@@ -121,7 +123,12 @@ def calls_for_work(text: Column) -> Column:
     latin, cyrillic = r"[\p{IsLatin}]", r"[\p{IsCyrillic}]"
     mixed = f"{latin}{cyrillic}|{cyrillic}{latin}"
     alone, own = f"[{CYRILLIC}]", f"[\\p{{IsCyrillic}}&&[^{CYRILLIC}]]"
-    return text.rlike(r"[^\x00-\x7F]") & ((text.rlike(_safe()) & text.rlike(tables()[2])) | (text.rlike(alone) & (text.rlike(mixed) | ~text.rlike(own))) | (text.rlike(r"[\u0400-\u04FF]") & text.rlike(mixed)))
+    return text.rlike(r"[^\x00-\x7F]") & ((text.rlike(_safe()) & text.rlike(tables()[2])) | (text.rlike(alone) & (text.rlike(mixed) | ~text.rlike(own))) | (text.rlike(r"[\u0400-\u04FF]") & (text.rlike(mixed) | text.rlike(_lone(LONE_LATIN)))))
+
+
+def _lone(letters: str) -> str:
+    """One Latin letter as a word of its own before a Cyrillic word, and not behind a Latin one (where it is a name's initial)."""
+    return rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?<![\p{{IsLatin}}\p{{N}}]\s)[{letters}](?= [\p{{IsCyrillic}}])"
 
 
 def _frame(spark: SparkSession) -> DataFrame:
@@ -187,7 +194,10 @@ def consistent_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     blocks = counted.select("k", (F.col("cluster") / BLOCK).cast("int").alias("block"), F.struct("cluster", "ccc", "pos", "sub", chosen.alias("c"), "second").alias("x"))
     strings = blocks.groupBy("k", "block").agg(_recomposed(F.array_sort(F.collect_list("x"))).alias("s"))
     built = strings.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "s"))), lambda b: b.s), "").alias("form"))
-    return todo.select("text", key.alias("k")).join(built, "k", "left").select("text", F.coalesce("form", F.lit("")).alias("form"))
+    form = F.coalesce("form", F.lit(""))
+    for latin, russian in zip(LONE_LATIN, LONE, strict=True):
+        form = F.regexp_replace(form, _lone(latin), russian)
+    return todo.select("text", key.alias("k")).join(built, "k", "left").select("text", form.alias("form"))
 
 
 def with_consistent_form(df: DataFrame, text: str, out: str) -> DataFrame:
