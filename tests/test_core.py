@@ -31,7 +31,7 @@ def test_normalized(spark):
 
 
 def test_tokens_cover_text(spark):
-    text = "The 图灵机 was built in 1936, né? 😀ok"
+    text = "The 林达机 was built in 1936, né? 😀ok"
     df = spark.createDataFrame([("s", text), ("e", ""), ("n", None)], "k string, text string")
     got = [r for r in tx.token_table(df.where("text IS NOT NULL"), "k").collect()]
     assert all(text[r["start"] : r["end"]] == r["token"] for r in got)
@@ -46,10 +46,10 @@ def test_chunks_and_slug(spark):
 
 
 def test_gazetteer_leftmost_longest(spark):
-    e = spark.createDataFrame([("c", "图灵机", [], "Concept", None, []), ("p", "艾伦·图灵", ["图灵", "艾伦", "艾伦"], "Person", None, [])], ENT)
-    s = spark.createDataFrame([("s1", "图灵机和艾伦·图灵"), ("s2", None), ("s3", "")], "sentence_id string, text string")
+    e = spark.createDataFrame([("c", "林达机", [], "Concept", None, []), ("p", "艾伦·林达", ["林达", "艾伦", "艾伦"], "Person", None, [])], ENT)
+    s = spark.createDataFrame([("s1", "林达机和艾伦·林达"), ("s2", None), ("s3", "")], "sentence_id string, text string")
     got = rows(spans.gazetteer(s, e), "mention_id", "start", "end", "text", "entity_type")
-    assert got == [("s1-g001", 0, 3, "图灵机", "Concept"), ("s1-g002", 4, 9, "艾伦·图灵", "Person")]
+    assert got == [("s1-g001", 0, 3, "林达机", "Concept"), ("s1-g002", 4, 9, "艾伦·林达", "Person")]
     assert spans.gazetteer(s.limit(0), e).count() == 0
 
 
@@ -103,11 +103,11 @@ def _relation(spark, **kw):
 
 
 def test_pattern_relation(spark):
-    e = spark.createDataFrame([("p", "图灵", [], "Person", None, []), ("l", "伦敦", [], "Place", None, []), ("k", "剑桥", [], "Place", None, [])], ENT)
-    s = spark.createDataFrame([("s", "图灵出生于伦敦"), ("t", "图灵出生对抗伦敦后剑桥")], "sentence_id string, text string")
-    m = spark.createDataFrame([("1", "s", "图灵", 0, 2, "Person", "g", "p", 0.8, False), ("2", "s", "伦敦", 5, 7, "Place", "g", "l", 0.6, False)], MEN)
+    e = spark.createDataFrame([("p", "林达", [], "Person", None, []), ("l", "伦敦", [], "Place", None, []), ("k", "剑桥", [], "Place", None, [])], ENT)
+    s = spark.createDataFrame([("s", "林达出生于伦敦"), ("t", "林达出生对抗伦敦后剑桥")], "sentence_id string, text string")
+    m = spark.createDataFrame([("1", "s", "林达", 0, 2, "Person", "g", "p", 0.8, False), ("2", "s", "伦敦", 5, 7, "Place", "g", "l", 0.6, False)], MEN)
     assert rows(relations.pattern_triples(m, s, _relation(spark), e), "subject", "object", "pattern", "confidence") == [("p", "l", "出生", 0.7)]
-    m2 = spark.createDataFrame([("1", "t", "图灵", 0, 2, "Person", "g", "p", 0.8, False), ("2", "t", "伦敦", 6, 8, "Place", "g", "l", 0.6, False), ("3", "t", "剑桥", 9, 11, "Place", "g", "k", 0.6, False)], MEN)
+    m2 = spark.createDataFrame([("1", "t", "林达", 0, 2, "Person", "g", "p", 0.8, False), ("2", "t", "伦敦", 6, 8, "Place", "g", "l", 0.6, False), ("3", "t", "剑桥", 9, 11, "Place", "g", "k", 0.6, False)], MEN)
     assert rows(relations.pattern_triples(m2, s, _relation(spark, negative_patterns=["对抗"]), e), "object") == []
     assert relations.pattern_triples(m.limit(0), s, _relation(spark), e).count() == 0
 

@@ -15,9 +15,9 @@ from skeinkg.sources import books, records
 from skeinkg.streaming import mentions as stream
 
 ENTITIES = [
-    {"id": "turing", "name": "图灵", "aliases": ["艾伦·图灵"], "entity_type": "Person", "tags": ["m"]},
+    {"id": "linda", "name": "林达", "aliases": ["艾伦·林达"], "entity_type": "Person", "tags": ["m"]},
     {"id": "london", "name": "伦敦", "aliases": [], "entity_type": "Place"},
-    {"id": "enigma", "name": "恩尼格玛", "entity_type": "Artifact"},
+    {"id": "enigma", "name": "密码机", "entity_type": "Artifact"},
     {"id": "war", "name": "二战", "entity_type": "Event"},
 ]
 RELATIONS = [{"id": "born_in", "label": "出生于", "subject_types": ["Person"], "object_types": ["Place"], "patterns": ["出生于", "出生"]}, {"id": "decrypted", "label": "破译", "subject_types": ["Person"], "object_types": ["Artifact"], "patterns": ["破译"]}]
@@ -27,19 +27,19 @@ RELATIONS = [{"id": "born_in", "label": "出生于", "subject_types": ["Person"]
 def run(spark):
     e = records.with_defaults(spark.createDataFrame(ENTITIES, schema("entity")), "entity")
     r = records.with_defaults(spark.createDataFrame(RELATIONS, schema("relation")), "relation")
-    return Run(e, r, "turing", [Rule("r", (("decrypted", "p", "x"),), ("contributed", "p", "war"), 0.8)], methods=("gazetteer", "hmm"))
+    return Run(e, r, "linda", [Rule("r", (("decrypted", "p", "x"),), ("contributed", "p", "war"), 0.8)], methods=("gazetteer", "hmm"))
 
 
 def test_run(spark, run, tmp_path):
-    docs = spark.createDataFrame([("d1", "甲", "p", "txt", "艾伦·图灵出生于伦敦的医院。\n\n后来图灵破译了恩尼格玛密码！没有别的。"), ("d2", "乙", "p", "txt", None), ("d3", "丙", "p", "txt", "")], schema("document"))
+    docs = spark.createDataFrame([("d1", "甲", "p", "txt", "艾伦·林达出生于伦敦的医院。\n\n后来林达破译了密码机密码！没有别的。"), ("d2", "乙", "p", "txt", None), ("d3", "丙", "p", "txt", "")], schema("document"))
     got = run(docs)
     facts = {(r["subject"], r["relation_id"], r["object"], r["source"]) for r in got["facts"].collect()}
-    assert facts == {("turing", "born_in", "london", "extracted"), ("turing", "decrypted", "enigma", "extracted"), ("turing", "contributed", "war", "inferred")}
+    assert facts == {("linda", "born_in", "london", "extracted"), ("linda", "decrypted", "enigma", "extracted"), ("linda", "contributed", "war", "inferred")}
     s = {r["sentence_id"]: r["text"] for r in got["sentences"].collect()}
     for m in got["mentions"].collect():
         assert s[m["sentence_id"]][m["start"] : m["end"]] == m["text"]
-    assert {r["id"] for r in got["focused_nodes"].collect()} == {"turing", "london", "enigma", "war"}
-    out = store.export(str(tmp_path / "out"), run.entities, run.relations, got["mentions"], got["facts"], "turing")
+    assert {r["id"] for r in got["focused_nodes"].collect()} == {"linda", "london", "enigma", "war"}
+    out = store.export(str(tmp_path / "out"), run.entities, run.relations, got["mentions"], got["facts"], "linda")
     assert out["facts"] == 3 and json.loads((tmp_path / "out/summary.json").read_text())["facts"] == 3
     assert spark.read.text(str(tmp_path / "out/facts.nt")).count() == 3
     write_report(str(tmp_path / "r.html"), "图", got["nodes"], got["edges"], got["metrics"])
@@ -62,9 +62,9 @@ def test_missing_required_value_fails(spark, tmp_path):
 
 def test_ontology_and_types(spark, tmp_path):
     p = tmp_path / "o.json"
-    p.write_text(json.dumps({"entities": ENTITIES, "relations": [RELATIONS[0] | {"subject_types": ["Agent"]}], "entity_hierarchy": {"Agent": {"g": ["Person"]}}, "central_entity_id": "turing"}, indent=1))
+    p.write_text(json.dumps({"entities": ENTITIES, "relations": [RELATIONS[0] | {"subject_types": ["Agent"]}], "entity_hierarchy": {"Agent": {"g": ["Person"]}}, "central_entity_id": "linda"}, indent=1))
     o = records.load_ontology(spark, str(p))
-    assert o["entities"].count() == 4 and o["relations"].first()["max_distance"] == 80 and o["center"].first()[0] == "turing"
+    assert o["entities"].count() == 4 and o["relations"].first()["max_distance"] == 80 and o["center"].first()[0] == "linda"
     got = {tuple(r) for r in records.allowed_types(o["relations"], o["hierarchy"]).collect()}
     assert got == {("born_in", "subject", "Agent"), ("born_in", "subject", "Person"), ("born_in", "object", "Place")}
 
@@ -97,7 +97,7 @@ def test_books(spark, tmp_path):
 
 def test_stream(spark, run, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text(json.dumps({"document_id": "d", "text": "艾伦·图灵出生于伦敦的医院。"}, ensure_ascii=False))
+    (tmp_path / "in/a.json").write_text(json.dumps({"document_id": "d", "text": "艾伦·林达出生于伦敦的医院。"}, ensure_ascii=False))
     q = stream.start_mentions(stream.document_stream(spark, str(tmp_path / "in")), run.entities, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
-    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["伦敦", "艾伦·图灵"]
+    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["伦敦", "艾伦·林达"]
