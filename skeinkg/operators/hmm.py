@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import feature_bucket
+
 MOST = 2_000_000
 
 
@@ -89,3 +91,95 @@ def decoded(sentences: DataFrame, tagger: Tagger) -> DataFrame:
     tagged = sentences.where(F.size("tokens") > 0).select("sentence_id", texts.alias("t")).mapInArrow(run, "sentence_id string, labels array<string>")
     j = sentences.select("sentence_id", "tokens").join(tagged, "sentence_id")
     return j.select("sentence_id", F.posexplode(F.arrays_zip("tokens", "labels")).alias("token_index", "x")).select("sentence_id", "token_index", F.col("x.tokens.text").alias("token"), F.col("x.tokens.start").alias("start"), F.col("x.tokens.end").alias("end"), F.col("x.labels").alias("label"))
+
+
+# ---------------------------------------------------------------- feature buckets and re-estimation
+class BucketModel:
+    """Start, transition and emission probabilities over a few dozen feature buckets."""
+
+    def __init__(self, states: list[str], pi: np.ndarray, a: np.ndarray, b: np.ndarray):
+        self.states, self.pi, self.a, self.b = states, pi, a, b
+
+    @classmethod
+    def counted(cls, starts: dict[str, int], moves: dict[tuple[str, str], int], words: dict[tuple[str, str], int], smooth: float = 0.01, size: int = 48) -> "BucketModel":
+        states = ["O", *sorted({s for s in [*starts, *(s for s, _ in words)] if s != "O"})]
+        at, n = {s: i for i, s in enumerate(states)}, len(states)
+        pi, a, b = np.full(n, smooth), np.full((n, n), smooth), np.full((n, size), smooth)
+        for s, c in starts.items():
+            pi[at[s]] += c
+        for (x, y), c in moves.items():
+            a[at[x], at[y]] += c
+        for (s, w), c in words.items():
+            b[at[s], int(w)] += c
+        return cls(states, pi / pi.sum(), a / a.sum(1, keepdims=True), b / b.sum(1, keepdims=True))
+
+    def expected(self, obs: list[int]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihood and expected counts of starts, moves and emissions of one sequence (scaled forward-backward)."""
+        e = self.b[:, obs]
+        n, t = e.shape
+        alpha, scale = np.zeros((t, n)), np.zeros(t)
+        for k in range(t):
+            x = (self.pi if k == 0 else alpha[k - 1] @ self.a) * e[:, k]
+            scale[k] = x.sum()
+            alpha[k] = x / scale[k]
+        beta = np.ones((t, n))
+        moves = np.zeros((n, n))
+        for k in range(t - 2, -1, -1):
+            right = e[:, k + 1] * beta[k + 1] / scale[k + 1]
+            moves += alpha[k][:, None] * self.a * right
+            beta[k] = self.a @ right
+        gamma = alpha * beta
+        emitted = np.zeros_like(self.b)
+        np.add.at(emitted.T, obs, gamma)
+        return float(np.log(scale).sum()), gamma[0], moves, emitted
+
+    def tagger(self) -> Tagger:
+        t = Tagger({"O": 0}, {}, {}, states=self.states)
+        t.pi, t.a, t.unseen = np.log(self.pi + 1e-12), np.log(self.a + 1e-12), np.log(np.full(len(self.states), 1e-12))
+        t.emit = {str(k): np.log(self.b[:, k] + 1e-12) for k in range(self.b.shape[1])}
+        return t
+
+
+def bucketed(labels: DataFrame) -> DataFrame:
+    """Labels with each token replaced by its feature bucket."""
+    return labels.withColumn("token", feature_bucket(F.coalesce("token", F.lit(""))).cast("string"))
+
+
+def counted(labels: DataFrame) -> BucketModel:
+    b = bucketed(labels)
+    return BucketModel.counted({r["label"]: r["n"] for r in start_counts(b).collect()}, {(r["label"], r["next"]): r["n"] for r in transition_counts(b).collect()}, {(r["label"], r["token"]): r["n"] for r in emission_counts(b).collect()})
+
+
+def reestimated(model: BucketModel, sentences: DataFrame, rounds: int = 5, smooth: float = 0.01) -> tuple[BucketModel, list[float]]:
+    """Baum-Welch over all sentences: expected counts are summed in the tasks and then by Spark, so only states x (states + buckets) rows reach the driver. Also the log likelihood before each round."""
+    obs = sentences.where("size(tokens) > 0").select(F.transform("tokens", lambda t: feature_bucket(F.coalesce(t["text"], F.lit("")))).alias("o"))
+    likelihoods = []
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], m: BucketModel = model) -> Iterator[pa.RecordBatch]:
+            total, s, a, b = 0.0, np.zeros_like(m.pi), np.zeros_like(m.a), np.zeros_like(m.b)
+            for batch in batches:
+                for o in batch.column(0).to_pylist():
+                    x = m.expected(o)
+                    total, s, a, b = total + x[0], s + x[1], a + x[2], b + x[3]
+            rows = [("l", 0, 0, total), *(("s", i, 0, v) for i, v in enumerate(s)), *(("a", i, j, a[i, j]) for i, j in np.ndindex(*a.shape)), *(("b", i, j, b[i, j]) for i, j in np.ndindex(*b.shape))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.float64()))], ["kind", "i", "j", "v"])
+
+        s, a, b = np.full_like(model.pi, smooth), np.full_like(model.a, smooth), np.full_like(model.b, smooth)
+        for r in obs.mapInArrow(run, "kind string, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).collect():
+            if r["kind"] == "l":
+                likelihoods.append(r["v"])
+            elif r["kind"] == "s":
+                s[r["i"]] += r["v"]
+            else:
+                (a if r["kind"] == "a" else b)[r["i"], r["j"]] += r["v"]
+        model = BucketModel(model.states, s / s.sum(), a / a.sum(1, keepdims=True), b / b.sum(1, keepdims=True))
+    return model, likelihoods
+
+
+def decoded_buckets(sentences: DataFrame, model: BucketModel) -> DataFrame:
+    """As ``decoded``, over feature buckets; the tokens keep their text."""
+    short = sentences.select("sentence_id", F.transform("tokens", lambda t: F.struct(feature_bucket(F.coalesce(t["text"], F.lit(""))).cast("string").alias("text"), t["start"].alias("start"), t["end"].alias("end"))).alias("tokens"))
+    tags = decoded(short, model.tagger()).select("sentence_id", "token_index", "label")
+    toks = sentences.select("sentence_id", F.posexplode("tokens").alias("token_index", "t"))
+    return toks.join(tags, ["sentence_id", "token_index"]).select("sentence_id", "token_index", F.col("t.text").alias("token"), F.col("t.start").alias("start"), F.col("t.end").alias("end"), "label")

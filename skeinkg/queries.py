@@ -414,6 +414,13 @@ def hmm_viterbi(spark, d):
     return spans.bio_spans(tagged)
 
 
+@query
+def hmm_buckets(spark, d):
+    s, labels = domain.sentences(spark, d), checkpointed(_labels(spark, d))
+    model, _ = hmm.reestimated(hmm.counted(labels), s, rounds=2)
+    return spans.bio_spans(hmm.decoded_buckets(s, model))
+
+
 @query
 def maxent_report(spark, d):
     s, labels = domain.sentences(spark, d), checkpointed(_labels(spark, d))

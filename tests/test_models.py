@@ -24,3 +24,29 @@ def test_clauses(spark):
     c = spark.createDataFrame([("s", 0, 3, "leave", 10, 14), ("s", 10, 14, "leave", 0, 3), ("s", 0, 3, None, 10, 14), ("s", 0, 3, "eat", 10, 14)], "sentence_id string, s_start int, s_end int, verb string, o_start int, o_end int")
     v = spark.createDataFrame([("leave", "left")], "verb string, relation_id string")
     assert [(x["subject"], x["object"]) for x in clauses.clause_triples(c, v, m, e, r).collect()] == [("a", "b")]
+
+
+def test_reestimation_raises_likelihood_and_equals_enumeration(spark):
+    import itertools
+
+    import numpy as np
+
+    from skeinkg.operators import hmm
+
+    rng = np.random.default_rng(1)
+    m = hmm.BucketModel(["O", "B-P"], rng.dirichlet([1, 1]), rng.dirichlet([1, 1], 2), rng.dirichlet(np.ones(48), 2))
+    obs = [3, 5, 3, 7]
+    mass, start, moves = 0.0, np.zeros(2), np.zeros((2, 2))
+    for path in itertools.product(range(2), repeat=4):
+        p = m.pi[path[0]] * np.prod([m.b[s, o] for s, o in zip(path, obs)]) * np.prod([m.a[x, y] for x, y in zip(path, path[1:])])
+        mass += p
+        start[path[0]] += p
+        for x, y in zip(path, path[1:]):
+            moves[x, y] += p
+    got = m.expected(obs)
+    assert np.isclose(got[0], np.log(mass)) and np.allclose(got[1], start / mass) and np.allclose(got[2], moves / mass) and np.isclose(got[3].sum(), 4)
+    words = ["Ada", "ran", "1936", "林达"]
+    df = spark.createDataFrame([(f"s{i}", [(str(w), 0, 1) for w in rng.choice(words, 5)]) for i in range(40)] + [("e", [])], "sentence_id string, tokens array<struct<text: string, start: int, end: int>>")
+    _, seen = hmm.reestimated(m, df, 4, 1e-6)
+    assert all(b >= a - 1e-6 for a, b in zip(seen, seen[1:]))
+    assert hmm.decoded_buckets(df, m).count() == 200
