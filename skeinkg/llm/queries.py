@@ -22,7 +22,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     scored = terms.term_divergence(terms.sentence_terms(table(spark, d, "sentences")), "document_id")
-    return scored.where((F.col("tf") >= 3) & (F.col("df") <= 3) & terms.is_word(F.col("term")) & (F.col("score") > 0)).select("document_id", "term")
+    return scored.where((F.col("tf") >= 3) & (F.col("df") <= 3) & terms.is_word(F.col("term")) & F.col("score").isNotNull()).select("document_id", "term")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
