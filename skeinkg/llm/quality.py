@@ -34,7 +34,10 @@ HEX = r"^\s*(?:[0-9a-fA-F]{4,8}[:\s]\s*)?[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-f
 MISREAD = r"[\u00c2-\u00f4][\u0080-\u00bf\u2018-\u203a\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\ufffd]|\ufffd"
 CODED = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}"
 SPACES = r"[\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-THRICE = r"(?<!\S)(\S{1,30}) \1 \1(?!\S)"
+TORN = r"[a-zA-Z][;:|'!,]+[a-zA-Z]*[;:|'!,]|[a-zA-Z][;:|!,][a-zA-Z]|(?<!\S)[;:|'!^+=&%@,]+[a-zA-Z0-9]{0,2}(?!\S)|(?<!\S)[;:|'!,][a-zA-Z0-9]|[a-z][A-Z0-9][a-zA-Z]|[a-zA-Z0-9][|]+(?!\S)|(?<!\S)[01lIO](?!\S)"
+LOOSE = r"^[^\p{L}\p{N}\p{M}]{1,3}$"
+#: Loose marks that readable text has too where its marks are set off by blanks.
+PLAIN = r"^[,.、،\"'`“”„‘’«»‹›()\[\]…–—-]{1,3}$"
 CRAMPED = r"(?i)^[bcdfghjklmnpqrstvwxz]{4,}$|[bcdfghjklmnpqrstvwxz]{5,}|^q[^u]|[jqvwx]{2}|[bcdfghjklmnpqrstvwxz]{2,}[jqx]|[jqx][bcdfghjklmnpqrstvwxz]{2,}"
 
 
@@ -54,14 +57,14 @@ def document_features(found: DataFrame, common_words: DataFrame | None = None) -
     n = F.col("n")
     count = lambda pattern: F.regexp_count("line", F.lit(pattern))
     d = d.withColumns({"ends": F.right(F.rtrim(line), F.lit(12)).rlike(ENDS), "symbols": count(r"[^\p{L}\p{M}\p{N}\s]"), "numbers": count(r"\p{N}")})
-    # what follows is looked at only where cheaper signs leave it open
-    open_ = ~F.col("ends") | (F.col("symbols") + F.col("numbers") > 0.12 * n)
+    # the tokens are looked at only where they can be a sign: without an end mark, behind a bare one, and with a torn token
+    d = d.withColumns({"bare": F.col("ends") & F.right(F.rtrim(line), F.lit(4)).rlike(r"(?U)\s[^\p{L}\p{N}\p{M}\s]{1,3}$"), "any_torn": line.rlike(f"(?U){TORN}")})
+    open_ = ~F.col("ends") | F.col("bare") | F.col("any_torn")
     tokens = F.filter(F.split(line, r"(?U)\s+"), lambda t: t != "")
     d = d.withColumns({"letters": F.greatest(n - F.col("symbols") - F.col("numbers"), F.lit(0)), "tokens": F.when(open_, tokens)})
-    torn = r"[a-zA-Z][;:|'!,]+[a-zA-Z]*[;:|'!,]|[a-zA-Z][;:|!,][a-zA-Z]|^[;:|'!^+=&%@,]+[a-zA-Z0-9]{0,2}$|^[;:|'!,][a-zA-Z0-9]|[a-z][A-Z0-9][a-zA-Z]|[a-zA-Z0-9][|]+$|^[01lIO]$"
     summed = lambda c, keep: F.aggregate(F.filter(c, keep), F.lit(0), lambda x, t: x + F.length(t))
     d = d.withColumns({
-        "torn": F.coalesce(F.when(F.size("tokens") >= 5, summed("tokens", lambda t: t.rlike(torn))), F.lit(0)),
+        "torn": F.coalesce(F.when(F.col("any_torn") & (F.size("tokens") >= 5), summed("tokens", lambda t: t.rlike(TORN))), F.lit(0)),
         "odd": F.when(~F.col("ends"), F.size(F.filter("words", lambda w: w.rlike(CRAMPED)))).otherwise(0),
         "latin": F.when(~F.col("ends"), F.size(F.filter("words", lambda w: w.rlike(r"^[A-Za-z]{3,}$")))).otherwise(0),
     })
@@ -72,6 +75,12 @@ def document_features(found: DataFrame, common_words: DataFrame | None = None) -
     barred = line.contains("|") | line.contains("¦")
     menu = (barred | line.rlike("[›»·]")) & ~line.rlike(r"\d") & (F.size(by_bar) >= 3) & small(by_bar, 20)
     words, tokens = F.col("words"), F.col("tokens")
+    loose = lambda keep: F.size(F.filter(tokens, lambda t: t.rlike(LOOSE) & keep(t)))
+    # in text that ends with a bare mark, that mark is none of the loose ones, and plain marks alone must be more
+    loose_ended = (loose(lambda t: ~t.rlike(PLAIN)) - 1 > 0.12 * F.size(tokens)) | (loose(lambda t: F.lit(True)) - 1 > 0.25 * F.size(tokens))
+    # words of prose grow about as the root of its length or faster, so long prose isn't poor in words
+    k = F.size(words)
+    few = (k >= 10) & (F.size(F.array_distinct(words)) <= F.least(0.2 * k, 5 * F.sqrt(k), F.lit(500.0)))
     junk = text & (
         (F.col("symbols") > 0.6 * n) & (n > 3)
         | line.rlike(HEX) & (F.regexp_replace(line, r"[0-9a-fA-F:\s]", "") == "")
@@ -80,8 +89,8 @@ def document_features(found: DataFrame, common_words: DataFrame | None = None) -
         | ~F.col("ends") & (F.col("latin") >= 3) & (F.col("odd") > 0.3 * F.size(words))
         | (F.col("torn") > 0.3 * n)
         | line.rlike(r"[\x{c2}-\x{f4}\x{fffd}]") & (count(MISREAD) > 0.15 * n)
-        | (F.size(words) >= 10) & line.rlike(THRICE) & (F.size(F.array_distinct(words)) <= 0.2 * F.size(words))
-        | ~F.col("ends") & (F.size(tokens) >= 10) & (F.size(F.filter(tokens, lambda t: t.rlike(r"^[^\p{L}\p{N}\p{M}]{1,3}$"))) > 0.12 * F.size(tokens))
+        | few
+        | (F.size(tokens) >= 10) & F.when(~F.col("ends"), loose(lambda t: F.lit(True)) > 0.12 * F.size(tokens)).when(F.col("bare"), loose_ended).otherwise(False)
     )
     # each sign is a column of its own, so that none is computed twice
     d = d.withColumn("is_junk", junk)

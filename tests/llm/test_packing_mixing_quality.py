@@ -98,3 +98,16 @@ def test_features(spark):
     assert set(got) == {"0", "1", "2", "3"}
     assert got["0"]["ended_share"] == 1 and got["0"]["list_share"] == got["0"]["table_share"] == got["0"]["junk_share"] == 0 and abs(got["0"]["common_share"] - 2 / 14) < 0.02
     assert got["1"]["list_share"] == 1 and got["2"]["table_share"] == 1 and got["3"]["junk_share"] == 1
+
+
+def test_junk_with_end_marks(spark):
+    rng = random.Random(5)
+    salad = " ".join(w for i in range(60) for w in (f"word{i}", rng.choice("?;"))[: 1 + (i % 2 or i == 59)]) + " ?"
+    junk = [salad, "buy cheap pills here now " * 30 + "today.", "tHe qUicK bRowN fOx jUmpS oVer iT.", "blue drum ; old , key tape ; . shelf green ; lamp valve , . ?"]
+    prose = [
+        "– Où est passé le secret panneau de Crelfield, déjà abîmé en 1955 ?", "The old cat , a young dog and the small bird sat on the mat .",
+        " ".join(f"word{int(rng.random() ** 2 * 900)}" for _ in range(6000)) + ".", "I said that it was the dog's, and that nobody's cat could have been there at all.",
+    ]
+    blocks = spark.createDataFrame([(str(i), [("text", t)]) for i, t in enumerate(junk + prose)], "id string, blocks array<struct<kind: string, text: string>>")
+    got = {int(r["id"]): r["junk_share"] for r in quality.document_features(blocks).collect()}
+    assert [got[i] for i in range(8)] == [1, 1, 1, 1, 0, 0, 0, 0]
