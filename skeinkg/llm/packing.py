@@ -1,10 +1,13 @@
 """Filling containers of a fixed capacity with whole texts, by lexical retrieval.
 
-A task reads its part of the documents in shards of at most ``SHARD`` tokens. A shard has its own inverted
-index with BM25 weights over token ids. The longest unused text seeds a container; the index returns its
-unused neighbours, best first, and those that fit go in; what room is left is filled with the longest
-unused texts that fit. A text longer than the capacity is cut into full containers and one rest, which is
-packed like any text. Nothing is shuffled, and a task holds one shard at a time.
+A task reads its part of the documents in shards of at most ``SHARD`` tokens. A shard has its own index with
+BM25 weights over token ids, all terms of a text included. The longest unused text seeds a container; the index
+returns its unused neighbours, best first, and those that fit go in, as long as one fits; what room is left then is
+filled with the longest unused texts that fit. A text longer than the capacity is cut into full containers and one
+rest, which is packed like any text. Nothing is shuffled, and a task holds one shard at a time.
+
+Postings stand by text and texts by size, so a seed is scored against the texts that fit its room and no others,
+and a term that all texts have costs no more than any other.
 
 The last containers of a shard are filled as far as its texts go, so the unused room grows with the number of
 shards, not with the number of texts: at most about one container a shard and capacity.
@@ -23,51 +26,57 @@ from pyspark.sql import functions as F
 from .tokens import TOKENIZER, encoding
 
 SHARD = 2_000_000
-#: Neighbours that are looked at for one container, at most; what they leave is filled by size.
+#: Neighbours that are ranked at a time; further ones are asked for while room is left.
 NEIGHBOURS = 256
 K1, B = 1.2, 0.75
-#: Terms in more than this share of a shard's texts tell too little apart to be asked for.
-COMMON = 0.1
+#: Terms in up to this share of a shard's texts are asked for: all.
+COMMON = 1.0
 OUT = "pack_name string, container string, slot int, doc_id bigint, start_token bigint, end_token bigint, capacity int"
 
 
 class Index:
-    """BM25 weights of a shard in compressed postings."""
+    """BM25 weights of a shard, by text."""
 
     def __init__(self, tokens: list[np.ndarray]):
         n = len(tokens)
         found = [np.unique(t, return_counts=True) for t in tokens]
         lengths = np.array([max(1, len(t)) for t in tokens], dtype=np.float64)
-        rows = np.repeat(np.arange(n), [len(u) for u, _ in found])
+        sizes = np.array([len(u) for u, _ in found], dtype=np.int64)
         terms = np.concatenate([u for u, _ in found]) if n else np.array([], dtype=np.int64)
-        tf = np.concatenate([c for _, c in found]).astype(np.float64) if n else np.array([])
-        order = np.argsort(terms, kind="stable")
-        self.n, self.rows = n, rows[order]
-        self.terms, starts, df = np.unique(terms[order], return_index=True, return_counts=True)
-        self.starts = np.append(starts, len(order))
+        t = np.concatenate([c for _, c in found]).astype(np.float64) if n else np.array([])
+        vocabulary, at, df = np.unique(terms, return_inverse=True, return_counts=True)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / lengths.mean()) if n else lengths
-        t = tf[order]
-        self.weights = np.repeat(idf, df) * t * (K1 + 1) / (t + norm[self.rows])
-        asked = np.flatnonzero(df <= max(2.0, COMMON * n))
-        at = [np.searchsorted(self.terms, u) for u, _ in found]
-        telling = np.zeros(len(self.terms), dtype=bool)
-        telling[asked] = True
-        self.own = [x[telling[x]] for x in at]
-
-    def neighbours(self, i: int, unused: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
+        self.n, self.starts, self.terms = n, np.concatenate(([0], np.cumsum(sizes))), at.astype(np.int32)
+        self.weights = idf[at] * t * (K1 + 1) / (t + np.repeat(norm, sizes))
+        self.asked = np.zeros(len(vocabulary))
+
+    def neighbours(self, i: int, unused: np.ndarray) -> np.ndarray:
         """Unused rows by falling score for the terms of row ``i``."""
-        starts = self.starts[self.own[i]]
-        lengths = self.starts[self.own[i] + 1] - starts
-        total = int(lengths.sum())
-        if not total:
-            return np.array([], dtype=np.int64)
-        at = np.arange(total) + np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-        scores = np.bincount(self.rows[at], self.weights[at], self.n)
-        scores[~unused] = 0
-        k = min(most, np.count_nonzero(scores))
-        top = np.argpartition(-scores, k - 1)[:k] if k else np.array([], dtype=np.int64)
-        return top[np.lexsort((top, -scores[top]))]
+        rows = np.flatnonzero(unused & (np.diff(self.starts) > 0))
+        scores = Postings(self, rows).scores(i, len(rows))
+        order = np.lexsort((rows, -scores))
+        return rows[order[scores[order] > 0]]
+
+
+class Postings:
+    """The postings of some rows with terms, in the order given."""
+
+    def __init__(self, index: Index, rows: np.ndarray):
+        lengths = index.starts[rows + 1] - index.starts[rows]
+        self.index, self.rows, self.starts = index, rows, np.concatenate(([0], np.cumsum(lengths)))
+        at = np.arange(self.starts[-1]) + np.repeat(index.starts[rows] - self.starts[:-1], lengths)
+        self.terms, self.weights = index.terms[at], index.weights[at]
+
+    def scores(self, i: int, k: int) -> np.ndarray:
+        """Scores of the first ``k`` rows for the terms of row ``i``."""
+        if not k:
+            return np.array([])
+        own, end = self.index.terms[self.index.starts[i] : self.index.starts[i + 1]], self.starts[k]
+        self.index.asked[own] = 1
+        scores = np.add.reduceat(self.weights[:end] * self.index.asked[self.terms[:end]], self.starts[:k])
+        self.index.asked[own] = 0
+        return scores
 
 
 def packed_shard(tokens: list[np.ndarray], capacity: int, index: Index | None = None) -> list[list[tuple[int, int, int]]]:
@@ -83,6 +92,7 @@ def packed_shard(tokens: list[np.ndarray], capacity: int, index: Index | None =
         size[i] = len(t) - first[i]
     unused = size > 0
     by_size: list[tuple[int, int]] = sorted((int(size[i]), -i) for i in np.flatnonzero(unused))
+    postings = Postings(index, np.array([-i for _, i in by_size], dtype=np.int64))
 
     def take(i: int) -> tuple[int, int, int]:
         unused[i] = False
@@ -93,12 +103,23 @@ def packed_shard(tokens: list[np.ndarray], capacity: int, index: Index | None =
         seed = -by_size[-1][1]
         box, left = [take(seed)], capacity - int(size[seed])
         if left and by_size and by_size[0][0] <= left:
-            for i in index.neighbours(seed, unused):
-                if size[i] <= left:
-                    box.append(take(int(i)))
-                    left -= int(size[i])
-                    if not by_size or by_size[0][0] > left:
-                        break
+            if 2 * len(by_size) < len(postings.rows):
+                postings = Postings(index, postings.rows[unused[postings.rows]])
+            rows = postings.rows[: np.searchsorted(size[postings.rows], left, "right")]
+            scores = postings.scores(seed, len(rows))
+            while True:
+                fits = np.flatnonzero(unused[rows] & (size[rows] <= left) & (scores > 0))
+                if not len(fits):
+                    break
+                if len(fits) > NEIGHBOURS:
+                    # all of the least score, so that ties go to the lesser row
+                    fits = fits[scores[fits] >= np.partition(scores[fits], -NEIGHBOURS)[-NEIGHBOURS]]
+                for i in rows[fits[np.lexsort((rows[fits], -scores[fits]))]]:
+                    if size[i] <= left:
+                        box.append(take(int(i)))
+                        left -= int(size[i])
+                        if not by_size or by_size[0][0] > left:
+                            break
             while left and by_size and by_size[0][0] <= left:
                 i = -by_size[bisect_right(by_size, (left, 1)) - 1][1]
                 box.append(take(i))

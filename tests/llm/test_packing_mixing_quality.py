@@ -111,3 +111,12 @@ def test_junk_with_end_marks(spark):
     blocks = spark.createDataFrame([(str(i), [("text", t)]) for i, t in enumerate(junk + prose)], "id string, blocks array<struct<kind: string, text: string>>")
     got = {int(r["id"]): r["junk_share"] for r in quality.document_features(blocks).collect()}
     assert [got[i] for i in range(8)] == [1, 1, 1, 1, 0, 0, 0, 0]
+
+
+def test_packing_by_terms_that_many_texts_share():
+    # two families of 400 texts; every term is in half of them, and more than 256 texts fit a container
+    docs = [np.array([10 * (i % 2) + j for j in range(4 + i % 5)], dtype=np.int32) for i in range(800)]
+    boxes = packing.packed_shard(docs, 1800)
+    assert sum(len({i % 2 for i, _, _ in b}) == 1 for b in boxes) >= len(boxes) - 1 and max(map(len, boxes)) > 257
+    index = packing.Index(docs)
+    assert len(index.neighbours(0, np.arange(800) > 0)) == 399
