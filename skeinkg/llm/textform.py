@@ -123,7 +123,7 @@ def calls_for_work(text: Column) -> Column:
     latin, cyrillic = r"[\p{IsLatin}]", r"[\p{IsCyrillic}]"
     mixed = f"{latin}{cyrillic}|{cyrillic}{latin}"
     alone, own = f"[{CYRILLIC}]", f"[\\p{{IsCyrillic}}&&[^{CYRILLIC}]]"
-    return text.rlike(r"[^\x00-\x7F]") & ((text.rlike(_safe()) & text.rlike(tables()[2])) | (text.rlike(alone) & (text.rlike(mixed) | ~text.rlike(own))) | (text.rlike(r"[\u0400-\u04FF]") & (text.rlike(mixed) | text.rlike(_lone(LONE_LATIN)))))
+    return text.rlike(r"[^\n\t\r\x20-\x7E]") & ((text.rlike(_safe()) & text.rlike(tables()[2])) | (text.rlike(alone) & (text.rlike(mixed) | ~text.rlike(own))) | (text.rlike(r"[\u0400-\u04FF]") & (text.rlike(mixed) | text.rlike(_lone(LONE_LATIN)))))
 
 
 def _lone(letters: str) -> str:

@@ -46,3 +46,9 @@ def test_clashing_columns(spark):
     r = textform.with_consistent_form(df, "text", "out").first()
     assert (r["out"], r["form"], r["k"]) == ("a", "k", "x")
     assert textform.consistent_texts(df.limit(0)).count() == 0
+
+
+def test_control_characters_of_ascii_texts(spark):
+    got = forms(spark, ["ab\x07c", "\x00tape", "tape\x7f", "a\x1fb", "a\tb\r\nc ~"])
+    assert got == {"ab\x07c": "abc", "\x00tape": "tape", "tape\x7f": "tape", "a\x1fb": "ab", "a\tb\r\nc ~": got["a\tb\r\nc ~"]}
+    assert spark.createDataFrame([("a\tb\r\nc ~",)], "text string").where(textform.calls_for_work(F.col("text"))).count() == 0
