@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 #: Most labelled documents that the rules are fitted to.
 LABELLED = 20_000
 FEWEST = 6
+#: Common words that are looked up; more are refused.
+MOST_COMMON = 10_000
 KINDS = ("list", "table", "junk")
 
 ENDS = r"[.!?。！？।؟…‽][\"'”’»›」』）)\]]*\s*$"
@@ -50,7 +52,10 @@ def _lines(found: DataFrame) -> DataFrame:
 
 def document_features(found: DataFrame, common_words: DataFrame | None = None) -> DataFrame:
     """(id, statistics and shares of visible characters) for rows of ``markup.document_blocks``. ``common_words`` is the small list (lang, word)."""
-    common = [r["word"].lower() for r in common_words.where("word IS NOT NULL").select("word").distinct().limit(10_000).collect()] if common_words is not None else []
+    rows = common_words.where("word IS NOT NULL").select("word").distinct().limit(MOST_COMMON + 1).collect() if common_words is not None else []
+    if len(rows) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words")
+    common = [r["word"].lower() for r in rows]
     line = F.col("line")
     words = F.regexp_extract_all("line", F.lit(f"({WORDS})"), F.lit(1))
     d = _lines(found).withColumn("words", words)

@@ -7,6 +7,9 @@ from ..sources.tables import table
 from ..functions.lineage import checkpointed
 from . import markup, mixing, packing, quality, sentences, terms, textform, tokens, variants
 
+#: Packs that are filled at once; more are refused.
+MOST_PACKS = 100
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sentences").select(F.lit("sentence").alias("record_kind"), F.col("sentence_id").alias("record_id"), "text").unionByName(table(spark, d, "mentions").select(F.lit("mention").alias("record_kind"), F.col("mention_id").alias("record_id"), "text"))
@@ -43,7 +46,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    sizes = table(spark, d, "pack_sizes").select("pack_name", "capacity").limit(100).collect()
+    sizes = table(spark, d, "pack_sizes").select("pack_name", "capacity").limit(MOST_PACKS + 1).collect()
+    if len(sizes) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} packs")
     return packing.packed(table(spark, d, "documents"), [(r["pack_name"], r["capacity"]) for r in sizes])
 
 

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from skeinkg.llm import mixing, packing, quality, tokens
+from skeinkg.llm import mixing, packing, quality, queries, tokens
 
 
 def test_packing_keeps_every_token_once():
@@ -120,3 +121,13 @@ def test_packing_by_terms_that_many_texts_share():
     assert sum(len({i % 2 for i, _, _ in b}) == 1 for b in boxes) >= len(boxes) - 1 and max(map(len, boxes)) > 257
     index = packing.Index(docs)
     assert len(index.neighbours(0, np.arange(800) > 0)) == 399
+
+
+def test_small_tables_are_refused_not_cut(spark, monkeypatch):
+    packs = spark.range(101).selectExpr("concat('p', id) AS pack_name", "cast(id + 1 AS int) AS capacity")
+    monkeypatch.setattr(queries, "table", lambda s, d, name: packs)
+    with pytest.raises(ValueError, match="100 packs"):
+        queries.p8_containers(spark, "")
+    blocks = spark.createDataFrame([("1", [("text", "one")])], "id string, blocks array<struct<kind: string, text: string>>")
+    with pytest.raises(ValueError, match="common words"):
+        quality.document_features(blocks, spark.range(10_001).selectExpr("'en' AS lang", "concat('w', id) AS word"))
