@@ -2,12 +2,14 @@
 
 The format is recognised from the text itself; the stored format only breaks ties. Two passes:
 
-1. *Votes.* Every HTML page's containers are scored by the text they hold against the links in it, and the
-   page's best container is written as a generalised tag-class path (digits dropped). Paths are added up
-   per host inside the tasks and then in Spark, so a host with a third of all pages sends one row a task.
-2. *Extraction.* The path that won at a host is the part of its pages that counts; pages without it, and
-   other formats, are read from the root. The winners are broadcast only if they are few (``WINNERS``),
-   else joined by host and salt.
+1. *Votes.* Every HTML page scores its containers by the text they hold against the links in it. The best
+   container gets the page's vote as a generalised tag-class path (digits dropped), and of every path the page says
+   whether its own text is content or links and margins. Votes are added up per host inside the tasks and then in
+   Spark, so a host with a third of all pages sends one row a path and task.
+2. *Extraction.* Inside the container that won at a host everything is read but what most pages call links or
+   margins; outside it only what most pages call content. Pages without the winning container lose nothing but such margins, and
+   other formats are read from the root. The verdicts are broadcast only if they are few (``WINNERS``), else joined
+   by host and salt.
 
 The parsers work on regular expressions over whole texts, in Arrow batches. A document becomes a list of
 blocks (kind, text); kinds are ``text``, ``heading``, ``list_item``, ``code``, ``formula`` and ``row`` (of a table, cells
@@ -92,61 +94,68 @@ _HTML_BLOCKS = frozenset(_BLOCK.replace("h[1-6]", "h1|h2|h3|h4|h5|h6").split("|"
 _TEX_IN_HTML = re.compile(r"(?s)\\\((.+?)\\\)|\\\[(.+?)\\\]")
 
 
-def container_votes(text: str) -> str:
-    """The generalised path of the container that holds most text outside links; '' for the root."""
-    path: list[tuple[str, str]] = []
-    held: Counter[str] = Counter()
-    text, at, in_link = _DROP.sub(" ", text), 0, 0
+_MARGINS = frozenset({"nav", "footer", "aside"})
+Votes = dict[str, tuple[int, int]]
+
+
+def _places(text: str) -> Iterator[tuple[int, int, tuple[str, ...], re.Match | None]]:
+    """(start, end, path, tag behind it) of each piece of text between tags, with the generalised path of the container it stands in."""
+    path: list[str] = []
+    here: tuple[str, ...] = ()
+    at = 0
     for m in _TAG.finditer(text):
-        n = len(text[at : m.start()].strip())
-        if n:
-            held["/".join(p for _, p in path)] += n if not in_link else -n
+        yield at, m.start(), here, m
         at, tag = m.end(), m[2].lower()
-        if tag == "a":
-            in_link = 0 if m[1] else 1
-        elif tag in _PLACES:
+        if tag in _PLACES:
             if not m[1]:
                 named = _CLASS.search(m[3])
-                path.append((tag, tag + (("." if named[1].lower() == "class" else "#") + re.sub(r"\d+", "", named[2]) if named else "")))
+                path.append(tag + (("." if named[1].lower() == "class" else "#") + re.sub(r"\d+", "", named[2]) if named else ""))
             else:
-                while path and path.pop()[0] != tag:
+                while path and re.match(r"\w+", path.pop())[0] != tag:
                     pass
-    held["/".join(p for _, p in path)] += len(text[at:].strip())
-    total = Counter(held)
-    for p, n in held.items():  # a container also holds what its inner ones hold, at a discount for each level
-        parts = p.split("/") if p else []
-        for k in range(len(parts)):
-            total["/".join(parts[:k])] += n * 0.9 ** (len(parts) - k)
-    return max(sorted(total), key=lambda p: total[p])
-
-
-def _within(text: str, path: str) -> str:
-    """The part of ``text`` inside the first container at ``path``; all of it if there is none, or if it leaves out headings or most text."""
-    if not path:
+            here = tuple(path)
+    yield at, len(text), here, None
+
+
+def container_votes(text: str) -> Votes:
+    """For each container path of a page (1 if it is the page's best, else 0; 1 if its own text is content, -1 if it is links or a margin). The root, '', is nobody's best."""
+    plain: Counter[tuple[str, ...]] = Counter()
+    links: Counter[tuple[str, ...]] = Counter()
+    text, in_link = _DROP.sub(" ", text), False
+    for a, b, path, m in _places(text):
+        if n := len(text[a:b].strip()):
+            (links if in_link else plain)[path] += n
+        if m and m[2].lower() == "a":
+            in_link = not m[1]
+    total: Counter[tuple[str, ...]] = Counter()
+    for p in plain.keys() | links.keys():  # a container also holds what its inner ones hold, at a discount for each level
+        for k in range(len(p) + 1):
+            total[p[:k]] += (plain[p] - links[p]) * 0.9 ** (len(p) - k)
+    if not total:
+        return {}
+    best, size = max(sorted(total), key=lambda p: total[p]), sum(plain.values())
+    margin = lambda p: any(re.match(r"\w+", x)[0] in _MARGINS for x in p) and 2 * plain[p] < size
+    out = {"/".join(p): (0, -1 if links[p] > plain[p] or margin(p) else 1) for p in plain.keys() | links.keys()}
+    name = "/".join(best)
+    return out | {name: (1 if name else 0, out.get(name, (0, 0))[1])}
+
+
+def _within(text: str, path: str, bad: frozenset[str] | None) -> str:
+    """``text`` without the containers of ``bad``; where the page lacks the container ``path``, only those that are no frame of the whole page."""
+    if not bad:
         return text
-    stack: list[str] = []
-    start, depth = None, 0
-    for m in _TAG.finditer(text):
-        tag = m[2].lower()
-        if tag not in _PLACES:
-            continue
-        if not m[1]:
-            named = _CLASS.search(m[3])
-            stack.append(tag + (("." if named[1].lower() == "class" else "#") + re.sub(r"\d+", "", named[2]) if named else ""))
-            if start is None and "/".join(stack) == path:
-                start, depth = m.end(), len(stack)
-        elif stack:
-            while stack and re.match(r"\w+", stack.pop())[0] != tag:
-                pass
-            if start is not None and len(stack) < depth:
-                inside, outside = text[start : m.start()], text[: start] + text[m.end() :]
-                visible = _clean(_TAG.sub(" ", _DROP.sub(" ", outside)))
-                return text if re.search(r"(?i)<h[1-6]\b|<li\b|<pre\b", outside) or len(visible) > 0.5 * len(inside) else inside
-    return text
-
-
-def _html(text: str, path: str = "") -> list[tuple[str, str]]:
-    text = _within(_DROP.sub(" ", text), path)
+    pieces = list(_places(text))
+    if not any("/".join(p) == path for _, _, p, _ in pieces):
+        bad = frozenset(b for b in bad if re.search(r"(?:^|/)(?!html$|body$)[^/]+$", b))
+    out = []
+    for a, b, p, m in pieces:
+        keep = "/".join(p) not in bad
+        out.append(text[a : m.end() if m else b] if keep else m[0] if m and m[2].lower() in _PLACES else " ")
+    return "".join(out)
+
+
+def _html(text: str, path: str = "", bad: frozenset[str] | None = None) -> list[tuple[str, str]]:
+    text = _within(_DROP.sub(" ", text), path, bad)
     out: list[tuple[str, str]] = []
     buffer: list[str] = []
     kind, cells, formula, pre, at = "text", [], None, None, 0
@@ -417,8 +426,6 @@ def _wiki(text: str) -> list[tuple[str, str]]:
                 out.append(("list_item", x))
         elif re.fullmatch(r":*\s*\x00\d+\x00", s):
             inline(s)
-        elif line.startswith(" ") and not kept and False:
-            out.append(("code", line))
         elif x := inline(s.lstrip(":;")):
             out.append(("text", x))
     return out
@@ -534,64 +541,84 @@ def _plain(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def blocks(text: str | None, fmt: str | None, path: str = "") -> list[tuple[str, str]]:
+def blocks(text: str | None, fmt: str | None, path: str = "", bad: frozenset[str] | None = None) -> list[tuple[str, str]]:
     """The blocks of a text in format ``fmt``; plain text has its lines as they are."""
     if not text:
         return []
     if fmt is None:
         return _plain(text)
-    found = _html(text, path) if fmt == "html" else {"md": _md, "wiki": _wiki, "tex": _tex}[fmt](text)
+    found = _html(text, path, bad) if fmt == "html" else {"md": _md, "wiki": _wiki, "tex": _tex}[fmt](text)
     return [(k, t) for k, t in found if t.strip()]
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    votes: Counter[tuple[str, str]] = Counter()
+    votes: dict[tuple[str, str], list[int]] = {}
     for batch in batches:
         hosts, formats, texts = (batch.column(i).to_pylist() for i in range(3))
         for host, stored, text in zip(hosts, formats, texts, strict=True):
-            if text and recognised(text, stored) == "html" and (path := container_votes(text)):
-                votes[host or "", path] += 1
+            if text and recognised(text, stored) == "html":
+                for path, (best, content) in container_votes(text).items():
+                    v = votes.setdefault((host or "", path), [0, 0])
+                    v[0] += best
+                    v[1] += content
         if len(votes) > 50_000:
             yield _counted(votes)
-            votes.clear()
+            votes = {}
     yield _counted(votes)
 
 
-def _counted(votes: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in votes], pa.string()), "path": pa.array([p for _, p in votes], pa.string()), "n": pa.array(votes.values(), pa.int64())})
+def _counted(votes: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
+    cols = ([h for h, _ in votes], [p for _, p in votes], [v[0] for v in votes.values()], [v[1] for v in votes.values()])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "path", "best", "content"])
 
 
 def winning_paths(docs: DataFrame, host: str = "source", stored: str = "format", text: str = "text") -> DataFrame:
-    """(host, path): the container path with most votes at each host; the lesser path on a tie. Pages whose best container is the root don't vote."""
-    pages = docs.select(F.col(host).cast("string"), F.col(stored).cast("string"), text).where(F.col(text).rlike(r"(?i)<(?:div|article|main|section|td)\b"))
-    votes = pages.mapInArrow(_votes, "host string, path string, n bigint").groupBy("host", "path").agg(F.sum("n").alias("n"))
-    return votes.groupBy("host").agg(F.max_by("path", F.struct("n", "path")).alias("path"))
+    """(host, path, bad): the container path with most votes at each host, the greater path on a tie and the root without votes, and the paths whose own text isn't read there: those that more pages call links or margins than content, and outside the winner those that as many do."""
+    pages = docs.select(F.col(host).cast("string"), F.col(stored).cast("string"), text).where(F.col(text).rlike(r"(?i)<(?:div|article|main|section|td|nav|header|footer|aside)\b"))
+    votes = pages.mapInArrow(_votes, "host string, path string, best bigint, content bigint").groupBy("host", "path").agg(F.sum("best").alias("best"), F.sum("content").alias("content"))
+    won = F.coalesce(F.max_by("path", F.when(F.col("best") > 0, F.struct("best", F.col("path").alias("p")))), F.lit(""))
+    doubtful = votes.groupBy("host").agg(won.alias("path"), F.collect_list(F.when(F.col("content") <= 0, F.struct("path", "content"))).alias("low"))
+    inside = lambda x: (x["path"] == F.col("path")) | F.startswith(x["path"], F.concat("path", F.lit("/"))) | (F.col("path") == "")
+    low = F.filter("low", lambda x: (x["path"] != F.col("path")) & ((x["content"] < 0) | ~inside(x)))
+    return doubtful.select("host", "path", F.transform(low, lambda x: x["path"]).alias("bad"))
 
 
-_OUT = "id string, format string, blocks array<struct<kind: string, text: string>>"
+Verdict = tuple[str, frozenset[str] | None]
 
 
-def _reader(winners: dict[str, str]):
+def _reader(known: dict[str, Verdict], consume):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hosts, formats, texts, paths = (batch.column(i).to_pylist() for i in range(5))
-            known = [recognised(t, s) if t else None for t, s in zip(texts, formats, strict=True)]
-            found = [blocks(t, f, p or winners.get(h or "", "")) for t, f, h, p in zip(texts, known, hosts, paths, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(known, pa.string()), pa.array([[{"kind": k, "text": t} for k, t in b] for b in found], BLOCKS)], ["id", "format", "blocks"])
+            ids, hosts, formats, texts, paths, bad = (batch.column(i).to_pylist() for i in range(6))
+            formats = [recognised(t, s) if t else None for t, s in zip(texts, formats, strict=True)]
+            found = []
+            for t, f, h, p, b in zip(texts, formats, hosts, paths, bad, strict=True):
+                path, low = (p, frozenset(b or ())) if p is not None else known.get(h or "", ("", None))
+                found.append(blocks(t, f, path, low))
+            yield consume(ids, formats, found)
 
     return read
 
 
-def document_blocks(docs: DataFrame, key: str = "doc_id", host: str = "source", stored: str = "format", text: str = "text") -> DataFrame:
-    """(id, format, blocks) of each row; id is ``key`` as string, format the recognised one or null."""
+def _as_blocks(ids: list, formats: list, found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(formats, pa.string()), pa.array([[{"kind": k, "text": t} for k, t in b] for b in found], BLOCKS)], ["id", "format", "blocks"])
+
+
+def read_documents(docs: DataFrame, consume, schema: str, key: str = "doc_id", host: str = "source", stored: str = "format", text: str = "text") -> DataFrame:
+    """What ``consume`` makes of (ids, recognised formats, blocks) of each batch of rows; ids are ``key`` as string."""
     winners = checkpointed(winning_paths(docs, host, stored, text))
     rows = docs.select(F.col(key).cast("string").alias("id"), F.col(host).cast("string").alias("host"), F.col(stored).cast("string").alias("stored"), F.col(text).alias("text"))
-    if winners.count() <= WINNERS:
-        known = {r["host"]: r["path"] for r in winners.collect()}
-        return rows.withColumn("path", F.lit(None).cast("string")).mapInArrow(_reader(known), _OUT)
+    if winners.agg(F.coalesce(F.sum(1 + F.size("bad")), F.lit(0))).first()[0] <= WINNERS:
+        known = {r["host"]: (r["path"], frozenset(r["bad"])) for r in winners.collect()}
+        return rows.select("*", F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<string>").alias("bad")).mapInArrow(_reader(known, consume), schema)
     salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).withColumn("host", F.coalesce("host", F.lit(""))).join(salted, ["host", "salt"], "left")
-    return joined.select("id", "host", "stored", "text", "path").mapInArrow(_reader({}), _OUT)
+    return joined.select("id", "host", "stored", "text", "path", "bad").mapInArrow(_reader({}, consume), schema)
+
+
+def document_blocks(docs: DataFrame, key: str = "doc_id", host: str = "source", stored: str = "format", text: str = "text") -> DataFrame:
+    """(id, format, blocks) of each row; id is ``key`` as string, format the recognised one or null."""
+    return read_documents(docs, _as_blocks, "id string, format string, blocks array<struct<kind: string, text: string>>", key, host, stored, text)
 
 
 def clean_text(blocks_column: str = "blocks"):

@@ -26,15 +26,33 @@ def test_traps_are_plain():
 def test_votes_and_elements(spark):
     page = "<div class='nav7'><a>x</a><a>y</a></div><div id='main'><h1>T</h1><p>long text here and more of it</p></div>"
     docs = spark.createDataFrame([(i, "h" if i < 5 else None, "html", page) for i in range(6)] + [(9, "h", None, None), (10, "h", None, "")], "doc_id bigint, source string, format string, text string")
-    assert {r["path"] for r in M.winning_paths(docs).collect()} == {"div#main"}
+    assert {(r["path"], tuple(r["bad"])) for r in M.winning_paths(docs).collect()} == {("div#main", ("div.nav",))}
     got = M.marked_elements(M.document_blocks(docs))
     assert sorted({(r["element"], r["element_text"]) for r in got.collect()}) == [("document", ""), ("heading", "T")]
     assert got.select("id").distinct().count() == 6
     clean = M.document_blocks(docs).where("id = '0'").select(M.clean_text().alias("t")).first()["t"]
-    assert clean.startswith("# T\n")
+    assert clean == "# T\nlong text here and more of it"  # the links are gone
     assert M.document_blocks(docs.limit(0)).count() == 0
     few, M.WINNERS = M.WINNERS, -1
     try:
         assert sorted(tuple(r) for r in M.marked_elements(M.document_blocks(docs)).collect()) == sorted(tuple(r) for r in got.collect())
     finally:
         M.WINNERS = few
+
+
+def test_paths_decide_what_is_read(spark):
+    menu = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>List of letters</a></li></ul></nav>"
+    main = "<div id='main'><h1>T{}</h1><p>Long text that says something here.</p><ul><li>true item {}</li></ul></div>"
+    side = "<aside><h2>Related</h2><ul><li><a>One</a></li><li><a>Two</a></li></ul></aside>"
+    foot = "<footer>Made by hand in Crelfield</footer>"
+    note = "<div class='note'><p>A remark of length beside it, no link in sight.</p></div>"
+    pages = ["<body>" + menu + main.format(i, i) + side + note + foot + "</body>" for i in range(4)]
+    other = "<body><ul><li><a>only</a></li></ul><p>Text outside of all.</p></body>"
+    docs = spark.createDataFrame([(i, "h", "html", t) for i, t in enumerate([*pages, other])], "doc_id bigint, source string, format string, text string")
+    (row,) = M.winning_paths(docs).collect()
+    assert row["path"] == "body" and set(row["bad"]) == {"body/nav", "body/aside", "body/footer"}
+    found = {int(r["id"]): [(b["kind"], b["text"]) for b in r["blocks"]] for r in M.document_blocks(docs).collect()}
+    for i in range(4):
+        assert found[i] == [("heading", f"T{i}"), ("text", "Long text that says something here."), ("list_item", f"true item {i}"), ("text", "A remark of length beside it, no link in sight.")]
+        assert M.blocks(pages[i], "html") != found[i]  # without the votes the menu stays
+    assert found[4] == [("list_item", "only"), ("text", "Text outside of all.")]
