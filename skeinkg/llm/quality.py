@@ -1,219 +1,371 @@
 """Per-document text statistics, and from them prose, list, table or junk.
 
-Statistics are SQL expressions over the lines of the visible text (markup already read by ``markup``),
-added up per document before anything is shuffled. The kind comes from an ordered rule list that is
-induced from labelled documents by incremental reduced-error pruning: for each class, rarest first, a rule
-is grown on two thirds of the labelled documents by information gain, pruned on the last third, and kept
-while it is right on more than half of what it covers there. The rules are exported to one SQL CASE.
+Statistics are taken line by line of the visible text, where ``markup`` has read it and in the same task: every
+character of a batch is classed by one table lookup, and counts of lines and tokens are sums over those
+classes, so a text is passed over a few times by array operations and by patterns only where a count calls for them.
+Nothing is shuffled. A line has signs (set off by marks, made of cells, misread, ...), and a document's statistic
+for a sign is the share of its visible characters that stand in such lines.
 
-Only the fitting looks at a sample: at most ``LABELLED`` labelled documents, chosen by the hash of their
-id. A class with fewer than ``FEWEST`` labelled documents, or for which no rule survives pruning, gets the
-plain rule that more than half of the visible characters are of its kind.
+The kind comes from an ordered rule list that is induced from labelled documents by incremental reduced-error
+pruning: for each class, rarest first, a rule is grown on two thirds of the labelled documents by information gain,
+pruned on the last third, and kept while it is right on more than half of what it covers there. Which statistics
+count and where they are cut is learned alone; a class without labelled documents, or none of whose rules survives,
+is never assigned. The rules are exported to one SQL CASE and applied by it.
+
+Only the fitting looks at a sample: at most about ``LABELLED`` labelled documents, those with the least hashes of id.
 
 Defined results: null, empty and blank texts give no row; labels that are null, unknown or evenly disputed
-are left out of the fitting.
+are left out of the fitting; without any labels everything is prose.
 """
 
-import math
+import re
+import sys
+import unicodedata
 from collections import Counter
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents that the rules are fitted to.
+from ..functions.sample import least_hashed
+from . import markup
+
+#: Labelled documents that the rules are fitted to, at most.
 LABELLED = 20_000
-FEWEST = 6
 #: Common words that are looked up; more are refused.
-MOST_COMMON = 10_000
+MOST_COMMON = 100_000
 KINDS = ("list", "table", "junk")
 
-ENDS = r"[.!?。！？।؟…‽][\"'”’»›」』）)\]]*\s*$"
-HAN, KANA = r"\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}", r"\x{3040}-\x{30ff}\x{ff66}-\x{ff9d}"
-WORDS = rf"[{HAN}]|[{KANA}]+|[\p{{L}}\p{{M}}\p{{N}}&&[^{HAN}{KANA}]]+"
-MARKER = r"^\s*(?:[•‣·▪◦●○■∙*+➤►-]\s*|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]\s+|No\.?\s*\d+\s*:|[#№]\s?\d+|\d{3,4}\s*[:：]|\[\d+\])"
-INDEX = r"^[^,;]{2,60},\s*\d{1,4}(?:,\s*\d{1,4}(?:\s?[–-]\s?\d{1,4})?){1,8}$"
-HEX = r"^\s*(?:[0-9a-fA-F]{4,8}[:\s]\s*)?[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}\s[0-9a-fA-F]{2}(?:\s|$)"
-MISREAD = r"[\u00c2-\u00f4][\u0080-\u00bf\u2018-\u203a\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\ufffd]|\ufffd"
-CODED = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}"
-SPACES = r"[\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-TORN = r"[a-zA-Z][;:|'!,]+[a-zA-Z]*[;:|'!,]|[a-zA-Z][;:|!,][a-zA-Z]|(?<!\S)[;:|'!^+=&%@,]+[a-zA-Z0-9]{0,2}(?!\S)|(?<!\S)[;:|'!,][a-zA-Z0-9]|[a-z][A-Z0-9][a-zA-Z]|[a-zA-Z0-9][|]+(?!\S)|(?<!\S)[01lIO](?!\S)"
-LOOSE = r"^[^\p{L}\p{N}\p{M}]{1,3}$"
-#: Loose marks that readable text has too where its marks are set off by blanks.
-PLAIN = r"^[,.、،\"'`“”„‘’«»‹›()\[\]…–—-]{1,3}$"
-CRAMPED = r"(?i)^[bcdfghjklmnpqrstvwxz]{4,}$|[bcdfghjklmnpqrstvwxz]{5,}|^q[^u]|[jqvwx]{2}|[bcdfghjklmnpqrstvwxz]{2,}[jqx]|[jqx][bcdfghjklmnpqrstvwxz]{2,}"
-
-
-def _lines(found: DataFrame) -> DataFrame:
-    """One row for each line of visible text. Formulas are counted where they stand in the text."""
-    b = found.select("id", F.posexplode(F.filter("blocks", lambda x: x.kind != "formula")).alias("no", "b"))
-    lines = b.select("id", F.col("b.kind").alias("kind"), F.explode(F.when(F.col("b.kind") == "text", F.split("b.text", "\n")).otherwise(F.array("b.text"))).alias("line"))
-    return lines.withColumn("n", F.length(F.replace("line", F.lit(" "), F.lit(""))) - F.regexp_count("line", F.lit(SPACES))).where("n > 0")
-
-
-def document_features(found: DataFrame, common_words: DataFrame | None = None) -> DataFrame:
-    """(id, statistics and shares of visible characters) for rows of ``markup.document_blocks``. ``common_words`` is the small list (lang, word)."""
+_HAN, _KANA = "\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff", "\u3040-\u30ff\uff66-\uff9d"
+_ENDS = re.compile(r"[.!?。！？।؟…‽][\"'”’»›」』）)\]]*$")
+_MARKER = re.compile(r"\s*(?:[•‣·▪◦●○■∙*+➤►-]\s*|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]\s+|No\.?\s*\d+\s*:|[#№]\s?\d+|\d{3,4}\s*[:：]|\[\d+\])")
+_INDEX = re.compile(r"[^,;]{2,60},\s*\d{1,4}(?:,\s*\d{1,4}(?:\s?[–-]\s?\d{1,4})?){1,8}")
+_HEX = re.compile(r"\s*(?:[0-9a-fA-F]{4,8}[:\s]\s*)?(?:[0-9a-fA-F]{2}\s){4}[0-9a-fA-F]{2}(?:\s[0-9a-fA-F:\s]*)?")
+_LATIN = re.compile(r"[A-Za-z]{3,}")
+_CRAMPED = re.compile(r"(?i)^[bcdfghjklmnpqrstvwxz]{4,}$|[bcdfghjklmnpqrstvwxz]{5,}|^q[^u]|[jqvwx]{2}|[bcdfghjklmnpqrstvwxz]{2,}[jqx]|[jqx][bcdfghjklmnpqrstvwxz]{2,}")
+_BREAK = re.compile(r"[.!?]\s+\S|[。！？]\s*\S")
+_BARS, _COMMAS, _GAPS = re.compile(r"\s[|¦›»·]\s"), re.compile("[,;]"), re.compile(" {2,}")
+_VALUE = re.compile(r"\s*(?:-?\d+(?:\.\d+)?|[A-Z]-?\d+(?:/\d+)?|n/a|-)?\s*")
+_KEYED = re.compile(r"[^:：;]{1,40}:")
+_LOOSE_COMMA, _OPEN_END = re.compile(r"[,;]\s"), re.compile(r"[,，、—:：]\s*$")
+
+LETTER, MARK, NUMBER, SPACE, HAN, KANA, ALPHA, LOWER, CAPITAL, CODED, PIERCE, STRAY, PLAIN, LONE, GARBLED = (1 << k for k in range(15))
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """The classes of every code point as bits."""
+    table = np.zeros(sys.maxunicode + 1, np.uint16)
+    for cp in range(0x40000):
+        k = unicodedata.category(chr(cp))[0]
+        table[cp] = {"L": LETTER, "M": MARK, "N": NUMBER}.get(k, 0)
+    for chars, bit in (("\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))), SPACE), (";:|'!,", PIERCE), (";:|'!^+=&%@,", STRAY), (",.、،\"'`“”„‘’«»‹›()[]…–—-", PLAIN), ("01lIO", LONE), ("+/", CODED), ("‘’‚‛“”„‟†‡•‣․‥…‰‹›€™ŒœŠšŸŽžƒˆ˜\ufffd", GARBLED)):
+        for c in chars:
+            table[ord(c)] |= bit
+    for lo, hi, bit in ((0x3400, 0x9FFF, HAN), (0xF900, 0xFAFF, HAN), (0x20000, 0x3FFFF, HAN), (0x3040, 0x30FF, KANA), (0xFF66, 0xFF9D, KANA), (65, 90, ALPHA | CAPITAL | CODED), (97, 122, ALPHA | LOWER | CODED), (48, 57, CAPITAL | CODED), (0x80, 0xBF, GARBLED), (0x2018, 0x203A, GARBLED)):
+        table[lo : hi + 1] |= bit
+    return table
+
+
+@lru_cache(1)
+def _word() -> re.Pattern:
+    marks, k = [], 0
+    table = _classes()
+    while k < 0x40000:  # runs of combining marks, which Python doesn't count as parts of words
+        j = k
+        while j < 0x40000 and table[j] & MARK:
+            j += 1
+        if j > k:
+            marks.append(f"{re.escape(chr(k))}-{re.escape(chr(j - 1))}")
+        k = j + 1
+    return re.compile(rf"[{_HAN}]|[{_KANA}]+|(?:(?![{_HAN}{_KANA}])(?:[^\W_]|[{''.join(marks)}]))+")
+
+
+class Lines:
+    """Counts for each of some lines (none empty or blank); the arrays have one element a line."""
+
+    def __init__(self, lines: list[str]):
+        sizes = np.array([len(x) + 1 for x in lines], np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        text = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = _classes()[np.minimum(text, sys.maxunicode)]
+        per = lambda mask: np.add.reduceat(mask.astype(np.int32), starts)
+        is_ = lambda bits: (c & bits) != 0
+        space, alnum = is_(SPACE), is_(LETTER | MARK | NUMBER)
+        self.visible, self.size = per(~space), sizes - 1
+        self.numbers = per(is_(NUMBER))
+        self.symbols = per(~alnum & ~space)
+        self.letters = np.maximum(self.visible - self.symbols - self.numbers, 0)
+        kind = np.where(is_(HAN), 1, np.where(is_(KANA), 2, np.where(alnum, 3, 0))).astype(np.int8)
+        word = kind > 0
+        before = np.concatenate(([0], kind[:-1]))
+        self.words, self.word_chars = per(word & ((kind == 1) | (kind != before))), per(word)
+        wide = (text >= 0xC2) & (text <= 0xF4)
+        garbled = wide[:-1] & (is_(GARBLED)[1:])
+        lost = text == 0xFFFD
+        lost[1:] &= ~wide[:-1]
+        self.misread = per(lost | np.append(garbled, False))
+        # tokens are runs without white space; a line ends with white space, so none crosses lines
+        line = np.repeat(np.arange(len(lines)), sizes)
+        edge = np.diff(np.concatenate(([1], space.astype(np.int8))))
+        a, b = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if not space[0]:
+            a = np.concatenate(([0], a)) if not len(a) or a[0] else a
+        self._tokens(c, text, a, b, line[a], len(lines))
+        coded = np.concatenate(([0], is_(CODED).astype(np.int8)))
+        step = np.diff(coded)
+        runs, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self.coded = np.bincount(line[runs[ends - runs >= 32]], minlength=len(lines)) > 0
+
+    def _tokens(self, c: np.ndarray, text: np.ndarray, a: np.ndarray, b: np.ndarray, line: np.ndarray, lines: int) -> None:
+        n = b - a
+        count = lambda keep, weights=None: np.bincount(line[keep], None if weights is None else weights[keep], minlength=lines)
+        summed = lambda mask: np.concatenate(([0], np.cumsum(mask, dtype=np.int32)))
+        within = lambda s: s[b] - s[a]
+        is_ = lambda bits: (c & bits) != 0
+        alnum, alpha, pierce, stray = is_(LETTER | MARK | NUMBER), is_(ALPHA), is_(PIERCE), is_(STRAY)
+        short = (n <= 3) & (within(summed(alnum)) == 0)
+        plain = short & (within(summed(is_(PLAIN))) == n)
+        self.tokens, self.loose, self.odd_marks = count(n > 0), count(short), count(short & ~plain)
+        last = np.zeros(lines, np.int64)
+        last[line] = np.arange(len(a))  # the last token of each line
+        self.bare = short[last] & (self.tokens > 1) if len(a) else np.zeros(lines, bool)
+        # torn tokens: pierced by marks, capitals or digits inside words, lone strokes
+        pad = lambda x, k: np.append(x[k:], np.zeros(k, x.dtype))
+        at = np.where(~alpha, np.arange(len(c)), len(c) - 1)
+        after = np.minimum.accumulate(at[::-1])[::-1]  # the next that is no ASCII letter
+        quote = text == ord("'")
+        torn = alpha & pad(pierce, 1) & pierce[pad(after, 2)]
+        torn |= alpha & pad(pierce & ~quote, 1) & pad(alpha, 2)
+        torn |= is_(LOWER) & pad(is_(CAPITAL), 1) & pad(alpha, 2)
+        ascii_ = is_(LOWER | CAPITAL)
+        broken = within(summed(torn)) > 0
+        broken |= pierce[a] & (n > 1) & ascii_[np.minimum(a + 1, len(c) - 1)]
+        marks, tail = within(summed(stray)), within(summed(ascii_))
+        s = summed(stray)
+        broken |= (marks > 0) & (tail <= 2) & (marks + tail == n) & (s[a + marks] - s[a] == marks)
+        bar = text == ord("|")
+        back = np.maximum.accumulate(np.where(~bar, np.arange(len(c)), 0))
+        broken |= bar[b - 1] & (back[b - 1] >= a) & ascii_[back[b - 1]]
+        broken |= (n == 1) & is_(LONE)[a]
+        self.torn = count(broken, n.astype(np.float64))
+
+
+def _small(parts: list[str], most: int) -> bool:
+    return all(len(p.strip()) <= most and not _BREAK.search(p) for p in parts)
+
+
+#: Signs of lines. Unreadable ones come first: a line that has one of them is no entry and no row.
+UNREADABLE = ("scrawl", "hex", "code", "menu", "cramped", "torn", "misread", "repeated", "loose")
+SIGNS = (*UNREADABLE, "entry", "marked", "short", "cell", "item", "row")
+
+
+def _signs(line: str, kind: str, i: int, x: Lines, words: list[str], ended: bool) -> list[str]:
+    """The signs of one line, the ``i``-th of ``x``."""
+    n, size, k = int(x.visible[i]), int(x.size[i]), len(words)
+    if kind != "text":
+        return ["item", "entry"] if kind == "list_item" else ["row", "cell"] if kind == "row" else []
+    out = []
+    if x.symbols[i] > 0.6 * n and n > 3:
+        out.append("scrawl")
+    if _HEX.fullmatch(line):
+        out.append("hex")
+    if size >= 32 and x.numbers[i] and x.coded[i]:
+        out.append("code")
+    barred = "|" in line or "¦" in line
+    if (barred or "›" in line or "»" in line or "·" in line) and not re.search(r"\d", line) and len(parts := _BARS.split(line)) >= 3 and _small(parts, 20):
+        out.append("menu")
+    if not ended and k >= 3 and sum(1 for w in words if _LATIN.fullmatch(w)) >= 3 and sum(1 for w in words if _CRAMPED.search(w)) > 0.3 * k:
+        out.append("cramped")
+    if x.tokens[i] >= 5 and x.torn[i] > 0.3 * n:
+        out.append("torn")
+    if x.misread[i] > 0.15 * n:
+        out.append("misread")
+    # words of prose grow about as the root of its length or faster, so long prose isn't poor in words
+    if k >= 10 and len(set(words)) <= min(0.2 * k, 5 * k**0.5, 500):
+        out.append("repeated")
+    t = int(x.tokens[i])
+    if t >= 10:
+        # in text that ends with a bare mark, that mark is none of the loose ones, and plain marks alone must be more
+        if not ended and x.loose[i] > 0.12 * t or ended and x.bare[i] and (x.odd_marks[i] - 1 > 0.12 * t or x.loose[i] - 1 > 0.25 * t):
+            out.append("loose")
+    if out:
+        return out
+    index = size <= 300 and "," in line and bool(_INDEX.fullmatch(line))
+    if not index:
+        cells = "\t" in line or barred and len(re.split(r"[|¦]", line)) >= 3
+        if not cells and not ended and size <= 500:
+            cells = "  " in line and len(_GAPS.split(line.strip())) >= 2
+            if not cells and ("," in line or ";" in line):
+                parts = _COMMAS.split(line)
+                values = sum(1 for p in parts if _VALUE.fullmatch(p))
+                tight = not _LOOSE_COMMA.search(line)
+                m = len(parts)
+                cells = (m >= 3 and (m - values <= 1 or values == 0 and tight) or m == 2 and values == 1 and tight) and _small(parts, 40)
+                cells = cells or ";" in line and values >= m - 1 and bool(_KEYED.match(line)) and _small(parts, 60)
+        if cells:
+            return ["cell"]
+    marked = bool(_MARKER.match(line)) and (not ended or n <= 40)
+    short = n <= 70 and not ended and not _OPEN_END.search(line)
+    if marked:
+        out.append("marked")
+    if short:
+        out.append("short")
+    if index or n <= 70 and (marked or short):
+        out.append("entry")
+    return out
+
+
+FEATURES = ("ended_share", "common_share", "letter_share", "symbol_share", "mean_word_length", "line_length", *(f"{s}_share" for s in SIGNS))
+_COUNTS = ("word_count", "mean_word_length", "symbol_share", "ended_share", "common_share", "letter_share", "line_length", *(f"{s}_share" for s in SIGNS))
+SCHEMA = "id string, word_count bigint, " + ", ".join(f"{c} double" for c in _COUNTS[1:])
+
+
+def features_of(ids: list, found: list[list[tuple[str, str]]], common: frozenset[str]) -> pa.RecordBatch:
+    """The statistics of documents given as blocks (kind, text). Formulas are counted where they stand in the text."""
+    lines: list[str] = []
+    kinds: list[str] = []
+    owner: list[int] = []
+    for d, blocks in enumerate(found):
+        for kind, text in blocks:
+            if kind != "formula":
+                for line in text.split("\n") if kind == "text" else (text,):
+                    if line.strip():
+                        lines.append(line)
+                        kinds.append(kind)
+                        owner.append(d)
+    if not lines:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int64()), *(pa.array([], pa.float64()) for _ in _COUNTS[1:])], ["id", *_COUNTS])
+    x, of, word = Lines(lines), np.array(owner), _word()
+    signs = {s: np.zeros(len(lines)) for s in SIGNS}
+    ended, usual = np.zeros(len(lines)), np.zeros(len(lines))
+    for i, line in enumerate(lines):
+        words = word.findall(line)
+        if common:
+            usual[i] = sum(map(common.__contains__, map(str.lower, words)))
+        ended[i] = end = bool(_ENDS.search(line[-40:].rstrip()[-12:]))
+        for s in _signs(line, kinds[i], i, x, words, end):
+            signs[s][i] = x.visible[i]
+    total = lambda v: np.bincount(of, v, minlength=len(found))
+    share = lambda a, b: np.divide(a, b, out=np.zeros(len(found)), where=b > 0)
+    visible, count, words = total(x.visible), np.bincount(of, minlength=len(found)).astype(float), total(x.words)
+    typed = np.array([k == "text" for k in kinds])
+    entries = total((signs["entry"] > 0) & typed)
+    # fewer than three typed lines make no list
+    signs["entry"][typed] *= (entries >= 3)[of[typed]]
+    columns = [words.astype(np.int64), share(total(x.word_chars), words), share(total(x.symbols), visible), share(total(ended), count), share(total(usual), words), share(total(x.letters), visible), share(visible, count), *(share(total(signs[s]), visible) for s in SIGNS)]
+    keep = np.flatnonzero(visible > 0)
+    return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.string()), *(pa.array(c[keep]) for c in columns)], ["id", *_COUNTS])
+
+
+def common_set(common_words: DataFrame | None) -> frozenset[str]:
+    """The words of the small list (lang, word), lower case."""
     rows = common_words.where("word IS NOT NULL").select("word").distinct().limit(MOST_COMMON + 1).collect() if common_words is not None else []
     if len(rows) > MOST_COMMON:
         raise ValueError(f"more than {MOST_COMMON} common words")
-    common = [r["word"].lower() for r in rows]
-    line = F.col("line")
-    words = F.regexp_extract_all("line", F.lit(f"({WORDS})"), F.lit(1))
-    d = _lines(found).withColumn("words", words)
-    n = F.col("n")
-    count = lambda pattern: F.regexp_count("line", F.lit(pattern))
-    d = d.withColumns({"ends": F.right(F.rtrim(line), F.lit(12)).rlike(ENDS), "symbols": count(r"[^\p{L}\p{M}\p{N}\s]"), "numbers": count(r"\p{N}")})
-    # the tokens are looked at only where they can be a sign: without an end mark, behind a bare one, and with a torn token
-    d = d.withColumns({"bare": F.col("ends") & F.right(F.rtrim(line), F.lit(4)).rlike(r"(?U)\s[^\p{L}\p{N}\p{M}\s]{1,3}$"), "any_torn": line.rlike(f"(?U){TORN}")})
-    open_ = ~F.col("ends") | F.col("bare") | F.col("any_torn")
-    tokens = F.filter(F.split(line, r"(?U)\s+"), lambda t: t != "")
-    d = d.withColumns({"letters": F.greatest(n - F.col("symbols") - F.col("numbers"), F.lit(0)), "tokens": F.when(open_, tokens)})
-    summed = lambda c, keep: F.aggregate(F.filter(c, keep), F.lit(0), lambda x, t: x + F.length(t))
-    d = d.withColumns({
-        "torn": F.coalesce(F.when(F.col("any_torn") & (F.size("tokens") >= 5), summed("tokens", lambda t: t.rlike(TORN))), F.lit(0)),
-        "odd": F.when(~F.col("ends"), F.size(F.filter("words", lambda w: w.rlike(CRAMPED)))).otherwise(0),
-        "latin": F.when(~F.col("ends"), F.size(F.filter("words", lambda w: w.rlike(r"^[A-Za-z]{3,}$")))).otherwise(0),
-    })
-    text = F.col("kind") == "text"
-    size = F.length(line)
-    small = lambda parts, most: F.forall(parts, lambda c: (F.length(F.trim(c)) <= most) & ~c.rlike(r"[.!?]\s+\S|[。！？]\s*\S"))
-    by_bar, by_comma = F.split(line, r"\s[|¦›»·]\s"), F.split(line, r"[,;]")
-    barred = line.contains("|") | line.contains("¦")
-    menu = (barred | line.rlike("[›»·]")) & ~line.rlike(r"\d") & (F.size(by_bar) >= 3) & small(by_bar, 20)
-    words, tokens = F.col("words"), F.col("tokens")
-    loose = lambda keep: F.size(F.filter(tokens, lambda t: t.rlike(LOOSE) & keep(t)))
-    # in text that ends with a bare mark, that mark is none of the loose ones, and plain marks alone must be more
-    loose_ended = (loose(lambda t: ~t.rlike(PLAIN)) - 1 > 0.12 * F.size(tokens)) | (loose(lambda t: F.lit(True)) - 1 > 0.25 * F.size(tokens))
-    # words of prose grow about as the root of its length or faster, so long prose isn't poor in words
-    k = F.size(words)
-    few = (k >= 10) & (F.size(F.array_distinct(words)) <= F.least(0.2 * k, 5 * F.sqrt(k), F.lit(500.0)))
-    junk = text & (
-        (F.col("symbols") > 0.6 * n) & (n > 3)
-        | line.rlike(HEX) & (F.regexp_replace(line, r"[0-9a-fA-F:\s]", "") == "")
-        | (size >= 32) & (F.col("numbers") > 0) & line.rlike(CODED)
-        | menu
-        | ~F.col("ends") & (F.col("latin") >= 3) & (F.col("odd") > 0.3 * F.size(words))
-        | (F.col("torn") > 0.3 * n)
-        | line.rlike(r"[\x{c2}-\x{f4}\x{fffd}]") & (count(MISREAD) > 0.15 * n)
-        | few
-        | (F.size(tokens) >= 10) & F.when(~F.col("ends"), loose(lambda t: F.lit(True)) > 0.12 * F.size(tokens)).when(F.col("bare"), loose_ended).otherwise(False)
-    )
-    # each sign is a column of its own, so that none is computed twice
-    d = d.withColumn("is_junk", junk)
-    open_line = text & ~F.col("is_junk")
-    commas = ~F.col("ends") & (size <= 500) & (line.contains(",") | line.contains(";"))
-    d = d.withColumns({"is_index": open_line & (size <= 300) & line.contains(",") & line.rlike(INDEX), "cells": F.when(open_line & commas, by_comma)})
-    value = r"^\s*(?:-?\d+(?:\.\d+)?|[A-Z]-?\d+(?:/\d+)?|n/a|-)?\s*$"
-    d = d.withColumn("values", F.when(F.col("cells").isNotNull(), F.size(F.filter("cells", lambda c: c.rlike(value)))).otherwise(-1))
-    cells, k, values = F.col("cells"), F.size("cells"), F.col("values")
-    tight = ~line.rlike(r"[,;]\s")
-    separated = (k >= 3) & ((k - values <= 1) | (values == 0) & tight) | (k == 2) & (values == 1) & tight
-    keyed = line.contains(";") & line.rlike(r"^[^:：;]{1,40}:") & (values >= k - 1)
-    comma_row = cells.isNotNull() & F.coalesce(separated & small(cells, 40) | keyed & small(cells, 60), F.lit(False))
-    spaced = ~F.col("ends") & (size <= 500) & line.contains("  ") & (F.size(F.split(F.trim(line), " {2,}")) >= 2)
-    d = d.withColumn("is_row", open_line & ~F.col("is_index") & (line.contains("\t") | barred & (F.size(F.split(line, r"[|¦]")) >= 3) | spaced | comma_row))
-    marked = line.rlike(MARKER) & (~F.col("ends") | (n <= 40))
-    entry = open_line & ~F.col("is_row") & (F.col("is_index") | (n <= 70) & (marked | ~F.col("ends") & ~line.rlike(r"[,，、—:：]\s*$")))
-    d = d.withColumns({"is_table": F.col("is_row") | (F.col("kind") == "row"), "is_entry": entry})
-    of = lambda what: F.sum(F.when(what, n).otherwise(0))
-    in_common = F.size(F.filter("words", lambda w: F.lower(w).isin(common))) if common else F.lit(0)
-    a = d.groupBy("id").agg(
-        F.sum("n").alias("visible"), F.count("*").alias("lines"), F.sum(F.size("words")).alias("words"),
-        F.sum(F.length(F.array_join("words", ""))).alias("word_chars"), F.sum("symbols").alias("symbols"), F.sum(in_common).alias("common"), F.sum(F.col("ends").cast("int")).alias("ended"),
-        F.sum("letters").alias("letters"), of(F.col("is_junk")).alias("junk"), of(F.col("is_table")).alias("table"), of(F.col("kind") == "list_item").alias("items"),
-        of(F.col("is_entry")).alias("entries"), F.sum((F.col("is_entry")).cast("int")).alias("entry_lines"),
-    )
-    share = lambda x, of: F.coalesce(x / F.nullif(of, F.lit(0)), F.lit(0.0))
-    v = F.col("visible")
-    entries = F.when(F.col("entry_lines") >= 3, F.col("entries")).otherwise(0) + F.col("items")
-    return a.select(
-        "id", F.col("words").alias("word_count"), share(F.col("word_chars"), F.col("words")).alias("mean_word_length"), share(F.col("symbols"), v).alias("symbol_share"),
-        share(F.col("ended"), F.col("lines")).alias("ended_share"), share(F.col("common"), F.col("words")).alias("common_share"), share(F.col("letters"), v).alias("letter_share"),
-        share(v, F.col("lines")).alias("line_length"), share(entries, v).alias("list_share"), share(F.col("table"), v).alias("table_share"), share(F.col("junk"), v).alias("junk_share"),
-    )
-
-
-FEATURES = ("list_share", "table_share", "junk_share", "ended_share", "common_share", "letter_share", "symbol_share", "mean_word_length", "line_length")
-Rule = list[tuple[str, str, float]]
+    return frozenset(r["word"].lower() for r in rows)
+
 
+def document_features(docs: DataFrame, common_words: DataFrame | None = None, **columns: str) -> DataFrame:
+    """(id, statistics, shares of visible characters in lines with each sign) of the rows of documents; ``columns`` as in ``markup.read_documents``."""
+    common = common_set(common_words)
+    return markup.read_documents(docs, lambda ids, _, found: features_of(ids, found, common), SCHEMA, **columns)
 
-def _holds(rule: Rule, row: dict) -> bool:
-    return all(row[f] > cut if op == ">" else row[f] <= cut for f, op, cut in rule)
 
+# ---------------------------------------------------------------- rules
+Rule = list[tuple[str, str, float]]
 
-def _counts(rule: Rule, rows: list[dict], kind: str) -> tuple[int, int]:
-    held = [r["label"] == kind for r in rows if _holds(rule, r)]
-    return sum(held), len(held) - sum(held)
 
+def _covered(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
+    held = np.ones(n, bool)
+    for f, op, cut in rule:
+        held &= x[f] > cut if op == ">" else x[f] <= cut
+    return held
 
-def _grown(rows: list[dict], kind: str) -> Rule:
-    """A rule for ``kind``, one test after the other by FOIL's information gain."""
+
+def _grown(x: dict[str, np.ndarray], is_kind: np.ndarray) -> Rule:
+    """A rule, one test after the other by FOIL's information gain; cuts lie midway between neighbouring values."""
     rule: Rule = []
     while len(rule) < 4:
-        covered = [r for r in rows if _holds(rule, r)]
-        p0 = sum(r["label"] == kind for r in covered)
-        n0 = len(covered) - p0
+        held = np.flatnonzero(_covered(rule, x, len(is_kind)))
+        y = is_kind[held]
+        p0, n0 = int(y.sum()), int((~y).sum())
         if not p0 or not n0:
             break
-        before, best = math.log2(p0 / (p0 + n0)), (1e-9, None)
+        before, best, test = np.log2(p0 / (p0 + n0)), 1e-9, None
         for f in FEATURES:
-            order = sorted(covered, key=lambda r: r[f])
-            p = n = 0
-            for a, b in zip(order, order[1:]):
-                p, n = p + (a["label"] == kind), n + (a["label"] != kind)
-                lo, hi = a[f], b[f]
-                if lo < hi:
-                    cut = 0.5 if f.endswith("_share") and lo < 0.5 <= hi else (lo + hi) / 2
-                    for op, pp, nn in (("<=", p, n), (">", p0 - p, n0 - n)):
-                        if pp and (gain := pp * (math.log2(pp / (pp + nn)) - before)) > best[0]:
-                            best = (gain, (f, op, cut))
-        if best[1] is None:
+            order = np.argsort(x[f][held], kind="stable")
+            v, yes = x[f][held][order], np.cumsum(y[order])
+            at = np.flatnonzero(v[:-1] < v[1:])
+            if not len(at):
+                continue
+            p, n = yes[at].astype(float), (at + 1 - yes[at]).astype(float)
+            for op, pp, nn in (("<=", p, n), (">", p0 - p, n0 - n)):
+                gain = np.where(pp > 0, pp * (np.log2(np.maximum(pp, 1) / np.maximum(pp + nn, 1)) - before), 0.0)
+                k = int(gain.argmax())
+                if gain[k] > best:
+                    best, test = gain[k], (f, op, round(float(v[at[k]] + v[at[k] + 1]) / 2, 6))
+        if test is None:
             break
-        rule = [*rule, best[1]]
+        rule = [*rule, test]
     return rule
 
 
 def induced_rules(rows: list[dict]) -> list[tuple[str, Rule]]:
-    """Ordered (kind, rule) by incremental reduced-error pruning over rows with ``label`` and the features; rows split by their order, so the result is repeatable."""
+    """Ordered (kind, rule) by incremental reduced-error pruning over rows with ``label`` and the features; rows are split by their order, so the result is repeatable. A rule that fails gives up the rows it was grown for, and five failures end a class."""
+    x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
+    label, third = np.array([r["label"] for r in rows], object), np.arange(len(rows)) % 3 == 0
+    sizes, left = Counter(r["label"] for r in rows), np.ones(len(rows), bool)
     rules: list[tuple[str, Rule]] = []
-    sizes = Counter(r["label"] for r in rows)
-    left = rows
     for kind in sorted(KINDS, key=lambda k: (sizes[k], k)):
-        own: list[Rule] = []
-        while sizes[kind] >= FEWEST:
-            grow, prune = [r for i, r in enumerate(left) if i % 3], [r for i, r in enumerate(left) if i % 3 == 0]
-            rule = _grown(grow, kind)
+        is_kind, given_up, failures = label == kind, np.zeros(len(rows), bool), 0
+        while failures < 5:
+            grow, prune = np.flatnonzero(left & ~third & ~given_up), np.flatnonzero(left & third)
+            rule = _grown({f: v[grow] for f, v in x.items()}, is_kind[grow])
+            if not rule:
+                break
+            held_out = {f: v[prune] for f, v in x.items()}
+
+            def right(r: Rule) -> tuple[int, int]:
+                y = is_kind[prune][_covered(r, held_out, len(prune))]
+                return int(y.sum()), int((~y).sum())
 
             def worth(r: Rule) -> float:
-                p, n = _counts(r, prune, kind)
-                return (p - n) / (p + n) if p + n else -1.0
+                p, n = right(r)
+                return ((p - n) / (p + n) if p + n else -1.0) - 0.02 * len(r)
 
-            if not rule:
-                break
-            rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: worth(r) - 0.02 * len(r))
-            p, n = _counts(rule, prune, kind)
+            rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=worth)
+            p, n = right(rule)
+            covered = _covered(rule, x, len(rows))
             if p <= n:
-                break
-            own.append(rule)
-            left = [r for r in left if not _holds(rule, r)]
-            if not any(r["label"] == kind for r in left):
-                break
-        rules += [(kind, r) for r in own or [[(f"{kind}_share", ">", 0.5)]]]
+                failures += 1
+                given_up |= covered & is_kind
+                continue
+            rules.append((kind, rule))
+            left &= ~covered
     return rules
 
 
 def rules_as_sql(rules: list[tuple[str, Rule]]) -> str:
     """One CASE over the feature columns."""
-    tests = (f"WHEN {' AND '.join(f'{f} {op} {cut!r}' for f, op, cut in rule)} THEN '{kind}'" for kind, rule in rules)
-    return f"CASE {' '.join(tests)} ELSE 'prose' END"
+    tests = " ".join(f"WHEN {' AND '.join(f'{f} {op} {cut!r}' for f, op, cut in rule)} THEN '{kind}'" for kind, rule in rules)
+    return f"CASE {tests} ELSE 'prose' END" if rules else "'prose'"
 
 
-def labelled_features(features: DataFrame, labels: DataFrame) -> list[dict]:
-    """At most ``LABELLED`` feature rows with the label most annotators gave, in the order of the ids' hashes."""
+def clear_labels(labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """(id, label): the label that most annotators gave to each document, if it is one; about ``most`` documents at most, those with the least hashes of id."""
     known = labels.where(F.col("label").isin(*KINDS, "prose") & F.col("doc_id").isNotNull()).groupBy("doc_id", "label").agg(F.count("*").alias("k"))
-    best = known.groupBy("doc_id").agg(F.max_by("label", "k").alias("label"), F.max("k").alias("most"), F.sort_array(F.collect_list("k"), asc=False).alias("ks"))
+    best = known.groupBy("doc_id").agg(F.max_by("label", "k").alias("label"), F.sort_array(F.collect_list("k"), asc=False).alias("ks"))
     clear = best.where("size(ks) = 1 OR ks[0] > ks[1]").select(F.col("doc_id").cast("string").alias("id"), "label")
-    rows = features.join(clear, "id").orderBy(F.xxhash64("id"), "id").limit(LABELLED)
-    return [r.asDict() for r in rows.collect()]
+    return least_hashed(clear, "id", most)
+
+
+def labelled_features(features: DataFrame, labels: DataFrame) -> list[dict]:
+    """The features of ``clear_labels`` with the label, in the order of the ids' hashes. The ids are chosen before features are joined."""
+    rows = [r.asDict() for r in features.join(F.broadcast(clear_labels(labels)), "id").withColumn("_h", F.xxhash64("id")).collect()]
+    return sorted(rows, key=lambda r: (r["_h"], r["id"], *(r[f] for f in FEATURES)))[:LABELLED]
 
 
 def document_kinds(features: DataFrame, rules: list[tuple[str, Rule]]) -> DataFrame:

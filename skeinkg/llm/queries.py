@@ -70,7 +70,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    features = checkpointed(quality.document_features(markup.document_blocks(table(spark, d, "documents")), table(spark, d, "common_words")))
+    features = checkpointed(quality.document_features(table(spark, d, "documents"), table(spark, d, "common_words")))
     rules = quality.induced_rules(quality.labelled_features(features, table(spark, d, "doc_labels")))
     return quality.document_kinds(features, rules).withColumn("doc_id", F.col("id").cast("bigint")).drop("id")
 

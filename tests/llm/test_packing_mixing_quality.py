@@ -72,36 +72,85 @@ def test_mixture(spark):
     assert mixing.mixture(sizes.limit(0), targets)[1].count() == 0
 
 
-def test_rules_are_found_and_exported(spark):
-    rng = random.Random(4)
+def labelled(rng, signs):
     rows = []
     for i in range(300):
         r = {f: rng.random() * 0.4 for f in quality.FEATURES} | {"label": "prose"}
         if i % 5 == 0:
             k = rng.choice(quality.KINDS)
-            r |= {"label": k, f"{k}_share": 0.6 + 0.4 * rng.random()}
+            r |= {"label": k, signs[k]: 0.6 + 0.4 * rng.random()}
         if i % 41 == 0:
             r["label"] = rng.choice([*quality.KINDS, "prose"])
         rows.append(r)
+    return rows
+
+
+SIGN = {"list": "entry_share", "table": "cell_share", "junk": "torn_share"}
+
+
+def test_rules_are_found_and_exported(spark):
+    rows = labelled(random.Random(4), SIGN)
     rules = quality.induced_rules(rows)
     df = spark.createDataFrame([tuple(r[f] for f in quality.FEATURES) for r in rows], ", ".join(f"{f} double" for f in quality.FEATURES))
     got = [r["kind"] for r in quality.document_kinds(df, rules).collect()]
-    truth = [next((k for k in quality.KINDS if r[f"{k}_share"] > 0.5), "prose") for r in rows]
+    truth = [next((k for k in quality.KINDS if r[SIGN[k]] > 0.5), "prose") for r in rows]
     assert sum(a == b for a, b in zip(got, truth)) / len(rows) > 0.97
-    assert quality.induced_rules([])  # plain rules without labels
+    assert {(k, f) for k, rule in rules for f, _, _ in rule} >= set(SIGN.items()) and all(0.35 < cut < 0.65 for _, rule in rules for f, _, cut in rule if f in SIGN.values())
+
+
+def test_labels_alone_make_the_rules(spark):
+    other = {"list": "ended_share", "table": "repeated_share", "junk": "common_share"}
+    rules = quality.induced_rules(labelled(random.Random(4), other))
+    assert {f for _, rule in rules for f, _, _ in rule} >= set(other.values()) and rules != quality.induced_rules(labelled(random.Random(4), SIGN))
+    assert quality.induced_rules([]) == [] and quality.rules_as_sql([]) == "'prose'"
+    # a class of rare subtypes gets a rule for each, though grown one after the other
+    rng, rows = random.Random(6), []
+    for i in range(900):
+        r = {f: rng.random() * 0.3 for f in quality.FEATURES} | {"label": "prose"}
+        if i % 10 == 0:
+            r |= {"label": "junk", f"{quality.UNREADABLE[i // 10 % 4]}_share": 0.8}
+        rows.append(r)
+    assert {f for k, rule in quality.induced_rules(rows) for f, op, _ in rule if op == ">"} >= {f"{s}_share" for s in quality.UNREADABLE[:4]}
 
 
-def test_features(spark):
-    texts = ["The drum was slow. It stopped at 9 a.m. sharp.\nNobody knew why.", "title\nred drum\nold key\ngreen tape\nblue shelf", "a,1.5,2.5\nb,3.5,4.5\nc,1,n/a", "%^&*(;;:)!!//\n@@##$$%%^^&&", " ", None]
-    blocks = spark.createDataFrame([(str(i), [("text", x) for x in (t or "").split("\n")]) for i, t in enumerate(texts)], "id string, blocks array<struct<kind: string, text: string>>")
-    common = spark.createDataFrame([("en", "the"), ("en", "was"), ("en", None)], "lang string, word string")
-    got = {r["id"]: r for r in quality.document_features(blocks, common).collect()}
-    assert set(got) == {"0", "1", "2", "3"}
-    assert got["0"]["ended_share"] == 1 and got["0"]["list_share"] == got["0"]["table_share"] == got["0"]["junk_share"] == 0 and abs(got["0"]["common_share"] - 2 / 14) < 0.02
-    assert got["1"]["list_share"] == 1 and got["2"]["table_share"] == 1 and got["3"]["junk_share"] == 1
+def stats(texts, common=()):
+    found = quality.features_of([str(i) for i in range(len(texts))], [[("text", t)] if t else [] for t in texts], frozenset(common)).to_pylist()
+    return {int(r["id"]): r for r in found}
+
 
+def unreadable(r):
+    return max(r[f"{s}_share"] for s in quality.UNREADABLE)
 
-def test_junk_with_end_marks(spark):
+
+def test_features(spark):
+    texts = ["The drum was slow. It stopped at 9 a.m. sharp.\nNobody knew why.", "title\nred drum\nold key\ngreen tape\nblue shelf", "a,1.5,2.5\nb,3.5,4.5\nc,1,n/a", "%^&*(;;:)!!//\n@@##$$%%^^&&", " ", None]
+    got = stats(texts, {"the", "was"})
+    assert set(got) == {0, 1, 2, 3}
+    assert got[0]["ended_share"] == 1 and got[0]["entry_share"] == got[0]["cell_share"] == unreadable(got[0]) == 0 and got[0]["common_share"] == 2 / 13 and got[0]["word_count"] == 13
+    assert got[1]["entry_share"] == 1 and got[2]["cell_share"] == 1 and got[3]["scrawl_share"] == 1
+    common = spark.createDataFrame([("en", "The"), ("en", "was"), ("en", None)], "lang string, word string")
+    docs = spark.createDataFrame([(i, "s", None, t) for i, t in enumerate(texts)], "doc_id bigint, source string, format string, text string")
+    assert {r["id"]: r["common_share"] for r in quality.document_features(docs, common).collect()} == {str(i): r["common_share"] for i, r in got.items()}
+
+
+def test_counts_of_lines_equal_brute_force():
+    rng = random.Random(7)
+    letters = "aZé中あ9 .;|'!,^+=&%@-“0lI\u3000\u0301/\ufffdÃ\x80\U0001d400य"
+    lines = [x for _ in range(400) if (x := "".join(rng.choice(letters) for _ in range(rng.randrange(1, 30)))).strip()]
+    got = quality.Lines(lines)
+    torn = quality.re.compile(r"[a-zA-Z][;:|'!,]+[a-zA-Z]*[;:|'!,]|[a-zA-Z][;:|!,][a-zA-Z]|(?<!\S)[;:|'!^+=&%@,]+[a-zA-Z0-9]{0,2}(?!\S)|(?<!\S)[;:|'!,][a-zA-Z0-9]|[a-z][A-Z0-9][a-zA-Z]|[a-zA-Z0-9][|]+(?!\S)|(?<!\S)[01lIO](?!\S)")
+    kind = lambda c: quality.unicodedata.category(c)[0]
+    for i, line in enumerate(lines):
+        tokens = line.split()
+        loose = [t for t in tokens if len(t) <= 3 and all(kind(c) not in "LMN" for c in t)]
+        words = quality._word().findall(line)
+        assert (got.tokens[i], got.visible[i], got.words[i], got.word_chars[i]) == (len(tokens), sum(map(len, tokens)), len(words), sum(map(len, words))), line
+        assert got.torn[i] == sum(len(t) for t in tokens if torn.search(t)), line
+        assert (got.loose[i], got.numbers[i]) == (len(loose), sum(kind(c) == "N" for c in line))
+        assert got.bare[i] == (len(tokens) > 1 and tokens[-1] in loose)
+
+
+def test_junk_with_end_marks():
     rng = random.Random(5)
     salad = " ".join(w for i in range(60) for w in (f"word{i}", rng.choice("?;"))[: 1 + (i % 2 or i == 59)]) + " ?"
     junk = [salad, "buy cheap pills here now " * 30 + "today.", "tHe qUicK bRowN fOx jUmpS oVer iT.", "blue drum ; old , key tape ; . shelf green ; lamp valve , . ?"]
@@ -109,9 +158,8 @@ def test_junk_with_end_marks(spark):
         "– Où est passé le secret panneau de Crelfield, déjà abîmé en 1955 ?", "The old cat , a young dog and the small bird sat on the mat .",
         " ".join(f"word{int(rng.random() ** 2 * 900)}" for _ in range(6000)) + ".", "I said that it was the dog's, and that nobody's cat could have been there at all.",
     ]
-    blocks = spark.createDataFrame([(str(i), [("text", t)]) for i, t in enumerate(junk + prose)], "id string, blocks array<struct<kind: string, text: string>>")
-    got = {int(r["id"]): r["junk_share"] for r in quality.document_features(blocks).collect()}
-    assert [got[i] for i in range(8)] == [1, 1, 1, 1, 0, 0, 0, 0]
+    got = stats(junk + prose)
+    assert [unreadable(got[i]) for i in range(8)] == [1, 1, 1, 1, 0, 0, 0, 0]
 
 
 def test_packing_by_terms_that_many_texts_share():
@@ -128,6 +176,6 @@ def test_small_tables_are_refused_not_cut(spark, monkeypatch):
     monkeypatch.setattr(queries, "table", lambda s, d, name: packs)
     with pytest.raises(ValueError, match="100 packs"):
         queries.p8_containers(spark, "")
-    blocks = spark.createDataFrame([("1", [("text", "one")])], "id string, blocks array<struct<kind: string, text: string>>")
+    monkeypatch.setattr(quality, "MOST_COMMON", 100)
     with pytest.raises(ValueError, match="common words"):
-        quality.document_features(blocks, spark.range(10_001).selectExpr("'en' AS lang", "concat('w', id) AS word"))
+        quality.common_set(spark.range(101).selectExpr("'en' AS lang", "concat('w', id) AS word"))

@@ -48,9 +48,9 @@ def test_edges(spark, folders, name):
 
 
 def test_very_long_text(spark):
-    from skeinkg.llm import markup, quality, sentences
+    from skeinkg.llm import quality, sentences
 
     long = "word, " * 60_000 + "end."
-    blocks = markup.document_blocks(spark.createDataFrame([(1, "s", None, long), (2, "s", "html", "<p>" + long)], "doc_id bigint, source string, format string, text string"))
-    assert quality.document_features(blocks).where("word_count > 59000").count() == 2
+    docs = spark.createDataFrame([(1, "s", None, long), (2, "s", "html", "<p>" + long)], "doc_id bigint, source string, format string, text string")
+    assert quality.document_features(docs).where("word_count > 59000").count() == 2
     assert len(sentences.units(sentences.Model(), long)) >= 1
