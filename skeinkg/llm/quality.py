@@ -36,6 +36,8 @@ from . import markup
 LABELLED = 20_000
 #: Common words that are looked up; more are refused.
 MOST_COMMON = 100_000
+#: Characters that are classed at a time, about.
+CHUNK = 100_000
 KINDS = ("list", "table", "junk")
 
 _HAN, _KANA = "\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff", "\u3040-\u30ff\uff66-\uff9d"
@@ -43,7 +45,6 @@ _ENDS = re.compile(r"[.!?。！？।؟…‽][\"'”’»›」』）)\]]*$")
 _MARKER = re.compile(r"\s*(?:[•‣·▪◦●○■∙*+➤►-]\s*|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]\s+|No\.?\s*\d+\s*:|[#№]\s?\d+|\d{3,4}\s*[:：]|\[\d+\])")
 _INDEX = re.compile(r"[^,;]{2,60},\s*\d{1,4}(?:,\s*\d{1,4}(?:\s?[–-]\s?\d{1,4})?){1,8}")
 _HEX = re.compile(r"\s*(?:[0-9a-fA-F]{4,8}[:\s]\s*)?(?:[0-9a-fA-F]{2}\s){4}[0-9a-fA-F]{2}(?:\s[0-9a-fA-F:\s]*)?")
-_LATIN = re.compile(r"[A-Za-z]{3,}")
 _CRAMPED = re.compile(r"(?i)^[bcdfghjklmnpqrstvwxz]{4,}$|[bcdfghjklmnpqrstvwxz]{5,}|^q[^u]|[jqvwx]{2}|[bcdfghjklmnpqrstvwxz]{2,}[jqx]|[jqx][bcdfghjklmnpqrstvwxz]{2,}")
 _BREAK = re.compile(r"[.!?]\s+\S|[。！？]\s*\S")
 _BARS, _COMMAS, _GAPS = re.compile(r"\s[|¦›»·]\s"), re.compile("[,;]"), re.compile(" {2,}")
@@ -69,6 +70,35 @@ def _classes() -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def _lower() -> np.ndarray:
+    """The lower case of every code point that has one of one code point."""
+    table = np.arange(sys.maxunicode + 1, dtype=np.uint64)
+    for cp in range(0x20000):
+        if len(x := chr(cp).lower()) == 1:
+            table[cp] = ord(x)
+    return table
+
+
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def hashes(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of code points, ignoring case: differences of prefix sums."""
+    if len(_powers[0]) <= len(text):
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * len(text), base, np.uint64))), dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_lower()[np.minimum(text, sys.maxunicode)] + np.uint64(1)) * _powers[0][: len(text)], dtype=np.uint64)))
+    return (sums[end] - sums[first]) * _powers[1][first]
+
+
+def word_hashes(words: frozenset[str]) -> np.ndarray:
+    """Sorted ``hashes`` of whole words."""
+    rows = [np.array([ord(c) for c in w], np.uint32) for w in words if w]
+    return np.unique(np.array([hashes(r, np.array([0]), np.array([len(r)]))[0] for r in rows], np.uint64))
+
+
 @lru_cache(1)
 def _word() -> re.Pattern:
     marks, k = [], 0
@@ -80,13 +110,13 @@ def _word() -> re.Pattern:
         if j > k:
             marks.append(f"{re.escape(chr(k))}-{re.escape(chr(j - 1))}")
         k = j + 1
-    return re.compile(rf"[{_HAN}]|[{_KANA}]+|(?:(?![{_HAN}{_KANA}])(?:[^\W_]|[{''.join(marks)}]))+")
+    return re.compile(rf"[{_HAN}]|[^\W_{_HAN}{_KANA}]+(?:[{''.join(marks)}]+[^\W_{_HAN}{_KANA}]*)*|[{_KANA}]+|(?:[{''.join(marks)}]+[^\W_{_HAN}{_KANA}]*)+")
 
 
 class Lines:
     """Counts for each of some lines (none empty or blank); the arrays have one element a line."""
 
-    def __init__(self, lines: list[str]):
+    def __init__(self, lines: list[str], common: np.ndarray = np.array([], np.uint64)):
         sizes = np.array([len(x) + 1 for x in lines], np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         text = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -101,7 +131,8 @@ class Lines:
         kind = np.where(is_(HAN), 1, np.where(is_(KANA), 2, np.where(alnum, 3, 0))).astype(np.int8)
         word = kind > 0
         before = np.concatenate(([0], kind[:-1]))
-        self.words, self.word_chars = per(word & ((kind == 1) | (kind != before))), per(word)
+        opens = word & ((kind == 1) | (kind != before))
+        self.words, self.word_chars = per(opens), per(word)
         wide = (text >= 0xC2) & (text <= 0xF4)
         garbled = wide[:-1] & (is_(GARBLED)[1:])
         lost = text == 0xFFFD
@@ -114,6 +145,15 @@ class Lines:
         if not space[0]:
             a = np.concatenate(([0], a)) if not len(a) or a[0] else a
         self._tokens(c, text, a, b, line[a], len(lines))
+        first, end = np.flatnonzero(opens), np.flatnonzero(word & ((kind == 1) | (kind != np.append(kind[1:], 0)))) + 1
+        names = hashes(text, first, end)
+        order = np.lexsort((names, line[first]))
+        there, sorted_ = line[first][order], names[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (there[1:] != there[:-1]) | (sorted_[1:] != sorted_[:-1])
+        self.distinct = np.bincount(there[new], minlength=len(lines))
+        at = np.minimum(np.searchsorted(common, names), max(len(common) - 1, 0))
+        self.common = np.bincount(line[first][common[at] == names], minlength=len(lines)) if len(common) else np.zeros(len(lines), np.int64)
         coded = np.concatenate(([0], is_(CODED).astype(np.int8)))
         step = np.diff(coded)
         runs, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -162,29 +202,31 @@ UNREADABLE = ("scrawl", "hex", "code", "menu", "cramped", "torn", "misread", "re
 SIGNS = (*UNREADABLE, "entry", "marked", "short", "cell", "item", "row")
 
 
-def _signs(line: str, kind: str, i: int, x: Lines, words: list[str], ended: bool) -> list[str]:
+def _signs(line: str, kind: str, i: int, x: Lines, ended: bool) -> list[str]:
     """The signs of one line, the ``i``-th of ``x``."""
-    n, size, k = int(x.visible[i]), int(x.size[i]), len(words)
+    n, size, k = int(x.visible[i]), int(x.size[i]), int(x.words[i])
     if kind != "text":
         return ["item", "entry"] if kind == "list_item" else ["row", "cell"] if kind == "row" else []
     out = []
     if x.symbols[i] > 0.6 * n and n > 3:
         out.append("scrawl")
-    if _HEX.fullmatch(line):
+    if size >= 14 and x.numbers[i] + x.letters[i] == n and _HEX.fullmatch(line) or size >= 14 and ":" in line and _HEX.fullmatch(line):
         out.append("hex")
     if size >= 32 and x.numbers[i] and x.coded[i]:
         out.append("code")
     barred = "|" in line or "¦" in line
     if (barred or "›" in line or "»" in line or "·" in line) and not re.search(r"\d", line) and len(parts := _BARS.split(line)) >= 3 and _small(parts, 20):
         out.append("menu")
-    if not ended and k >= 3 and sum(1 for w in words if _LATIN.fullmatch(w)) >= 3 and sum(1 for w in words if _CRAMPED.search(w)) > 0.3 * k:
-        out.append("cramped")
+    if not ended and k >= 3:
+        words = _word().findall(line)
+        if sum(1 for w in words if len(w) >= 3 and w.isascii() and w.isalpha()) >= 3 and sum(1 for w in words if _CRAMPED.search(w)) > 0.3 * k:
+            out.append("cramped")
     if x.tokens[i] >= 5 and x.torn[i] > 0.3 * n:
         out.append("torn")
     if x.misread[i] > 0.15 * n:
         out.append("misread")
     # words of prose grow about as the root of its length or faster, so long prose isn't poor in words
-    if k >= 10 and len(set(words)) <= min(0.2 * k, 5 * k**0.5, 500):
+    if k >= 10 and x.distinct[i] <= min(0.2 * k, 5 * k**0.5, 500):
         out.append("repeated")
     t = int(x.tokens[i])
     if t >= 10:
@@ -223,8 +265,18 @@ _COUNTS = ("word_count", "mean_word_length", "symbol_share", "ended_share", "com
 SCHEMA = "id string, word_count bigint, " + ", ".join(f"{c} double" for c in _COUNTS[1:])
 
 
-def features_of(ids: list, found: list[list[tuple[str, str]]], common: frozenset[str]) -> pa.RecordBatch:
-    """The statistics of documents given as blocks (kind, text). Formulas are counted where they stand in the text."""
+def features_of(ids: list, found: list[list[tuple[str, str]]], common: np.ndarray) -> pa.RecordBatch:
+    """The statistics of documents given as blocks (kind, text), some at a time. Formulas are counted where they stand in the text."""
+    parts, at, size = [], 0, 0
+    for k, blocks in enumerate(found):
+        size += sum(len(t) for _, t in blocks)
+        if size >= CHUNK or k + 1 == len(found):
+            parts.append(_features(ids[at : k + 1], found[at : k + 1], common))
+            at, size = k + 1, 0
+    return pa.Table.from_batches(parts or [_features([], [], common)]).combine_chunks().to_batches()[0] if sum(map(len, parts)) else _features([], [], common)
+
+
+def _features(ids: list, found: list[list[tuple[str, str]]], common: np.ndarray) -> pa.RecordBatch:
     lines: list[str] = []
     kinds: list[str] = []
     owner: list[int] = []
@@ -238,15 +290,12 @@ def features_of(ids: list, found: list[list[tuple[str, str]]], common: frozenset
                         owner.append(d)
     if not lines:
         return pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int64()), *(pa.array([], pa.float64()) for _ in _COUNTS[1:])], ["id", *_COUNTS])
-    x, of, word = Lines(lines), np.array(owner), _word()
+    x, of = Lines(lines, common), np.array(owner)
     signs = {s: np.zeros(len(lines)) for s in SIGNS}
-    ended, usual = np.zeros(len(lines)), np.zeros(len(lines))
+    ended = np.zeros(len(lines))
     for i, line in enumerate(lines):
-        words = word.findall(line)
-        if common:
-            usual[i] = sum(map(common.__contains__, map(str.lower, words)))
         ended[i] = end = bool(_ENDS.search(line[-40:].rstrip()[-12:]))
-        for s in _signs(line, kinds[i], i, x, words, end):
+        for s in _signs(line, kinds[i], i, x, end):
             signs[s][i] = x.visible[i]
     total = lambda v: np.bincount(of, v, minlength=len(found))
     share = lambda a, b: np.divide(a, b, out=np.zeros(len(found)), where=b > 0)
@@ -255,7 +304,7 @@ def features_of(ids: list, found: list[list[tuple[str, str]]], common: frozenset
     entries = total((signs["entry"] > 0) & typed)
     # fewer than three typed lines make no list
     signs["entry"][typed] *= (entries >= 3)[of[typed]]
-    columns = [words.astype(np.int64), share(total(x.word_chars), words), share(total(x.symbols), visible), share(total(ended), count), share(total(usual), words), share(total(x.letters), visible), share(visible, count), *(share(total(signs[s]), visible) for s in SIGNS)]
+    columns = [words.astype(np.int64), share(total(x.word_chars), words), share(total(x.symbols), visible), share(total(ended), count), share(total(x.common), words), share(total(x.letters), visible), share(visible, count), *(share(total(signs[s]), visible) for s in SIGNS)]
     keep = np.flatnonzero(visible > 0)
     return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.string()), *(pa.array(c[keep]) for c in columns)], ["id", *_COUNTS])
 
@@ -270,7 +319,7 @@ def common_set(common_words: DataFrame | None) -> frozenset[str]:
 
 def document_features(docs: DataFrame, common_words: DataFrame | None = None, **columns: str) -> DataFrame:
     """(id, statistics, shares of visible characters in lines with each sign) of the rows of documents; ``columns`` as in ``markup.read_documents``."""
-    common = common_set(common_words)
+    common = word_hashes(common_set(common_words))
     return markup.read_documents(docs, lambda ids, _, found: features_of(ids, found, common), SCHEMA, **columns)
 
 

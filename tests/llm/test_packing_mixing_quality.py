@@ -114,7 +114,7 @@ def test_labels_alone_make_the_rules(spark):
 
 
 def stats(texts, common=()):
-    found = quality.features_of([str(i) for i in range(len(texts))], [[("text", t)] if t else [] for t in texts], frozenset(common)).to_pylist()
+    found = quality.features_of([str(i) for i in range(len(texts))], [[("text", t)] if t else [] for t in texts], quality.word_hashes(frozenset(common))).to_pylist()
     return {int(r["id"]): r for r in found}
 
 
@@ -126,7 +126,7 @@ def test_features(spark):
     texts = ["The drum was slow. It stopped at 9 a.m. sharp.\nNobody knew why.", "title\nred drum\nold key\ngreen tape\nblue shelf", "a,1.5,2.5\nb,3.5,4.5\nc,1,n/a", "%^&*(;;:)!!//\n@@##$$%%^^&&", " ", None]
     got = stats(texts, {"the", "was"})
     assert set(got) == {0, 1, 2, 3}
-    assert got[0]["ended_share"] == 1 and got[0]["entry_share"] == got[0]["cell_share"] == unreadable(got[0]) == 0 and got[0]["common_share"] == 2 / 13 and got[0]["word_count"] == 13
+    assert got[0]["ended_share"] == 1 and got[0]["entry_share"] == got[0]["cell_share"] == unreadable(got[0]) == 0 and got[0]["common_share"] == 2 / 14 and got[0]["word_count"] == 14
     assert got[1]["entry_share"] == 1 and got[2]["cell_share"] == 1 and got[3]["scrawl_share"] == 1
     common = spark.createDataFrame([("en", "The"), ("en", "was"), ("en", None)], "lang string, word string")
     docs = spark.createDataFrame([(i, "s", None, t) for i, t in enumerate(texts)], "doc_id bigint, source string, format string, text string")
@@ -137,7 +137,8 @@ def test_counts_of_lines_equal_brute_force():
     rng = random.Random(7)
     letters = "aZé中あ9 .;|'!,^+=&%@-“0lI\u3000\u0301/\ufffdÃ\x80\U0001d400य"
     lines = [x for _ in range(400) if (x := "".join(rng.choice(letters) for _ in range(rng.randrange(1, 30)))).strip()]
-    got = quality.Lines(lines)
+    common = frozenset(x for line in lines[::7] for x in quality._word().findall(line.lower()))
+    got = quality.Lines(lines, quality.word_hashes(common))
     torn = quality.re.compile(r"[a-zA-Z][;:|'!,]+[a-zA-Z]*[;:|'!,]|[a-zA-Z][;:|!,][a-zA-Z]|(?<!\S)[;:|'!^+=&%@,]+[a-zA-Z0-9]{0,2}(?!\S)|(?<!\S)[;:|'!,][a-zA-Z0-9]|[a-z][A-Z0-9][a-zA-Z]|[a-zA-Z0-9][|]+(?!\S)|(?<!\S)[01lIO](?!\S)")
     kind = lambda c: quality.unicodedata.category(c)[0]
     for i, line in enumerate(lines):
@@ -145,6 +146,7 @@ def test_counts_of_lines_equal_brute_force():
         loose = [t for t in tokens if len(t) <= 3 and all(kind(c) not in "LMN" for c in t)]
         words = quality._word().findall(line)
         assert (got.tokens[i], got.visible[i], got.words[i], got.word_chars[i]) == (len(tokens), sum(map(len, tokens)), len(words), sum(map(len, words))), line
+        assert (got.distinct[i], got.common[i]) == (len({w.lower() for w in words}), sum(w.lower() in common for w in words)), line
         assert got.torn[i] == sum(len(t) for t in tokens if torn.search(t)), line
         assert (got.loose[i], got.numbers[i]) == (len(loose), sum(kind(c) == "N" for c in line))
         assert got.bare[i] == (len(tokens) > 1 and tokens[-1] in loose)
