@@ -67,11 +67,40 @@ def test_mixture(spark):
         assert own == sorted(own) and 0 <= own[0] and own[-1] <= 1
     first = [r for r in ordered if r["mix_name"] == "m" and r["position"] < 0.5]
     big = sum(r["size"] for r in first if r["source"] == "big") / sum(r["size"] for r in first)
-    slope = {r["source"]: r["slope"] for r in plan.where("mix_name = 'm'").collect()}["big"]
-    assert abs(big - 0.5 * (1 - slope / 2)) < 0.02
+    assert abs(big - 0.5 * (1 + 0.125)) < 0.02  # slopes of -0.25 and 0.25
     assert mixing.mixture(sizes.limit(0), targets)[1].count() == 0
 
 
+def test_schedules_are_data(spark):
+    sizes = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(4000)], "doc_id bigint, source string, size bigint")
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    # a: nothing in the first half, then rising; b: falling to nothing at the end; odd knots are left out
+    knots = [("m", "a", 0.0, -3.0), ("m", "a", 0.5, 0.0), ("m", "a", 1.0, 4.0), ("m", "a", 1.5, 9.0), ("m", "b", 0.0, 2.0), ("m", "b", 1.0, 0.0), ("m", "b", None, 1.0), ("x", "a", 0.5, 1.0)]
+    got = mixing.mixture(sizes, targets, spark.createDataFrame(knots, "mix_name string, source string, t double, weight double"))[1].collect()
+    at = {s: sorted(r["position"] for r in got if r["source"] == s) for s in "ab"}
+    assert len(at["a"]) == len(at["b"]) == 2000
+    for k in range(0, 2000, 97):  # inverse of the integrals (2t - 1)^2 and 2t - t^2
+        c = k / 2000
+        assert abs(at["a"][k] - (1 + c**0.5) / 2) < 1e-9 and abs(at["b"][k] - (1 - (1 - c) ** 0.5)) < 1e-9
+    even = mixing.mixture(sizes, targets, spark.createDataFrame([("m", "a", 0.3, 0.0)], "mix_name string, source string, t double, weight double"))[1]
+    assert abs(even.agg(F.avg("position")).first()[0] - 0.5) < 0.01
+
+
+def test_no_mix_repeats_more_than_it_may(spark):
+    rng, targets, totals = random.Random(8), [], []
+    for m in range(10_000):
+        parts = [rng.randrange(1, 100) for _ in range(rng.randrange(2, 9))]
+        for k, p in enumerate(parts):
+            targets.append((f"m{m}", f"s{m}-{k}", p / sum(parts), rng.randrange(1, 5)))
+            totals.append((f"s{m}-{k}", rng.randrange(1, 10**6)))
+    plan = mixing.planned(spark.createDataFrame(totals, "source string, available bigint"), spark.createDataFrame(targets, "mix_name string, source string, target_share double, max_repeats int"))
+    assert plan.where("demand > available * repeats").count() == 0 and plan.where("demand > 0").count() == len(targets)
+    sizes = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate([(s, x) for s, n in (("a", 298), ("b", 466), ("c", 232)) for x in (n - 100, 100)])], "doc_id bigint, source string, size bigint")
+    mix = spark.createDataFrame([("m", "a", 26 / 144, 2), ("m", "b", 65 / 144, 2), ("m", "c", 53 / 144, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    shares = {r["source"]: r for r in mixing.actual_shares(*mixing.mixture(sizes, mix)).collect()}
+    assert shares["c"]["repeats"] == 1 and shares["c"]["used"] == 232
+
+
 def labelled(rng, signs):
     rows = []
     for i in range(300):
