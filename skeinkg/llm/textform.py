@@ -12,7 +12,7 @@ Latin/Greek/Cyrillic look-alikes in the script their word is written in, ideogra
 ``·`` between the parts of a name, plain blanks, no invisible characters. Punctuation stays as it is.
 
 Defined results: null stays null, empty stays empty; repeated and very long texts are fine (blocks bound
-every array); conjoining Hangul jamo are left as they are; the input's other columns are kept and may
+every array); conjoining Hangul jamo are composed, lone ones stay; the input's other columns are kept and may
 have any name.
 """
 
@@ -31,13 +31,13 @@ OTHER, OTHER_LATIN = "іѕјһԁԛԝІЅЈԌԚԜοναιρυκΑΒΕΖΗΙΚΜΝ
 RADICALS = "⺁厂⺈刀⺊卜⺋㔾⺌小⺎兀⺏尢⺐尣⺒巳⺓幺⺔彑⺖忄⺗心⺘扌⺙攵⺛旡⺝月⺞歺⺟母⺠民⺡氵⺢氺⺣灬⺥爫⺧牛⺨犭⺪疋⺬示⺭礻⺮竹⺯糹⺱罓⺲罒⺳网⺶羊⺷羊⺸羋⺹耂⺻聿⺼肉⺾艹⺿艹⻀艹⻁虎⻂衤⻃覀⻄西⻅见⻆角⻇角⻈讠⻉贝⻊足⻋车⻌辶⻍辶⻎辶⻏阝⻐钅⻑長⻒镸⻓长⻔门⻕阝⻖阝⻗雨⻘青⻙韦⻚页⻛风⻜飞⻝食⻟飠⻠饣⻡首⻢马⻣骨⻤鬼⻥鱼⻦鸟⻧卤⻨麦⻩黄⻪黾⻫斉⻬齐⻭歯⻮齿⻯竜⻰龙⻱亀⻲龟"
 # Letters of one script that look alike in some of their forms.
 SAME_SCRIPT = {"ی": "ي", "ى‍": "ى", "ک": "ك", "ہ": "ه", "ھ": "ه"}
-# Russian words of one letter, and the Latin letters they look like.
-LONE, LONE_LATIN = "асоуАВСКОУ", "acoyABCKOY"
 DOTS = "•‧・∙⋅･᛫‣●․ꞏ・ᐧ"
 VISIBLE_FORMATS = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 FILLERS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x2800, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 STYLES = ("<wide>", "<narrow>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 BLOCK = 64
+# First conjoining leads, vowels and tails, first syllable, numbers of vowels and tails.
+LEADS, VOWELS, TAILS, SYLLABLES, VOWEL_COUNT, TAIL_COUNT = 0x1100, 0x1161, 0x11A7, 0xAC00, 21, 28
 
 
 def _script(ch: str) -> str:
@@ -69,13 +69,19 @@ def tables() -> tuple[list[tuple], dict[str, str], str]:
             if U.normalize("NFC", d) == ch and len(two := deco.split()) == 2:
                 pairs["".join(chr(int(x, 16)) for x in two)] = ch
                 seconds.add(chr(int(two[1], 16)))
+    jamo = {chr(c) for c in (*range(VOWELS, VOWELS + VOWEL_COUNT), *range(TAILS + 1, TAILS + TAIL_COUNT))}
+    seconds |= jamo
     for cp in range(0x110000):
         ch = chr(cp)
         cat = U.category(ch)
         if cat in ("Cs", "Cn", "Co") or 0xAC00 <= cp <= 0xD7A3:
             continue
         deco, to = U.decomposition(ch), ch
-        if ch in radicals:
+        if 0x3131 <= cp <= 0x318E and cp != 0x3164:
+            pass  # letters of the Korean script that stand alone
+        elif 0xFFA1 <= cp <= 0xFFDC:
+            to = chr(int(deco.split()[1], 16))
+        elif ch in radicals:
             to = radicals[ch]
         elif ch in SAME_SCRIPT:
             to = SAME_SCRIPT[ch]
@@ -90,7 +96,7 @@ def tables() -> tuple[list[tuple], dict[str, str], str]:
         elif any(U.decomposition(c).startswith(STYLES) and U.category(c)[0] == "L" for c in U.normalize("NFD", ch)[:1]):
             to = U.normalize("NFKC", ch)
         parts = [(c, U.combining(c), c in seconds, _script(c)) for c in U.normalize("NFD", to)]
-        if U.normalize("NFC", to) != ch or U.combining(ch):
+        if U.normalize("NFC", to) != ch or U.combining(ch) or ch in jamo:
             dirty.append(cp)
         elif ch in DOTS or ch in OTHER:
             dirty.append(cp)
@@ -123,7 +129,7 @@ def calls_for_work(text: Column) -> Column:
     latin, cyrillic = r"[\p{IsLatin}]", r"[\p{IsCyrillic}]"
     mixed = f"{latin}{cyrillic}|{cyrillic}{latin}"
     alone, own = f"[{CYRILLIC}]", f"[\\p{{IsCyrillic}}&&[^{CYRILLIC}]]"
-    return text.rlike(r"[^\n\t\r\x20-\x7E]") & ((text.rlike(_safe()) & text.rlike(tables()[2])) | (text.rlike(alone) & (text.rlike(mixed) | ~text.rlike(own))) | (text.rlike(r"[\u0400-\u04FF]") & (text.rlike(mixed) | text.rlike(_lone(LONE_LATIN)))))
+    return text.rlike(r"[^\n\t\r\x20-\x7E]") & ((text.rlike(_safe()) & text.rlike(tables()[2])) | (text.rlike(alone) & (text.rlike(mixed) | ~text.rlike(own))) | (text.rlike(r"[\u0400-\u04FF]") & (text.rlike(mixed) | text.rlike(_lone(CYRILLIC_LATIN)))))
 
 
 def _lone(letters: str) -> str:
@@ -142,7 +148,11 @@ def _recomposed(parts: Column) -> Column:
     state = lambda out, s, tail, last: F.struct(out.alias("out"), s.alias("s"), tail.alias("tail"), last.alias("last"))
 
     def step(a: Column, x: Column) -> Column:
-        composed = F.when(x.second & (a.s != "") & ((a["last"] < x.ccc) | ((a.tail == "") & (a["last"] == 0))), F.try_element_at(both, F.concat(a.s, x.c)))
+        syllable = F.when((x.c >= chr(VOWELS)) & (x.c < chr(VOWELS + VOWEL_COUNT)) & (a.s >= chr(LEADS)) & (a.s < chr(LEADS + 19)), SYLLABLES + ((F.ascii(a.s) - LEADS) * VOWEL_COUNT + F.ascii(x.c) - VOWELS) * TAIL_COUNT)
+        open_ = (a.s >= chr(SYLLABLES)) & (a.s <= chr(0xD7A3)) & ((F.ascii(a.s) - SYLLABLES) % TAIL_COUNT == 0)
+        syllable = syllable.when((x.c > chr(TAILS)) & (x.c < chr(TAILS + TAIL_COUNT)) & open_, F.ascii(a.s) + F.ascii(x.c) - TAILS)
+        hangul = F.when((x.c >= chr(VOWELS)) & (x.c < chr(TAILS + TAIL_COUNT)), F.decode(F.unhex(F.hex(syllable.cast("bigint"))), "UTF-16BE"))
+        composed = F.when(x.second & (a.s != "") & ((a["last"] < x.ccc) | ((a.tail == "") & (a["last"] == 0))), F.coalesce(hangul, F.try_element_at(both, F.concat(a.s, x.c))))
         plain = F.when(x.ccc == 0, state(F.concat(a.out, a.s, a.tail), x.c, F.lit(""), F.lit(0))).otherwise(state(a.out, a.s, F.concat(a.tail, x.c), x.ccc))
         return F.when(x.second & composed.isNotNull(), state(a.out, F.coalesce(composed, F.lit("")), a.tail, a["last"])).otherwise(plain)
 
@@ -163,9 +173,12 @@ def consistent_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     numbered = parts.select(
         "*",
         F.sum(F.when(letter | (F.col("script") == "M"), 0).otherwise(1)).over(at).alias("word"),
-        F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(at).alias("cluster"),
+        F.sum(F.when((F.col("ccc") == 0) & ~F.col("second"), 1).otherwise(0)).over(at).alias("cluster"),
         F.lag("script").over(at).alias("before"),
         F.lead("script").over(at).alias("after"),
+        # for a word of one letter: the end of the word before, and the start of the word behind one blank
+        F.when(F.lag("script", 2).over(at) == "M", F.lag("script", 3).over(at)).when(F.lag("c", 2).over(at).rlike(r"\p{N}"), "N").otherwise(F.lag("script", 2).over(at)).alias("left"),
+        F.when(F.lead("c").over(at) == " ", F.lead("script", 2).over(at)).alias("right"),
     )
     word, whole = Window.partitionBy("k", "word"), Window.partitionBy("k")
     is_ = lambda script, but: F.sum(F.when((F.col("script") == script) & ~F.instr(F.lit(but), F.col("c")).cast("boolean"), 1).otherwise(0))
@@ -185,6 +198,9 @@ def consistent_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     latin = F.when(lone, (F.col("any_l") > 0) & (F.col("ll") >= F.col("rr")) | F.coalesce(F.col("foreign"), F.lit(False)) | F.when(F.col("script") == "G", F.col("gg") == 0).otherwise(F.col("rr") == 0)).otherwise(F.col("l") > F.greatest("r", "g"))
     russian = F.when(lone, (F.col("any_l") > 0) & (F.col("ll") < F.col("rr")) & (F.col("any_c") > 0)).otherwise((F.col("r") > F.greatest("l", "g")))
     counted = counted.withColumn("any_c", F.max((F.col("script") == "C").cast("int")).over(word))
+    # a lone letter belongs to the Cyrillic word behind it, unless it stands behind a Latin word or a number (a name's initial, a unit)
+    letters = F.col("before").isin("L", "M", "G", "C", "H", "K")
+    russian = russian | ((F.col("any_l") == 1) & (F.col("any_c") == 0) & ~F.coalesce(letters, F.lit(False)) & ~F.coalesce(F.col("left").isin("L", "N"), F.lit(False)) & F.coalesce(F.col("right") == "C", F.lit(False)))
     chosen = (
         F.when(F.col("script").isin("G", "C") & latin, mapped)
         .when((F.col("script") == "L") & russian, F.translate("c", CYRILLIC_LATIN, CYRILLIC))
@@ -195,15 +211,17 @@ def consistent_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     strings = blocks.groupBy("k", "block").agg(_recomposed(F.array_sort(F.collect_list("x"))).alias("s"))
     built = strings.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "s"))), lambda b: b.s), "").alias("form"))
     form = F.coalesce("form", F.lit(""))
-    for latin, russian in zip(LONE_LATIN, LONE, strict=True):
-        form = F.regexp_replace(form, _lone(latin), russian)
     return todo.select("text", key.alias("k")).join(built, "k", "left").select("text", form.alias("form"))
 
 
 def with_consistent_form(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the consistent form of column ``text`` as column ``out``."""
-    forms = consistent_texts(df, text).select(F.col("text").alias("_form_of"), F.col("form").alias("_form"))
-    return df.join(forms, df[text] == forms["_form_of"], "left").withColumn(out, F.coalesce("_form", df[text])).drop("_form_of", "_form")
+    """``df`` with the consistent form of column ``text`` as column ``out``. Only rows that call for work are joined with forms, by two hashes of the text and the text itself."""
+    calls = F.coalesce(calls_for_work(F.col(text)), F.lit(False))
+    key = lambda c: (F.xxhash64(c), F.hash(c))
+    work = df.where(calls).withColumn("_a", key(text)[0]).withColumn("_b", key(text)[1])
+    forms = consistent_texts(df, text).select(F.col("text").alias("_form_of"), F.col("form").alias("_form"), key("text")[0].alias("_a"), key("text")[1].alias("_b"))
+    done = work.join(forms, ["_a", "_b"]).where(F.col("_form_of") == F.col(text)).select(*df.columns, F.col("_form").alias(out))
+    return df.where(~calls).withColumn(out, F.col(text)).unionByName(done)
 
 
 def plain_form(consistent: Column) -> Column:

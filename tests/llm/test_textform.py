@@ -52,3 +52,13 @@ def test_control_characters_of_ascii_texts(spark):
     got = forms(spark, ["ab\x07c", "\x00tape", "tape\x7f", "a\x1fb", "a\tb\r\nc ~"])
     assert got == {"ab\x07c": "abc", "\x00tape": "tape", "tape\x7f": "tape", "a\x1fb": "ab", "a\tb\r\nc ~": got["a\tb\r\nc ~"]}
     assert spark.createDataFrame([("a\tb\r\nc ~",)], "text string").where(textform.calls_for_work(F.col("text"))).count() == 0
+
+
+def test_korean_syllables_and_lone_letters(spark):
+    words = ["한국어", "값없다", "가각갂힣"]
+    texts = [U.normalize("NFD", w * 40) for w in words] + ["ㅋㅋㅋ", "ﾡ", "ᄀ", "각ᆨ"]
+    got = forms(spark, texts)
+    assert [got[t] for t in texts] == [w * 40 for w in words] + ["ㅋㅋㅋ", "ㄱ", "ᄀ", "각ᆨ"]
+    # a lone letter goes with the Cyrillic word behind it, whatever letter it is, but not behind Latin words and numbers
+    lone = {"он и K городу": "он и К городу", "5 M в час": "5 M в час", "René A пишет": "René A пишет", "ёж с A домом": "ёж с А домом"}
+    assert forms(spark, list(lone)) == lone
