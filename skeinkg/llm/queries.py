@@ -1,6 +1,6 @@
 """Registered queries of the text operators."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -28,6 +28,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scored.where((F.col("tf") >= 3) & (F.col("df") <= 3) & terms.is_word(F.col("term")) & F.col("score").isNotNull()).select("document_id", "term")
 
 
+def p4_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of every document with its score and rank, the greatest score first; terms of one document alone are cut off."""
+    scored = terms.term_divergence(terms.sentence_terms(table(spark, d, "sentences")), "document_id", min_df=2)
+    return scored.where(terms.is_word(F.col("term"))).withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("score"), "term")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     fields = {"token": terms.sentence_terms(table(spark, d, "sentences")), "mention": terms.mention_terms(table(spark, d, "mentions"))}
     return terms.marked_terms(fields).where("mark IS NOT NULL").select("field", "term", "mark")
@@ -45,6 +51,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.variant_links(table(spark, d, "mentions"), table(spark, d, "entities"), table(spark, d, "nicknames"))
 
 
+def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return variants.variant_clusters(table(spark, d, "mentions"), table(spark, d, "entities"), table(spark, d, "nicknames"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "pack_sizes").select("pack_name", "capacity").limit(MOST_PACKS + 1).collect()
     if len(sizes) > MOST_PACKS:
@@ -80,7 +90,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_curriculum": p9_curriculum, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_curriculum": p9_curriculum, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

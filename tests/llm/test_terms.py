@@ -46,3 +46,13 @@ def test_divergence(spark):
             q = (k + 10 * p) / (len(v) + 10)
             assert abs(got[d, t] - q * math.log(q / p)) < 1e-9
     assert len(got) == 4 and terms.term_divergence(df.limit(0), "doc").count() == 0
+
+
+def test_scores_with_a_minimum_of_documents(spark, tmp_path):
+    from skeinkg.llm import queries
+
+    rows = [("s1", "a", ["xx", "xx", "yy", "1"]), ("s2", "b", ["yy", "zz"]), ("s3", "c", ["yy", "xx"])]
+    spark.createDataFrame([(s, d, [(t, 0, 1) for t in ts]) for s, d, ts in rows], f"sentence_id string, document_id string, tokens {TOK}").write.parquet(f"{tmp_path}/sentences.parquet")
+    got = [(r["document_id"], r["term"], r["df"], r["rank"]) for r in queries.p4_scores(spark, str(tmp_path)).orderBy("document_id", "rank").collect()]
+    assert got == [("a", "xx", 2, 1), ("a", "yy", 3, 2), ("b", "yy", 3, 1), ("c", "xx", 2, 1), ("c", "yy", 3, 2)]
+    assert not any(g[1] in ("zz", "1") for g in got)
