@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sizes import small_or_shuffled
 from ..functions.text import stripped
 from . import tfidf
+from .spans import positions
 
 
 def word_frequency(words: DataFrame, stop: DataFrame, known: DataFrame) -> DataFrame:
@@ -76,11 +77,13 @@ def validated(docs: DataFrame, names: DataFrame, known: DataFrame, noise: list[s
     """(name, occurrences, citations, valid): a name is valid with ``least`` occurrences (greedy, not overlapping), unless it has five and more than 70 % stand behind a citation mark or comma."""
     n = names.select("name").distinct().where((F.length("name") >= 2) & ~F.col("name").rlike(r"^\p{Nd}+$") & ~(F.col("name").rlike(r"^[\x00-\x7F]{1,3}$") & F.lower("name").isin(noise)))
     n = n.join(small_or_shuffled(known.select(F.col("name").alias("_n")).distinct()), F.lower("name") == F.col("_n"), "left_anti")
-    lead = small_or_shuffled(n.select("name", F.substring("name", 1, 2).alias("_two")))
-    rows = docs.where(F.length("text") > 1).select("doc_id", F.col("text").alias("_t"), F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("at"))
-    hit = rows.withColumn("_two", F.expr("substring(_t, at, 2)")).join(lead, "_two").where("substring(_t, at, length(name)) = name")
+    lead = small_or_shuffled(n.select("name", F.length("name").alias("_n"), F.substring("name", 1, 2).alias("_two")))
+    longest = lead.agg(F.coalesce(F.max("_n"), F.lit(2))).first()[0]
+    # a position carries a window with the 20 characters before it and as many behind as the longest name has
+    rows = positions(docs, "doc_id", "text", longest, 20).withColumnRenamed("_at", "at")
+    hit = rows.withColumn("_two", F.expr("substring(_s, _p, 2)")).join(lead, "_two").where("substring(_s, _p, _n) = name")
     # greedy from the left: inside a run of overlapping starts only those a whole name apart count
-    spots = hit.select("doc_id", "name", "at", F.expr("substring(_t, greatest(at - 20, 1), at - greatest(at - 20, 1))").alias("before"))
+    spots = hit.select("doc_id", "name", "at", F.expr("substring(_s, _p - _b, _b)").alias("before"))
     per = spots.groupBy("doc_id", "name").agg(F.array_sort(F.collect_list(F.struct("at", "before"))).alias("s"))
     kept = F.reduce("s", F.slice("s", 1, 0), lambda acc, x: F.when((F.size(acc) > 0) & (x["at"] < F.element_at(acc, -1)["at"] + F.length("name")), acc).otherwise(F.concat(acc, F.array(x))))
     one = per.select("name", F.explode(kept).alias("x")).select("name", (F.col("x.before").rlike(r"[①-⑩0-9]+[．.]") | F.contains(F.right("x.before", F.lit(5)), F.lit("，"))).alias("cited"))

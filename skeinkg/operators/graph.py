@@ -97,6 +97,31 @@ def found_nodes(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.where(F.contains(F.lower("label"), F.lit(q)) | F.contains(F.lower("id"), F.lit(q)))
 
 
+def highlighted(nodes: DataFrame, facts: DataFrame, query: str) -> DataFrame:
+    """(id, label, role): the nodes found by ``query`` (``found``) and those a fact links them with (``neighbour``)."""
+    found = found_nodes(nodes, query).select("id")
+    ends = facts.where("subject IS NOT NULL AND object IS NOT NULL").select(F.col("subject").alias("a"), F.col("object").alias("b"))
+    near = ends.union(ends.select("b", "a")).join(found.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+    j = nodes.select("id", "label").join(found.withColumn("_f", F.lit(1)), "id", "left").join(near.withColumn("_n", F.lit(1)), "id", "left").where("_f = 1 OR _n = 1")
+    return j.select("id", "label", F.when(F.col("_f") == 1, "found").otherwise("neighbour").alias("role"))
+
+
+def view(name: str, entities: DataFrame, mentions: DataFrame, facts: DataFrame, center: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the view ``full`` or ``focused``; any other name is refused."""
+    if name not in ("full", "focused"):
+        raise ValueError(f"no view {name}")
+    ids = checkpointed(node_ids(mentions, facts) if name == "full" else focused_ids(facts, center))
+    ends = small_or_shuffled(ids)
+    inside = edges(facts).join(ends.withColumnRenamed("id", "from"), "from", "left_semi").join(ends.withColumnRenamed("id", "to"), "to", "left_semi")
+    return nodes(ids, entities, mentions, facts), inside
+
+
+def connected_nodes(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, label) of the ends of ``edges`` (from, to); an id without an entity is its own label."""
+    ids = edges.select(F.explode(F.array("from", "to")).alias("id")).distinct()
+    return ids.join(small_or_shuffled(entities.select("id", F.col("name").alias("label"))), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+
+
 def budgeted(pairs: DataFrame, seeds: list[str], most: int = 50) -> DataFrame:
     """(from, to, value) of weighted edges (from, to) by falling weight, up to the first that would bring a new node over the budget of ``most`` nodes, seeds included. Ties by ids."""
     w = pairs.where("`from` IS NOT NULL AND `to` IS NOT NULL").where(~F.col("to").isin(seeds)).groupBy("from", "to").agg(F.count("*").alias("value"))

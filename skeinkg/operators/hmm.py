@@ -85,12 +85,14 @@ def decoded(sentences: DataFrame, tagger: Tagger) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tags = [tagger.tags(t or []) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tags, pa.list_(pa.string()))], ["sentence_id", "labels"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(tags, pa.list_(pa.string()))], ["sentence_id", "tokens", "labels"])
 
     texts = F.transform("tokens", lambda t: F.coalesce(t["text"], F.lit("")))
-    tagged = sentences.where(F.size("tokens") > 0).select("sentence_id", texts.alias("t")).mapInArrow(run, "sentence_id string, labels array<string>")
-    j = sentences.select("sentence_id", "tokens").join(tagged, "sentence_id")
-    return j.select("sentence_id", F.posexplode(F.arrays_zip("tokens", "labels")).alias("token_index", "x")).select("sentence_id", "token_index", F.col("x.tokens.text").alias("token"), F.col("x.tokens.start").alias("start"), F.col("x.tokens.end").alias("end"), F.col("x.labels").alias("label"))
+    rows = sentences.where(F.size("tokens") > 0).select("sentence_id", texts.alias("t"), "tokens")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    # the tokens go through the batch untouched, so that labels needn't be joined back
+    tagged = rows.mapInArrow(run, f"sentence_id {kinds['sentence_id']}, tokens {kinds['tokens']}, labels array<string>")
+    return tagged.select("sentence_id", F.posexplode(F.arrays_zip("tokens", "labels")).alias("token_index", "x")).select("sentence_id", "token_index", F.col("x.tokens.text").alias("token"), F.col("x.tokens.start").alias("start"), F.col("x.tokens.end").alias("end"), F.col("x.labels").alias("label"))
 
 
 # ---------------------------------------------------------------- feature buckets and re-estimation
@@ -179,7 +181,15 @@ def reestimated(model: BucketModel, sentences: DataFrame, rounds: int = 5, smoot
 
 def decoded_buckets(sentences: DataFrame, model: BucketModel) -> DataFrame:
     """As ``decoded``, over feature buckets; the tokens keep their text."""
-    short = sentences.select("sentence_id", F.transform("tokens", lambda t: F.struct(feature_bucket(F.coalesce(t["text"], F.lit(""))).cast("string").alias("text"), t["start"].alias("start"), t["end"].alias("end"))).alias("tokens"))
-    tags = decoded(short, model.tagger()).select("sentence_id", "token_index", "label")
-    toks = sentences.select("sentence_id", F.posexplode("tokens").alias("token_index", "t"))
-    return toks.join(tags, ["sentence_id", "token_index"]).select("sentence_id", "token_index", F.col("t.text").alias("token"), F.col("t.start").alias("start"), F.col("t.end").alias("end"), "label")
+    tagger = model.tagger()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tags = [tagger.tags(list(map(str, t or []))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(tags, pa.list_(pa.string()))], ["sentence_id", "tokens", "labels"])
+
+    buckets = F.transform("tokens", lambda t: feature_bucket(F.coalesce(t["text"], F.lit(""))))
+    rows = sentences.where(F.size("tokens") > 0).select("sentence_id", buckets.alias("t"), "tokens")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    tagged = rows.mapInArrow(run, f"sentence_id {kinds['sentence_id']}, tokens {kinds['tokens']}, labels array<string>")
+    return tagged.select("sentence_id", F.posexplode(F.arrays_zip("tokens", "labels")).alias("token_index", "x")).select("sentence_id", "token_index", F.col("x.tokens.text").alias("token"), F.col("x.tokens.start").alias("start"), F.col("x.tokens.end").alias("end"), F.col("x.labels").alias("label"))

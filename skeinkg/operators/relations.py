@@ -2,19 +2,76 @@
 
 Defined results: relations without patterns or types match nothing, empty tag lists let everything pass, mentions without a link take no part, ties are broken by scores and positions, then by ids."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizes import small_or_shuffled
+from .spans import positions
+
+
+#: Patterns that a schema may have; more are refused.
+PATTERNS = 10_000
+
+
+def _plain(pattern: str) -> bool:
+    """A pattern without special characters, no end of which is its start again, so that its matches can't overlap."""
+    return not re.search(r"[\\.\[\](){}*+?^$|]", pattern) and not any(pattern.startswith(pattern[k:]) for k in range(1, len(pattern)))
 
 
 def trigger_matches(sentences: DataFrame, relations: DataFrame) -> DataFrame:
-    """(sentence_id, relation_id, pattern, t_start, t_end) of every occurrence of every pattern, overlapping ones too (literal, case-sensitive). Positions are joined to patterns by their first character."""
-    p = relations.select(F.col("id").alias("relation_id"), F.explode("patterns").alias("pattern")).where(F.length("pattern") > 0).distinct()
-    p = small_or_shuffled(p.select("*", F.length("pattern").alias("_n"), F.substring("pattern", 1, 1).alias("_lead")))
-    rows = sentences.where(F.length("text") > 0).select("sentence_id", F.col("text").alias("_t"), F.explode(F.sequence(F.lit(1), F.length("text"))).alias("_at"))
-    found = rows.withColumn("_lead", F.expr("substring(_t, _at, 1)")).join(p, "_lead").where("substring(_t, _at, _n) = pattern")
-    return found.select("sentence_id", "relation_id", "pattern", (F.col("_at") - 1).alias("t_start"), (F.col("_at") - 1 + F.col("_n")).alias("t_end"))
+    """(sentence_id, relation_id, pattern, t_start, t_end) of every match of every pattern, a case-sensitive regular expression; matches of one pattern don't overlap, empty ones don't count.
+
+    Plain words are found by a join of positions and first characters; what is left, by the lengths of the matches and of what lies between them."""
+    flat = relations.select(F.col("id").alias("relation_id"), F.explode("patterns").alias("pattern")).where(F.length("pattern") > 0).distinct()
+    rows = flat.limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns")
+    plain = sorted({(r["relation_id"], r["pattern"]) for r in rows if _plain(r["pattern"])}, key=str)
+    texts = sentences.where(F.length("text") > 0)
+    p = sentences.sparkSession.createDataFrame([(r, x, len(x), x[0]) for r, x in plain], "relation_id string, pattern string, _n int, _lead string")
+    longest = max((len(x) for _, x in plain), default=1)
+    at = positions(texts, "sentence_id", "text", longest).withColumn("_lead", F.expr("substring(_s, _p, 1)"))
+    found = at.join(F.broadcast(p), "_lead").where("substring(_s, _p, _n) = pattern")
+    out = found.select("sentence_id", "relation_id", "pattern", F.col("_at").alias("t_start"), (F.col("_at") + F.col("_n")).alias("t_end"))
+    by: dict[str, list[str]] = {}
+    for r in rows:
+        if not _plain(r["pattern"]):
+            by.setdefault(r["pattern"], []).append(r["relation_id"])
+    if by:
+        each = [F.when(F.col("text").rlike(x), _named(_places(F.col("text"), x), x)) for x in sorted(by)]
+        hits = texts.select("sentence_id", F.explode(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))).alias("m")).where("m.a < m.b")
+        names = sentences.sparkSession.createDataFrame([(x, r) for x, rs in by.items() for r in rs], "pattern string, relation_id string")
+        out = out.unionByName(hits.select("sentence_id", "m.pattern", F.col("m.a").alias("t_start"), F.col("m.b").alias("t_end")).join(F.broadcast(names), "pattern"))
+    return out
+
+
+def _named(places: Column, pattern: str) -> Column:
+    return F.transform(places, lambda m: F.struct(F.lit(pattern).alias("pattern"), m["a"].alias("a"), m["b"].alias("b")))
+
+
+def _places(text: Column, pattern: str) -> Column:
+    """array<struct<a, b>>: where the matches of a pattern start and end."""
+    between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        a = s["at"] + F.length(x["between"])
+        b = a + F.length(x["matches"])
+        return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
+
+    return F.aggregate(F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("between"), matches.alias("matches")), state, step, lambda s: s["out"])
+
+
+def with_child_types(relations: DataFrame, parents: dict[str, list[str]]) -> DataFrame:
+    """``relations`` whose subject and object types also name the children of each type, ``parents`` being {type: children}."""
+    for c in ("subject_types", "object_types"):
+        wide = F.col(c)
+        for parent, children in parents.items():
+            wide = F.when(F.array_contains(c, parent), F.array_union(wide, F.array(*map(F.lit, children)))).otherwise(wide) if children else wide
+        relations = relations.withColumn(c, wide)
+    return relations
 
 
 def gap(direction: Column, start: Column, end: Column, t_start: Column, t_end: Column) -> Column:
@@ -52,7 +109,7 @@ def pattern_triples(mentions: DataFrame, sentences: DataFrame, relations: DataFr
     text = sentences.select("sentence_id", "text")
     a, b = F.least("t_start", "o_start"), F.greatest("t_end", "o_end")
     directed = directed.join(text, "sentence_id").withColumn("between", F.substring("text", a + 1, b - a))
-    directed = directed.where(~F.coalesce(F.exists("negative_patterns", lambda p: F.contains("between", p)), F.lit(False)))
+    directed = directed.where(~F.coalesce(F.exists("negative_patterns", lambda p: F.regexp_like("between", p)), F.lit(False)))
     right = s.where("symmetric").select(*key, F.col("s_rank").alias("o_rank"), F.col("s_id").alias("o_id"), F.col("s_score").alias("o_score"))
     both = s.where("symmetric").join(right, key).where("s_rank < o_rank AND s_id <> o_id")
     cols = [*key, "s_rank", "o_rank", "s_id", "o_id", "s_score", "o_score"]

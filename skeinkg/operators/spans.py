@@ -12,25 +12,42 @@ from ..functions.sizes import small_or_shuffled
 def alias_index(entities: DataFrame) -> DataFrame:
     """(alias_rank, alias, entity_id, entity_type): distinct names of each entity, longest first, then by text and entity id."""
     names = F.array_distinct(F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != "")))
-    flat = entities.select(F.explode(names).alias("alias"), F.col("id").alias("entity_id"), "entity_type")
-    order = Window.orderBy(F.length("alias").desc(), "alias", "entity_id")
-    return flat.select(F.row_number().over(order).alias("alias_rank"), "alias", "entity_id", "entity_type")
+    flat = entities.select(F.explode(names).alias("alias"), F.col("id").alias("entity_id"), "entity_type").withColumn("_n", F.length("alias"))
+    # ranks count on from the longer aliases' number; only one row a length meets in a window without key
+    longer = flat.groupBy("_n").agg(F.count("*").alias("_k"))
+    base = longer.select("_n", F.coalesce(F.sum("_k").over(Window.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    order = Window.partitionBy("_n").orderBy("alias", "entity_id")
+    ranked = flat.withColumn("_rn", F.row_number().over(order)).join(F.broadcast(base), "_n")
+    return ranked.select((F.col("_base") + F.col("_rn")).cast("int").alias("alias_rank"), "alias", "entity_id", "entity_type")
 
 
 def occurrences(sentences: DataFrame, aliases: DataFrame, key: str = "sentence_id", text: str = "text") -> DataFrame:
     """(key, start, end, text, alias_rank, entity_id, entity_type) of every occurrence, overlapping ones too; ASCII aliases ignore case.
 
-    Every position's first two characters are joined to the aliases' (an equi-join), then the whole alias is compared there."""
+    Every position's first two characters are joined to the aliases' (an equi-join), then the whole alias is compared with what stands there; a position carries a window little longer than the longest alias, never its text."""
     lead = lambda c: F.lower(F.substring(c, 1, 2))
     index = small_or_shuffled(aliases.where(F.length("alias") > 0).select("*", F.length("alias").alias("_n"), lead(F.col("alias")).alias("_lead")))
-    n = F.length(text)
-    rows = sentences.where(n > 0).select(key, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(1), n)).alias("_at"))
-    pairs = rows.withColumn("_two", F.lower(F.expr("substring(_t, _at, 2)")))
-    two = pairs.join(index.where("_n > 1"), F.col("_two") == F.col("_lead"))
-    one = pairs.join(index.where("_n = 1"), F.substring("_two", 1, 1) == F.col("_lead"))
-    found = two.unionByName(one).withColumn("_slice", F.expr("substring(_t, _at, _n)"))
+    longest, single = index.agg(F.coalesce(F.max("_n"), F.lit(1)), F.coalesce(F.min("_n"), F.lit(2)) == 1).first()
+    two = F.lower(F.substring("_s", F.col("_p"), F.lit(2)))
+    leads = F.explode(F.array_distinct(F.array(two, F.substring(two, 1, 1)))) if single else two
+    rows = positions(sentences, key, text, longest).select(key, "_at", "_s", "_p", leads.alias("_lead"))
+    found = rows.join(index, "_lead").withColumn("_slice", F.substring("_s", F.col("_p"), F.col("_n")))
     same = F.when(F.col("alias").rlike(r"^[\x00-\x7F]+$"), F.lower("_slice") == F.lower("alias")).otherwise(F.col("_slice") == F.col("alias"))
-    return found.where(same).select(key, (F.col("_at") - 1).alias("start"), (F.col("_at") - 1 + F.col("_n")).alias("end"), F.col("_slice").alias("text"), "alias_rank", "entity_id", "entity_type")
+    return found.where(same).select(key, F.col("_at").alias("start"), (F.col("_at") + F.col("_n")).alias("end"), F.col("_slice").alias("text"), "alias_rank", "entity_id", "entity_type")
+
+
+#: Positions of a text that share one window.
+WINDOW = 64
+
+
+def positions(rows: DataFrame, key: str, text: str, size: int, before: int = 0) -> DataFrame:
+    """(key, _at, _s, _p, _b): each position of a text, from 0, and a window of it in which ``size`` characters stand from place ``_p`` (from 1) on, behind the ``_b`` (at most ``before``) characters in front. Texts are cut into short overlapping windows first, so that neither a row nor the search for a place in it grows with the text."""
+    n = F.length(text)
+    cut = lambda w: F.struct(w.alias("w"), F.substring(text, F.greatest(w - before, F.lit(0)) + 1, F.least(w, F.lit(before)) + WINDOW + size).alias("s"), F.least(n - w, F.lit(WINDOW)).alias("n"))
+    windows = rows.where(n > 0).select(key, F.explode(F.transform(F.sequence(F.lit(0), n - 1, F.lit(WINDOW)), cut)).alias("_w")).select(key, "_w.w", "_w.s", "_w.n")
+    at = windows.select(key, "w", "s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    here = F.col("w") + F.col("i")
+    return at.select(key, here.alias("_at"), F.col("s").alias("_s"), (F.col("i") + F.least("w", F.lit(before)) + 1).alias("_p"), F.least(here, F.lit(before)).alias("_b"))
 
 
 def _kept(spans: Column, overlap) -> Column:

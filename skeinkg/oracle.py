@@ -197,6 +197,27 @@ def oracle_sql() -> dict[str, str]:
  SELECT 'mentions' AS metric, count(*)::DOUBLE AS value FROM m UNION ALL SELECT 'nil_rate', coalesce(round(round(avg(coalesce(is_nil, false)::INT::DOUBLE), 9), 4), 0) FROM m UNION ALL SELECT 'average_link_score', coalesce(round(round(avg(link_score) FILTER (NOT coalesce(is_nil, false)), 9), 4), 0) FROM m UNION ALL SELECT 'linked_entities', count(DISTINCT linked_entity_id) FROM m
  UNION ALL SELECT 'sentences', count(*) FROM s UNION ALL SELECT 'tokens', coalesce(sum(len(tokens)), 0) FROM s UNION ALL SELECT 'triples', count(*) FROM f UNION ALL SELECT 'triples_extracted', count(*) FILTER (source = 'extracted') FROM f UNION ALL SELECT 'triples_cooccurrence', count(*) FILTER (source = 'cooccurrence') FROM f UNION ALL SELECT 'triples_inferred', count(*) FILTER (source = 'inferred') FROM f
  UNION ALL SELECT 'orphan_ratio', coalesce(round(round(avg((id NOT IN (SELECT id FROM deg))::INT::DOUBLE), 9), 4), 0) FROM mc UNION ALL SELECT 'conflict_pair_ratio', coalesce(round(round(avg(coalesce(conflict, false)::INT::DOUBLE), 9), 4), 0) FROM p UNION ALL SELECT 'triple_nodes', count(*) FROM deg) SELECT metric, value::DOUBLE AS value FROM x""",
+        "quality_metrics": f"""WITH RECURSIVE {S}, {M}, {T}, {_DEG}, {_REACH}, e3 AS (SELECT subject AS a, object AS b FROM f WHERE subject IN (SELECT id FROM mc) AND object IN (SELECT id FROM mc) AND subject <> object UNION SELECT object, subject FROM f WHERE subject IN (SELECT id FROM mc) AND object IN (SELECT id FROM mc) AND subject <> object),
+ r3(id) AS (SELECT '{CENTER}' UNION SELECT e3.b FROM r3 JOIN e3 ON e3.a = r3.id), fe AS (SELECT subject, object, relation_id, count(*) AS v FROM f WHERE subject IN (SELECT id FROM reach) AND object IN (SELECT id FROM reach) GROUP BY ALL),
+ cov AS (SELECT m.mention_id, m.source, coalesce(m.is_nil, false) AS nil, m.start, m."end", list_filter(list_transform(s.tokens, lambda t, i: {{'i': i - 1, 's': t.start, 'e': t."end"}}), lambda t: t.s < m."end" AND t.e > m.start) AS covered FROM m JOIN s USING (sentence_id)),
+ k(name) AS (VALUES ('linked'), ('gazetteer')), c AS (SELECT k.name, cov.* FROM k LEFT JOIN cov ON len(covered) > 0 AND CASE k.name WHEN 'linked' THEN NOT nil ELSE source = 'gazetteer' END)
+ SELECT 'raw_center_component_ratio' AS metric, (SELECT coalesce(round(count(*) FILTER (id IN (SELECT id FROM r3)) / nullif(count(*), 0), 4), 0) FROM mc)::DOUBLE AS value
+ UNION ALL SELECT 'projected_center_component_ratio', 1.0 UNION ALL SELECT 'projected_orphan_node_ratio', 0.0
+ UNION ALL SELECT 'single_support_edge_ratio', coalesce(round(avg((v = 1)::INT::DOUBLE), 4), 0) FROM fe UNION ALL SELECT 'average_edge_support', coalesce(round(avg(v), 4), 0) FROM fe
+ UNION ALL SELECT name || '_token_mentions', count(mention_id) FROM c GROUP BY name UNION ALL SELECT name || '_boundary_alignment_rate', coalesce(round(avg(CASE WHEN covered[1].s = start AND covered[len(covered)].e = "end" THEN 1.0 ELSE 0.0 END) FILTER (mention_id IS NOT NULL), 4), 0) FROM c GROUP BY name
+ UNION ALL SELECT name || '_fragmentation_mean', coalesce(round(avg(len(covered)), 4), 0) FROM c GROUP BY name UNION ALL SELECT name || '_single_token_rate', coalesce(round(avg(CASE WHEN len(covered) = 1 THEN 1.0 ELSE 0.0 END) FILTER (mention_id IS NOT NULL), 4), 0) FROM c GROUP BY name
+ UNION ALL SELECT 'average_sentence_tokens', coalesce(round(avg(coalesce(len(tokens), 0)), 4), 0) FROM s
+ UNION ALL SELECT 'projection_full_nodes', count(*) FROM (SELECT id FROM mc UNION SELECT id FROM deg) UNION ALL SELECT 'projection_full_edges', count(*) FROM (SELECT DISTINCT subject, object, relation_id FROM f) UNION ALL SELECT 'projection_focused_nodes', count(*) FROM reach
+ UNION ALL SELECT 'projection_focused_edges', count(*) FROM fe UNION ALL SELECT 'projection_isolated_nodes', count(*) FROM mc WHERE id NOT IN (SELECT id FROM deg)""",
+        "conflicting_pairs": f"WITH {T}, g AS (SELECT subject, object, list_sort(list(DISTINCT relation_id)) AS r FROM f WHERE subject IS NOT NULL AND object IS NOT NULL AND relation_id IS NOT NULL GROUP BY 1, 2) SELECT subject || '->' || object AS pair, array_to_string(r, '|') AS relations FROM g WHERE len(r) > 1",
+        "run_summary": f"""WITH {S}, {M}, {T} SELECT 'document_count' AS metric, count(*)::DOUBLE AS value FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'sentence_count', count(*) FROM s UNION ALL SELECT 'entity_mention_count', count(*) FROM m WHERE source IN ('gazetteer', 'crf') UNION ALL SELECT 'linked_mention_count', count(*) FROM m WHERE NOT coalesce(is_nil, false)
+ UNION ALL SELECT 'triple_count', count(*) FROM f UNION ALL SELECT 'asserted_triple_count', count(*) FROM f WHERE source = 'extracted' UNION ALL SELECT 'inferred_triple_count', count(*) FROM f WHERE source = 'inferred'""",
+        "graph_tables": f"""WITH {T}, w AS (SELECT subject AS "from", object AS "to", count(*) AS value FROM f WHERE object <> '{CENTER}' GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (ORDER BY value DESC, "from", "to") AS rk FROM w), n AS (SELECT *, rk = min(rk) OVER (PARTITION BY "to") AS first FROM o), c AS (SELECT *, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (ORDER BY rk) AS seen FROM n),
+ b AS (SELECT "from", "to", value FROM c WHERE seen <= 49) SELECT 'node' AS kind, x.id, coalesce(e.name, x.id) AS label, NULL::VARCHAR AS "to", NULL::BIGINT AS value FROM (SELECT "from" AS id FROM b UNION SELECT "to" FROM b) x LEFT JOIN entities e ON e.id = x.id UNION ALL SELECT 'edge', "from", NULL, "to", value FROM b""",
+        "node_neighborhood": f"""WITH {T}, {M}, {_DEG}, x AS ({_NODES} (SELECT id FROM mc UNION SELECT id FROM deg)), q AS (SELECT id FROM x WHERE contains(lower(label), 'irene') OR contains(lower(id), 'irene')), nb AS (SELECT object AS id FROM f WHERE subject IN (SELECT id FROM q) UNION SELECT subject FROM f WHERE object IN (SELECT id FROM q))
+ SELECT id, label, CASE WHEN id IN (SELECT id FROM q) THEN 'found' ELSE 'neighbour' END AS role FROM x WHERE id IN (SELECT id FROM q UNION SELECT id FROM nb)""",
+        "rule_self_join": f"""WITH {T}, g AS (SELECT object AS class_id, subject AS member, max(coalesce(confidence, 0)) AS c, arg_max(triple_id, {{'c': coalesce(confidence, 0), 't': triple_id}}) AS support FROM f WHERE source <> 'inferred' AND relation_id = 'employed_at' AND subject IS NOT NULL AND object IS NOT NULL GROUP BY 1, 2)
+ SELECT 'colleague_of' AS relation_id, class_id, min(member) OVER (PARTITION BY class_id) AS representative, member, round(round(c * 0.6, 9), 4) AS confidence, support FROM g QUALIFY count(*) OVER (PARTITION BY class_id) > 1""",
         "word_freq": f"WITH {S}, {W}, {A}, {KNOWN}, {STOP}, {_FREQ} SELECT * FROM fr",
         "neighbour_boost": f"WITH {S}, {W}, {A}, {KNOWN}, {STOP}, {_BOOST} SELECT * FROM bo",
         "context_windows": f"""WITH {S}, {W}, c AS (SELECT word, doc_id, pos, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), '') AS context FROM w), g AS (SELECT word, context, min({{'d': doc_id, 'p': pos}}) AS place FROM c WHERE length(word) >= 2 GROUP BY 1, 2) SELECT word, row_number() OVER (PARTITION BY word ORDER BY place) AS rank, context FROM g QUALIFY rank <= 3""",
@@ -205,4 +226,4 @@ def oracle_sql() -> dict[str, str]:
         "hmm_transition": f'WITH {S}, {M}, {_LABEL}, x AS (SELECT label, lead(label) OVER (PARTITION BY sentence_id ORDER BY token_index) AS next FROM lab WHERE token IS NOT NULL) SELECT label, next, count(*) AS n FROM x WHERE next IS NOT NULL GROUP BY 1, 2',
         "hmm_emission": f"WITH {S}, {M}, {_LABEL} SELECT label, token, count(*) AS n FROM lab WHERE token IS NOT NULL GROUP BY 1, 2",
     }
-    return q | {name: _rule_sql(name) for name in RULES}
+    return {name: _rule_sql(name) for name in RULES} | q

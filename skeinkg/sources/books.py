@@ -108,5 +108,7 @@ def book_documents(files: DataFrame, pdf_pages: Callable[[bytes], list[str]] | N
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
     d = raw.select("path", normalized(F.col("text")).alias("text"), "error", stem.alias("stem"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("format"))
     first = F.try_element_at(F.filter(F.transform(F.split("text", "\n"), stripped), lambda x: x != ""), F.lit(1))
-    d = d.withColumn("n", F.row_number().over(Window.orderBy("path")))
+    # only paths are numbered in one place, the texts stay where they are
+    numbers = files.select("path").distinct().withColumn("n", F.row_number().over(Window.orderBy("path")))
+    d = d.join(numbers, "path")
     return d.select(F.concat(F.format_string("doc_%02d_", "n"), F.left(slug(F.col("stem")), F.lit(48))).alias("document_id"), F.coalesce(first, "stem").alias("title"), F.col("path").alias("source_path"), "format", "text", "error")
