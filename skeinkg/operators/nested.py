@@ -8,7 +8,8 @@ record is one task-local expression, so neither size nor skew of ids matters.
 Irregular shapes that are understood: a payload that is the document itself, wraps it (``document``) or
 wraps several (``batch.documents``); a list written as a lone object (position 1), as a JSON string, as
 ``{"items": [...]}``, or as null (no rows); null list elements (they count as positions, but give no
-row); tokens written as ``[text, start, end]``; support ids written as objects with ``triple_id`` or as
+row); candidates written as a map from entity id to the rest (positions as the keys stand in the payload); tokens
+written as ``[text, start, end]``; support ids written as objects with ``triple_id`` or as
 one string joined by ``|``; mentions beside the sentences, with their own ``sentence_id``.
 
 Defined results: null, empty, cut off or otherwise invalid payloads give no rows; links without a parent or child id
@@ -67,6 +68,17 @@ def _links(kind: str, items: str, parent: str, child) -> str:
     return f"transform({items}, (e, i) -> named_struct('child_kind', '{kind}', 'parent_id', {parent}, 'child_no', cast(i + 1 AS bigint), 'child_id', {child('e')}))"
 
 
+def _candidates(v: str, parent: str) -> str:
+    """array<link> of a mention's candidates, a list written in any way or a map by entity id. A VARIANT forgets the order of keys, so they are looked up in the payload behind the mention's id."""
+    start = f"greatest(locate('\"candidates\"', `_payload`, greatest(locate(concat('\"', {parent}, '\"'), `_payload`), 1)), 1)"
+    link = "named_struct('child_kind', 'candidate', 'parent_id', {p}, 'child_no', cast(i + 1 AS bigint), 'child_id', {c})"
+    ordered = lambda m, at: f"array_sort(transform(map_entries({m}), y -> named_struct('at', locate(concat('\"', y.key, '\"'), `_payload`, {at}), 'key', y.key, 'there', y.value IS NOT NULL)))"
+    rows = lambda m: _let(start, lambda at: f"transform({ordered(m, at)}, (y, i) -> {link.format(p=parent, c='CASE WHEN y.there THEN y.key END')})")
+    keyed = lambda x: f"startswith(schema_of_variant({x}), 'OBJECT') AND {_text(x, '$.entity_id')} IS NULL AND {_sub(x, '$.items')} IS NULL"
+    as_map = lambda x: _let(f"from_json(to_json({x}), 'map<string, string>')", rows)
+    return _let(v, lambda x: f"CASE WHEN {keyed(x)} THEN {as_map(x)} ELSE {_links('candidate', _list(x), parent, lambda e: _text(e, '$.entity_id'))} END")
+
+
 def nested_links(df: DataFrame, key: str = "raw_id", payload: str = "payload") -> dict[str, DataFrame]:
     """The flat link tables of nested payloads: ``{kind: (key, child_kind, parent_id, child_no, child_id)}``."""
     parsed = _arrays(df, key, payload)
@@ -85,18 +97,18 @@ def _emit(parsed: DataFrame, key: str, kinds) -> DataFrame:
 
 
 def _arrays(df: DataFrame, key: str, payload: str) -> DataFrame:
-    d = df.select(F.col(key).alias("_key"), F.expr(_valid(f"`{payload}`")).alias("root")).where("root IS NOT NULL AND startswith(schema_of_variant(root), 'OBJECT')")
+    d = df.select(F.col(key).alias("_key"), F.col(payload).alias("_payload"), F.expr(_valid(f"`{payload}`")).alias("root")).where("root IS NOT NULL AND startswith(schema_of_variant(root), 'OBJECT')")
     roots = f"""flatten(array(
         {_list(_sub('root', '$.batch.documents'))},
         {_list(_sub('root', '$.document'))},
         CASE WHEN {_text('root', '$.document_id')} IS NOT NULL THEN array(root) ELSE cast(array() AS array<variant>) END))"""
-    d = d.selectExpr("_key", f"transform({roots}, d -> named_struct('id', {_text('d', '$.document_id')}, 'sentences', {_list(_sub('d', '$.sentences'))}, 'mentions', {_list(_sub('d', '$.mentions'))}, 'triples', {_list(_sub('d', '$.triples'))})) AS docs")
+    d = d.selectExpr("_key", "_payload", f"transform({roots}, d -> named_struct('id', {_text('d', '$.document_id')}, 'sentences', {_list(_sub('d', '$.sentences'))}, 'mentions', {_list(_sub('d', '$.mentions'))}, 'triples', {_list(_sub('d', '$.triples'))})) AS docs")
     within = lambda what: f"flatten(transform(docs, d -> transform(d.sentences, s -> named_struct('parent', {_text('s', '$.sentence_id')}, 'items', {_list(_sub('s', '$.' + what))}))))"
     beside = f"flatten(transform(docs, d -> transform(d.mentions, (m, i) -> named_struct('parent', {_text('m', '$.sentence_id')}, 'no', cast(i + 1 AS bigint), 'm', m))))"
     nested = "flatten(transform(mention_lists, l -> transform(l.items, (m, i) -> named_struct('parent', l.parent, 'no', cast(i + 1 AS bigint), 'm', m))))"
-    d = d.selectExpr("_key", "docs", f"{within('tokens')} AS token_lists", f"{within('mentions')} AS mention_lists")
+    d = d.selectExpr("_key", "_payload", "docs", f"{within('tokens')} AS token_lists", f"{within('mentions')} AS mention_lists")
     d = d.selectExpr(
-        "_key", "docs", "token_lists", f"concat({nested}, {beside}) AS mentions",
+        "_key", "_payload", "docs", "token_lists", f"concat({nested}, {beside}) AS mentions",
         f"flatten(transform(docs, d -> transform(d.triples, t -> named_struct('parent', {_text('t', '$.triple_id')}, 'items', {_supports(_sub('t', '$.support_triple_ids'))})))) AS support_lists",
     )
     token = lambda e: f"coalesce({_text(e, '$.text')}, {_text(e, '$[0]')}, CASE WHEN schema_of_variant({e}) = 'STRING' THEN try_cast({e} AS string) END)"
@@ -106,7 +118,7 @@ def _arrays(df: DataFrame, key: str, payload: str) -> DataFrame:
         f"flatten(transform(docs, d -> {_links('sentence', 'd.sentences', 'd.id', lambda e: _text(e, '$.sentence_id'))})) AS a_sentence",
         f"flatten(transform(token_lists, l -> {_links('token', 'l.items', 'l.parent', token)})) AS a_token",
         f"transform(mentions, x -> named_struct('child_kind', 'mention', 'parent_id', x.parent, 'child_no', x.no, 'child_id', {_text('x.m', '$.mention_id')})) AS a_mention",
-        f"flatten(transform(mentions, x -> {_links('candidate', _list(_sub('x.m', '$.candidates')), _text('x.m', '$.mention_id'), lambda e: _text(e, '$.entity_id'))})) AS a_candidate",
+        f"flatten(transform(mentions, x -> {_let(_text('x.m', '$.mention_id'), lambda p: _candidates(_sub('x.m', '$.candidates'), p))})) AS a_candidate",
         f"flatten(transform(docs, d -> {_links('triple', 'd.triples', 'd.id', lambda e: _text(e, '$.triple_id'))})) AS a_triple",
         f"flatten(transform(support_lists, l -> {_links('support', 'l.items', 'l.parent', support)})) AS a_support",
     )

@@ -112,8 +112,36 @@ _PT = f"""pw AS (SELECT doc_id AS id, word AS term FROM w WHERE length(word) >=
 _CAND = f"""cand AS (SELECT fr.word, fr.freq, round(coalesce(score, 0), 6) AS tfidf, coalesce(boost, 0)::BIGINT AS boost, round(round(0.3 * least(coalesce(score, 0) * 8, 1.0) + 0.2 * least(coalesce(boost, 0) / 100, 1.0) + 0.1 * least(freq / 300, 1.0), 9), 4) AS confidence FROM fr LEFT JOIN sc USING (word) LEFT JOIN bo USING (word) WHERE freq >= 5 AND (score IS NOT NULL OR boost IS NOT NULL))"""
 
 
+def _json_list(x: str, depth: int = 1) -> str:
+    """Any way of writing a list in JSON, as a list of JSON values."""
+    text = _json_list(f"try_cast(({x} ->> '$') AS JSON)", 0) if depth else "[]"
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN ({x})::JSON[] WHEN 'OBJECT' THEN CASE WHEN json_type({x} -> 'items') = 'ARRAY' THEN ({x} -> 'items')::JSON[] ELSE [{x}] END WHEN 'VARCHAR' THEN {text} ELSE [] END"
+
+
+def _json_rows(source: str, keep: str, value: str) -> str:
+    """``source`` with one row (keep, i, v) for each element of a list."""
+    return f"(SELECT {keep}, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM (SELECT {keep}, {value} AS l FROM {source}))"
+
+
+_LINKS = f"""WITH p AS (SELECT raw_id, payload::JSON AS j FROM raw_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+ d AS (SELECT raw_id, v ->> 'document_id' AS id, v AS d FROM {_json_rows('p', 'raw_id', f"list_concat({_json_list("(j -> 'batch' -> 'documents')")}, {_json_list("(j -> 'document')")}, CASE WHEN (j ->> 'document_id') IS NOT NULL THEN [j] ELSE [] END)")} WHERE json_type(v) = 'OBJECT'),
+ s AS (SELECT raw_id, id, i, v ->> 'sentence_id' AS sid, v AS s FROM {_json_rows('d', 'raw_id, id', _json_list("(d -> 'sentences')"))} WHERE json_type(v) = 'OBJECT'),
+ m AS (SELECT raw_id, sid, i, v FROM {_json_rows('s', 'raw_id, sid', _json_list("(s -> 'mentions')"))} UNION ALL SELECT raw_id, v ->> 'sentence_id', i, v FROM {_json_rows('d', 'raw_id', _json_list("(d -> 'mentions')"))}),
+ c AS (SELECT raw_id, v ->> 'mention_id' AS mid, v -> 'candidates' AS c FROM m WHERE json_type(v) = 'OBJECT'), keyed AS (SELECT raw_id, mid, c, json_keys(c) AS l FROM c WHERE json_type(c) = 'OBJECT' AND (c ->> 'entity_id') IS NULL AND (c -> 'items') IS NULL),
+ k AS (SELECT raw_id, mid, c, unnest(l) AS key, generate_subscripts(l, 1) AS i FROM keyed),
+ lists AS (SELECT raw_id, mid, c FROM c WHERE NOT (json_type(c) = 'OBJECT' AND (c ->> 'entity_id') IS NULL AND (c -> 'items') IS NULL)),
+ t AS (SELECT raw_id, id, i, v ->> 'triple_id' AS tid, v -> 'support_triple_ids' AS u FROM {_json_rows('d', 'raw_id, id', _json_list("(d -> 'triples')"))} WHERE json_type(v) = 'OBJECT'),
+ u AS (SELECT raw_id, tid, i, coalesce(v ->> 'triple_id', CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' END) AS x FROM {_json_rows("(SELECT * FROM t WHERE NOT (json_type(u) = 'VARCHAR' AND NOT starts_with(trim(u ->> '$'), '[')))", 'raw_id, tid', _json_list('u'))}
+  UNION ALL SELECT raw_id, tid, generate_subscripts(l, 1), unnest(l) FROM (SELECT raw_id, tid, list_filter(list_transform(string_split(u ->> '$', '|'), lambda y: trim(y)), lambda y: y <> '') AS l FROM t WHERE json_type(u) = 'VARCHAR' AND NOT starts_with(trim(u ->> '$'), '['))),
+ x AS (SELECT raw_id, 'sentence' AS child_kind, id AS parent_id, i, sid AS child_id FROM s UNION ALL SELECT raw_id, 'triple', id, i, tid FROM t UNION ALL SELECT raw_id, 'support', tid, i, x FROM u UNION ALL SELECT raw_id, 'mention', sid, i, v ->> 'mention_id' FROM m
+  UNION ALL SELECT raw_id, 'token', sid, i, coalesce(v ->> 'text', v ->> 0, CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' END) FROM {_json_rows('s', 'raw_id, sid', _json_list("(s -> 'tokens')"))}
+  UNION ALL SELECT raw_id, 'candidate', mid, i, v ->> 'entity_id' FROM {_json_rows('lists', 'raw_id, mid', _json_list('c'))} UNION ALL SELECT raw_id, 'candidate', mid, i, CASE WHEN json_type(c -> ('/' || key)) <> 'NULL' THEN key END FROM k)
+ SELECT DISTINCT raw_id, child_kind, parent_id, i::BIGINT AS child_no, child_id FROM x WHERE parent_id IS NOT NULL AND child_id IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     q = {
+        "p2_found": _LINKS,
         "normalize_documents": f"SELECT doc_id, {_strip(_NORM)} AS text FROM documents",
         "split_sentences": f"""WITH n AS (SELECT doc_id, {_strip(_NORM)} AS t FROM documents), p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS paragraph_index FROM (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS ps FROM n)),
  x AS (SELECT doc_id, paragraph_index, unnest(ss) AS text, generate_subscripts(ss, 1) AS k FROM (SELECT doc_id, paragraph_index, list_filter(list_transform(string_split(regexp_replace(p, '([。！？!?])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '' AND x NOT IN ('。', '！', '？')) AS ss FROM p))

@@ -34,3 +34,10 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "raw_id bigint, payload string")
     assert all_links(empty).count() == 0
     assert set(nested_links(empty)) == set(KINDS)
+
+
+def test_candidates_as_a_map_in_written_order(spark):
+    doc = {"document_id": "d", "sentences": [{"sentence_id": "s", "mentions": [{"mention_id": "m1", "candidates": {"z": {"x": 1}, "a": {"x": 2}, "n": None, "k": {}}}, {"mention_id": "m2", "candidates": {"a": {}, "z": {}}}]}]}
+    df = spark.createDataFrame([(1, json.dumps(doc))], "raw_id bigint, payload string")
+    got = sorted((r["parent_id"], r["child_no"], r["child_id"]) for r in nested_links(df)["candidate"].collect())
+    assert got == [("m1", 1, "z"), ("m1", 2, "a"), ("m1", 4, "k"), ("m2", 1, "a"), ("m2", 2, "z")]
