@@ -1,11 +1,11 @@
 """Export rows of the graph store and its queries, and the files it writes."""
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
 from ..functions.sizes import small_or_shuffled
 from .graph import degrees, mention_counts, neighborhood
 
@@ -69,6 +69,8 @@ def evidence_samples(facts: DataFrame, most: int = 3) -> DataFrame:
 def export(out: str, entities: DataFrame, relations: DataFrame, mentions: DataFrame, facts: DataFrame, center: str) -> dict:
     """Writes facts, entities and relations (TSV with header), facts as N-Triples and JSON lines, the four queries as JSON lines; a summary of counts comes back and is written as JSON."""
     tsv = lambda df, name: df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{out}/{name}")
+    # each table is computed once, whatever it is written as
+    facts, mentions = checkpointed(facts), checkpointed(mentions)
     fr = fact_rows(facts)
     tsv(entity_rows(entities, mentions, facts), "entities.tsv")
     tsv(relation_rows(relations, facts), "relations.tsv")
@@ -78,7 +80,7 @@ def export(out: str, entities: DataFrame, relations: DataFrame, mentions: DataFr
     for name, df in (("center_neighborhood", center_neighborhood(facts, center)), ("relation_distribution", relation_distribution(facts)), ("inferred_facts", inferred_facts(facts)), ("evidence_samples", evidence_samples(facts))):
         write_jsonl(df, f"{out}/{name}.jsonl")
     summary = {"facts": facts.count(), "entities": entities.count(), "relations": relations.count(), "center": center}
-    write_json(summary, f"{out}/summary.json")
+    write_json(entities.sparkSession, summary, f"{out}/summary.json")
     return summary
 
 
@@ -87,12 +89,28 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_json(payload, path: str) -> None:
-    """A small report, two blanks of indent, non-ASCII kept."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(payload, ensure_ascii=False, indent=2), encoding="utf-8")
+def write_json(spark: SparkSession, payload, path: str) -> None:
+    """A small report as one JSON document, written by the file system that ``path`` names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(json.dumps(payload, ensure_ascii=False, indent=2).encode("utf-8")))
+    finally:
+        out.close()
 
 
-def write_texts(docs: DataFrame, path: str, key: str = "document_id", text: str = "text") -> None:
-    """One folder of plain text for each document."""
-    docs.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+def write_texts(docs: DataFrame, path: str, key: str = "document_id", text: str = "text", buckets: int = 64) -> None:
+    """Texts as JSON lines (key, text) in one folder for each of ``buckets`` hashes of the key, so that neither files nor folders grow with the number of documents, and one document is found in one folder."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    rows.write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", "false").json(path)
+
+
+def read_texts(spark: SparkSession, path: str, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """(key, text) written by ``write_texts``; with ``keys``, only their folders are read."""
+    rows = spark.read.schema("key string, text string, bucket bigint").json(path)
+    if keys is not None:
+        wanted = spark.createDataFrame([(k,) for k in keys], "key string")
+        places = [r[0] for r in wanted.select(F.pmod(F.xxhash64("key"), F.lit(buckets))).distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(places) & F.col("key").isin(keys))
+    return rows.select("key", "text")

@@ -1,7 +1,7 @@
 """The core queries in SQL."""
 
 from .functions.text import AFTER_BREAK, BEFORE_BREAK, SPACE, WORD
-from .queries import CENTER, RULES
+from .queries import CENTER, NOISE, RULES
 
 _FIRST = "SELECT * FROM {t} WHERE {k} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY loaded_at NULLS FIRST) = 1"
 S = f"s AS ({_FIRST.format(t='sentences', k='sentence_id')})"
@@ -250,6 +250,22 @@ def oracle_sql() -> dict[str, str]:
         "neighbour_boost": f"WITH {S}, {W}, {A}, {KNOWN}, {STOP}, {_BOOST} SELECT * FROM bo",
         "context_windows": f"""WITH {S}, {W}, c AS (SELECT word, doc_id, pos, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), '') AS context FROM w), g AS (SELECT word, context, min({{'d': doc_id, 'p': pos}}) AS place FROM c WHERE length(word) >= 2 GROUP BY 1, 2) SELECT word, row_number() OVER (PARTITION BY word ORDER BY place) AS rank, context FROM g QUALIFY rank <= 3""",
         "discover_candidates": f"WITH {S}, {W}, {A}, {KNOWN}, {STOP}, {_FREQ}, {_BOOST}, {_PT}, {_CAND} SELECT * FROM cand",
+        "jsonl_sentences": f"WITH {S} SELECT sentence_id, document_id, paragraph_index::BIGINT AS paragraph_index, sentence_index::BIGINT AS sentence_index, text, coalesce(len(tokens), 0) AS tokens FROM s",
+        "exported_facts": f"WITH {T} SELECT triple_id, subject AS subject_id, relation_id, object AS object_id, confidence, source FROM f",
+        "exported_lines": f"WITH {T} SELECT DISTINCT '<urn:kg:entity/' || subject || '> <urn:kg:relation/' || relation_id || '> <urn:kg:entity/' || object || '> .' AS line FROM f WHERE subject IS NOT NULL AND object IS NOT NULL AND relation_id IS NOT NULL",
+        "document_texts": "SELECT doc_id, length(text) AS chars, md5(text) AS digest FROM documents WHERE doc_id IS NOT NULL",
+        "validate_candidates": f"""WITH {S}, {W}, {A}, {KNOWN}, {STOP}, {_FREQ}, {_BOOST}, {_PT}, {_CAND}, top AS (SELECT word AS name FROM cand WHERE confidence >= 0.2 ORDER BY confidence DESC, freq DESC, word LIMIT 80),
+ nm AS (SELECT name FROM top WHERE length(name) >= 2 AND NOT regexp_full_match(name, '\p{{Nd}}+') AND NOT (regexp_full_match(name, '[\x00-\x7F]{{1,3}}') AND lower(name) IN ({', '.join(map(_sq, NOISE))})) AND lower(name) NOT IN (SELECT name FROM known)),
+ hit AS (SELECT doc_id, name, text, unnest(ps[1:len(ps) - 1]) AS piece, generate_subscripts(ps[1:len(ps) - 1], 1) AS k FROM (SELECT doc_id, name, text, string_split(text, name) AS ps FROM documents JOIN nm ON contains(text, name) WHERE doc_id IS NOT NULL)),
+ pos AS (SELECT name, text, sum(length(piece)) OVER (PARTITION BY doc_id, name ORDER BY k) + (k - 1) * length(name) AS place FROM hit), ci AS (SELECT name, substring(text, (greatest(place - 20, 0) + 1)::BIGINT, (place - greatest(place - 20, 0))::BIGINT) AS before FROM pos),
+ g AS (SELECT name, count(*) AS occurrences, count(*) FILTER (regexp_matches(before, '[①-⑩0-9]+[．.]') OR contains(right(before, 5), '，')) AS citations FROM ci GROUP BY name)
+ SELECT name, occurrences, citations, NOT (occurrences >= 5 AND citations > 0.7 * occurrences) AND occurrences >= 3 AS valid FROM g""",
+        "fragment_clusters": f"""WITH {S}, {M}, ctx AS (SELECT linked_entity_id AS e, mention_id, substring(s.text, greatest(start - 40, 0) + 1, "end" + 40 - greatest(start - 40, 0)) AS c FROM m JOIN s USING (sentence_id) JOIN entities en ON en.id = linked_entity_id), n2 AS (SELECT e, count(*) AS n FROM ctx GROUP BY e HAVING count(*) >= 2),
+ pr AS (SELECT DISTINCT a.id AS fragment, b.id AS canonical FROM entities a JOIN entities b ON length(a.name) BETWEEN 1 AND 6 AND length(b.name) > 6 AND contains(b.name, a.name) WHERE starts_with(a.id, 'place_') AND a.id <> b.id AND a.id IN (SELECT e FROM n2) AND b.id IN (SELECT e FROM n2)),
+ uctx AS (SELECT * FROM ctx WHERE e IN (SELECT fragment FROM pr UNION SELECT canonical FROM pr)), {_fit('fr', _grams('uctx', 'mention_id', 'c', 2, 3))},
+ mean AS (SELECT e, term, sum(weight) / any_value(n) AS v FROM fr_w JOIN uctx ON uctx.mention_id = fr_w.id JOIN n2 USING (e) GROUP BY e, term),
+ sim AS (SELECT fragment, canonical, round(sum(x.v * y.v), 9) AS similarity FROM pr JOIN mean x ON x.e = fragment JOIN mean y ON y.e = canonical AND y.term = x.term GROUP BY 1, 2)
+ SELECT fragment, canonical, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.05 QUALIFY row_number() OVER (PARTITION BY fragment ORDER BY similarity DESC, canonical) = 1""",
         "hmm_init": f"WITH {S}, {M}, {_LABEL} SELECT label, count(*) AS n FROM lab WHERE token_index = 0 AND token IS NOT NULL GROUP BY 1",
         "hmm_transition": f'WITH {S}, {M}, {_LABEL}, x AS (SELECT label, lead(label) OVER (PARTITION BY sentence_id ORDER BY token_index) AS next FROM lab WHERE token IS NOT NULL) SELECT label, next, count(*) AS n FROM x WHERE next IS NOT NULL GROUP BY 1, 2',
         "hmm_emission": f"WITH {S}, {M}, {_LABEL} SELECT label, token, count(*) AS n FROM lab WHERE token IS NOT NULL GROUP BY 1, 2",

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions.lineage import checkpointed
-from .operators import discovery, graph, hmm, linking, maxent, metrics, nested, reasoning, relations, spans, store, tfidf
+from .functions.lineage import checkpointed, scratch
+from .operators import crf, discovery, graph, hmm, linking, maxent, metrics, nested, reasoning, relations, spans, store, tfidf
 from .operators.reasoning import Rule
-from .sources import domain
+from .sources import domain, records
 from .sources.tables import table
 
 CENTER = "person_irene_serrvitz"
@@ -426,7 +426,39 @@ def validate_candidates(spark, d):
 
 @query
 def fragment_clusters(spark, d):
-    return discovery.fragment_clusters(linked(spark, d), domain.sentences(spark, d), domain.entities(spark, d), 0.1, "person_", 40, 5).select("fragment", "canonical", F.round("similarity", 6).alias("similarity"))
+    return discovery.fragment_clusters(linked(spark, d), domain.sentences(spark, d), domain.entities(spark, d), 0.05, "place_", 40, 6).select("fragment", "canonical", F.round("similarity", 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- files, written and read again
+@query
+def jsonl_sentences(spark, d):
+    path = scratch(spark, "sentences")
+    store.write_jsonl(domain.sentences(spark, d).drop("loaded_at"), path)
+    s = records.load(spark, path, "sentence", strict=False)
+    return s.select("sentence_id", "document_id", "paragraph_index", "sentence_index", "text", F.size("tokens").alias("tokens"))
+
+
+@query
+def exported_facts(spark, d):
+    path = scratch(spark, "export")
+    store.export(path, domain.entities(spark, d), domain.relations(spark, d), linked(spark, d), facts(spark, d), CENTER)
+    t = spark.read.option("sep", "\t").option("header", True).option("multiLine", True).csv(f"{path}/facts.tsv")
+    return t.select("triple_id", "subject_id", "relation_id", "object_id", F.col("confidence").cast("double").alias("confidence"), "source")
+
+
+@query
+def exported_lines(spark, d):
+    path = scratch(spark, "export")
+    f = facts(spark, d)
+    store.rdf_lines(f).write.text(path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def document_texts(spark, d):
+    path = scratch(spark, "texts")
+    store.write_texts(domain.documents(spark, d).withColumn("doc_id", F.col("doc_id").cast("string")), path, "doc_id")
+    return store.read_texts(spark, path).select(F.col("key").cast("bigint").alias("doc_id"), F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 # ---------------------------------------------------------------- sequence model
@@ -462,6 +494,18 @@ def hmm_buckets(spark, d):
     return spans.bio_spans(hmm.decoded_buckets(s, model))
 
 
+@query
+def crf_report(spark, d):
+    """Precision and recall by label over the fifth of the sentences that the model was not trained on."""
+    s, labels = domain.sentences(spark, d), checkpointed(_labels(spark, d))
+    model = crf.fitted(labels)
+    held = labels.where(F.pmod(F.xxhash64("sentence_id"), F.lit(5)) == 0)
+    if model is None:
+        return maxent.report(labels.limit(0).select("label", F.col("label").alias("predicted")))
+    tagged = crf.decoded(s.where(F.pmod(F.xxhash64("sentence_id"), F.lit(5)) == 0), model)
+    return maxent.report(held.join(tagged.select("sentence_id", "token_index", F.col("label").alias("predicted")), ["sentence_id", "token_index"]).select("label", "predicted"))
+
+
 @query
 def maxent_report(spark, d):
     s, labels = domain.sentences(spark, d), checkpointed(_labels(spark, d))

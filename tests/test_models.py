@@ -50,3 +50,32 @@ def test_reestimation_raises_likelihood_and_equals_enumeration(spark):
     _, seen = hmm.reestimated(m, df, 4, 1e-6)
     assert all(b >= a - 1e-6 for a, b in zip(seen, seen[1:]))
     assert hmm.decoded_buckets(df, m).count() == 200
+
+
+def test_chain_field_equals_enumeration():
+    import itertools
+    import random
+
+    import numpy as np
+
+    from skeinkg.operators import crf
+
+    rng, model = np.random.default_rng(1), crf.Chain(["O", "A", "B"])
+    model.a, model.s = rng.normal(size=(3, 3)), rng.normal(size=3)
+    e = rng.normal(size=(4, 3))
+    z, p, moves = model.expected(e)
+    score = lambda y: model.s[y[0]] + sum(e[t, k] for t, k in enumerate(y)) + sum(model.a[a, b] for a, b in zip(y, y[1:]))
+    every = {y: np.exp(score(y)) for y in itertools.product(range(3), repeat=4)}
+    total = sum(every.values())
+    assert abs(z - np.log(total)) < 1e-9
+    assert all(abs(p[t, k] - sum(v for y, v in every.items() if y[t] == k) / total) < 1e-9 for t in range(4) for k in range(3))
+    assert all(abs(moves[a, b] - sum(v * sum((x, w) == (a, b) for x, w in zip(y, y[1:])) for y, v in every.items()) / total) < 1e-9 for a in range(3) for b in range(3))
+    # a label that only the one before tells: the second of two unknown words behind "von"
+    random_ = random.Random(2)
+    words = lambda: random_.choice("abcdefgh") + random_.choice("klmnop")
+    data = []
+    for _ in range(300):
+        x, y = words(), words()
+        data.append((["von", x, y, "sagt"], ["O", "B-P", "I-P", "O"]) if random_.random() < 0.5 else (["das", x, y, "sagt"], ["O", "O", "O", "O"]))
+    model = crf.Chain(["O", "B-P", "I-P"]).fit(data[:200], 6)
+    assert sum(model.tags(t) == y for t, y in data[200:]) >= 95 and model.tags([]) == []
