@@ -16,7 +16,11 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BR
 
     Where the optimizer's estimate leaves a doubt, ``df`` is checkpointed, so that it is computed once, and its rows and the characters of all its columns are counted there."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    if int(str(plan.stats().sizeInBytes())) <= SURE:
+    try:
+        sure = int(str(plan.stats().sizeInBytes())) <= SURE
+    except ValueError:  # products of joins may have more digits than Python converts
+        sure = False
+    if sure:
         return F.broadcast(df)
     kept = df if plan.nodeName().startswith("LogicalRDD") else checkpointed(df)
     # a hint would keep the optimizer from counting, so the rows are cut first

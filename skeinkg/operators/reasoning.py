@@ -63,14 +63,15 @@ def inferred(facts: DataFrame, rules: list[Rule], entities: DataFrame | None = N
 
 
 def inferred_classes(facts: DataFrame, rule: Rule) -> DataFrame:
-    """(relation_id, class_id, representative, member, confidence, support) of a rule that relates all subjects of one relation with a common object, e.g. colleagues.
+    """(relation_id, class_id, representative, member, confidence, support) of a rule that relates all subjects of one relation with a common object (colleagues), or all objects with a common subject.
 
     Such a rule means all pairs of a class, which a hot class would square; a class is given by its members instead, each with the class's least member as representative. Two different members of a class are related with the lesser of their confidences."""
     (r1, x, z), (r2, y, w) = rule.body
-    if r1 != r2 or z != w or {rule.head[1], rule.head[2]} != {x, y}:
-        raise ValueError(f"rule {rule.name} doesn't relate the subjects of one relation by a common object")
+    common, member = ("object", "subject") if z == w else ("subject", "object")
+    if r1 != r2 or (z == w) == (x == y) or {rule.head[1], rule.head[2]} != ({x, y} if z == w else {z, w}):
+        raise ValueError(f"rule {rule.name} doesn't relate the ends of one relation by a common end")
     a = facts.where((F.col("relation_id") == r1) & F.col("subject").isNotNull() & F.col("object").isNotNull())
     best = F.max_by("triple_id", F.struct(F.coalesce("confidence", F.lit(0.0)), F.col("triple_id")))
-    m = a.groupBy(F.col("object").alias("class_id"), F.col("subject").alias("member")).agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"), best.alias("support"))
+    m = a.groupBy(F.col(common).alias("class_id"), F.col(member).alias("member")).agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"), best.alias("support"))
     first = m.groupBy("class_id").agg(F.min("member").alias("representative"), F.count("*").alias("n")).where("n > 1")
     return m.join(first, "class_id").select(F.lit(rule.head[0]).alias("relation_id"), "class_id", "representative", "member", F.round(F.round(F.col("c") * rule.weight, 9), 4).alias("confidence"), "support")

@@ -69,7 +69,7 @@ def gazetteer(sentences: DataFrame, entities: DataFrame) -> DataFrame:
     return m.select(F.format_string("%s-g%03d", "sentence_id", "mention_no").alias("mention_id"), "sentence_id", "start", "end", "text", "entity_id", "entity_type", F.lit("gazetteer").alias("source"))
 
 
-def merged_methods(mentions: DataFrame, order: tuple[str, ...] = ("gazetteer", "crf", "hmm")) -> DataFrame:
+def merged_methods(mentions: DataFrame, order: tuple[str, ...] = ("gazetteer", "crf", "hmm", "hmm_buckets")) -> DataFrame:
     """(sentence_id, merged_no, mention_id, start, end, source): the first of ``order`` before all, then the longest, then leftmost; ties by the order of methods, then id; no overlaps."""
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("source")), F.lit(0))
     rank = F.when(rank == 0, len(order) + 1).otherwise(rank)

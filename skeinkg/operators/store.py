@@ -5,6 +5,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.files import write_text
 from ..functions.lineage import checkpointed
 from ..functions.sizes import small_or_shuffled
 from .graph import degrees, mention_counts, neighborhood
@@ -90,14 +91,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_json(spark: SparkSession, payload, path: str) -> None:
-    """A small report as one JSON document, written by the file system that ``path`` names."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        out.write(bytearray(json.dumps(payload, ensure_ascii=False, indent=2).encode("utf-8")))
-    finally:
-        out.close()
+    """A small report as one JSON document, two blanks of indent, non-ASCII kept."""
+    write_text(spark, json.dumps(payload, ensure_ascii=False, indent=2), path)
 
 
 def write_texts(docs: DataFrame, path: str, key: str = "document_id", text: str = "text", buckets: int = 64) -> None:

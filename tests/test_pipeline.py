@@ -54,6 +54,24 @@ def test_run_on_nothing(spark, run):
     assert got["facts"].count() == 0 and got["nodes"].count() == 0 and got["metrics"].where("value <> 0").count() == 0
 
 
+def test_run_with_all_methods_and_discovery(spark, run):
+    # "drumset" is in no ontology, but stands beside a known name; the subject's type is a child of the relation's
+    text = "。".join(["艾伦·林达出生于伦敦的医院", "Linda drumset 和林达破译了密码机密码", "drumset Linda 买的很重要", "林达先生的 drumset Linda 说"]) + "。"
+    docs = spark.createDataFrame([(f"d{i}", "甲", "p", "txt", (text + "\n\n") * 3) for i in range(4)], schema("document"))
+    agents = run.relations.withColumn("subject_types", F.array(F.lit("Agent")))
+    known = run.entities.withColumn("aliases", F.when(F.col("id") == "linda", F.array(F.lit("艾伦·林达"), F.lit("Linda"))).otherwise(F.col("aliases")))
+    whole = Run(known, agents, "linda", run.rules, {"Agent": ["Person"]}, methods=("gazetteer", "crf", "hmm", "hmm_buckets"), discover=True, least_confidence=0.1)
+    got = whole(docs)
+    assert ("linda", "born_in", "london") in {(r["subject"], r["relation_id"], r["object"]) for r in got["facts"].collect()}
+    new = {r["name"] for r in whole.discovered(docs).collect()}
+    assert "drumset" in new
+    # it only ever names itself, so it is gone after linking
+    assert not {r["id"] for r in got["entities"].collect() if r["id"].startswith("discovered_") and r["name"] == "drumset"}
+    assert {r["metric"]: r["value"] for r in got["summary"].collect()}["document_count"] == 4
+    with pytest.raises(ValueError):
+        Run(run.entities, run.relations, "linda", methods=("spell",))
+
+
 def test_missing_required_value_fails(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"triple_id": "1"}\n')
     with pytest.raises(Exception, match="is missing"):
