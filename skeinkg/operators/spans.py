@@ -12,7 +12,7 @@ from ..functions.sizes import small_or_shuffled
 def alias_index(entities: DataFrame) -> DataFrame:
     """(alias_rank, alias, entity_id, entity_type): distinct names of each entity, longest first, then by text and entity id."""
     names = F.array_distinct(F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != "")))
-    flat = entities.select(F.explode(names).alias("alias"), F.col("id").alias("entity_id"), "entity_type").withColumn("_n", F.length("alias"))
+    flat = entities.select(F.explode(names).alias("alias"), F.col("id").alias("entity_id"), "entity_type").distinct().withColumn("_n", F.length("alias"))
     # ranks count on from the longer aliases' number; only one row a length meets in a window without key
     longer = flat.groupBy("_n").agg(F.count("*").alias("_k"))
     base = longer.select("_n", F.coalesce(F.sum("_k").over(Window.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
