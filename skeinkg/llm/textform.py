@@ -215,13 +215,12 @@ def consistent_texts(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_consistent_form(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the consistent form of column ``text`` as column ``out``. Only rows that call for work are joined with forms, by two hashes of the text and the text itself."""
-    calls = F.coalesce(calls_for_work(F.col(text)), F.lit(False))
+    """``df`` with the consistent form of column ``text`` as column ``out``. Rows and forms are joined by two hashes of the text first, so that sorting compares numbers."""
     key = lambda c: (F.xxhash64(c), F.hash(c))
-    work = df.where(calls).withColumn("_a", key(text)[0]).withColumn("_b", key(text)[1])
-    forms = consistent_texts(df, text).select(F.col("text").alias("_form_of"), F.col("form").alias("_form"), key("text")[0].alias("_a"), key("text")[1].alias("_b"))
-    done = work.join(forms, ["_a", "_b"]).where(F.col("_form_of") == F.col(text)).select(*df.columns, F.col("_form").alias(out))
-    return df.where(~calls).withColumn(out, F.col(text)).unionByName(done)
+    forms = consistent_texts(df, text).select(F.col("text").alias("_form_of"), F.col("form").alias("_form"), key("text")[0].alias("_form_a"), key("text")[1].alias("_form_b"))
+    rows = df.withColumn("_a", key(text)[0]).withColumn("_b", key(text)[1])
+    joined = rows.join(forms, (F.col("_a") == F.col("_form_a")) & (F.col("_b") == F.col("_form_b")) & (F.col(text) == F.col("_form_of")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_form", F.col(text)).alias(out))
 
 
 def plain_form(consistent: Column) -> Column:
