@@ -8,8 +8,8 @@ split into its two parts (given and family name, or place and institution) in ev
 part is compared with the entity's, and the lesser mean of best matches in both directions counts. The
 links are clustered by star clustering: entities are centres from the start, each text goes to the centre it is most
 similar to, and a text as similar to two entities belongs to none. Texts that mean no entity form stars of their own
-(``text_stars``): they are compared with the most frequent text of each bucket they are in, the text with most links is a
-centre, what is linked to a centre is its satellite, and so on with what is left.
+(``text_stars``): any two are compared that share a key of a word, and similar ones do without exception (``text_keys``); the
+text with most links is a centre, what is linked to a centre is its satellite, and so on with what is left.
 
 Spellings of one sound in Han transcriptions are learned from mentions that are linked already.
 
@@ -323,9 +323,23 @@ class Names:
         """The best reading of one written name as another one, 0 if none reaches ``ACCEPT``; both ways count, and of a name in one part only the whole."""
         if len(a) > 1 and len(b) > 1:
             return max(self._read(list(x), kind, [f], [s], False, "") for x, y in ((a, b), (b, a)) for f, s in ((list(y[:-1]), list(y[-1:])), (list(y[1:]), list(y[:1]))))
-        whole = self._monge_elkan(list(a), list(b), "family")
+        whole = max(self._monge_elkan(list(x), list(y), "family") for x, y in ((a, b), (b, a)))
         return whole if whole >= ACCEPT else 0.0
 
+    def sounds(self) -> dict[str, str]:
+        """One sign for all Han signs that learned spellings may turn into each other."""
+        of: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while of.setdefault(c, c) != c:
+                c = of[c]
+            return c
+
+        for name, written in self.alike.items():
+            for c in {c for w in written for c in name + w}:
+                of[find(c)] = find(name[0])
+        return {c: find(c) for c in of}
+
     def _read(self, ps: list[str], kind: str, firsts: list[list[str]], seconds: list[list[str]], lone: bool, i: str) -> float:
         one, two = ("given", "family") if kind == "Person" else ("place", "institution")
         if kind == "Organization" and len(long := [p for p in ps if len(p.rstrip(".")) > 1]) > 1:
@@ -351,6 +365,42 @@ class Names:
         return best if best >= ACCEPT else 0.0
 
 
+def _dropped(words: set[str]) -> set[str]:
+    """``words``, and each of them without one of its letters."""
+    return words | {w[:i] + w[i + 1 :] for w in words for i in range(len(w))}
+
+
+def _runs(s: str) -> str:
+    return "".join(c for i, c in enumerate(s) if not i or s[i - 1] != c)
+
+
+def text_keys(parts: tuple[str, ...], kind: str, sounds: dict[str, str]) -> set[str]:
+    """Keys of the words of a text; two texts with a ``likeness`` share one, as a word of the one is ``ACCEPT`` similar, as family name or institution, to one of the other.
+
+    Words an edit apart are equal if each may drop a letter, longer ones two edits apart if each may drop two. Han words are
+    compared by runs of one sound (``Names.sounds``), which learned spellings don't change."""
+    out = set()
+    words = [p.rstrip(".") for p in parts]
+    for p, w in zip(parts, words, strict=True):
+        if not _han(w):
+            near = _dropped({w}) if len(w) >= 3 else {w}
+            out |= {"=" + x for x in (_dropped(near) if len(w) >= 8 else near)}
+            if kind == "Organization":  # a short form keeps the first letter and others in order
+                out |= {f"<{w[0]}{c}" for c in w[1:2]} if p != w or len(w) <= 4 else set()
+                out |= {f"<{w[0]}{c}" for c in w[1:]}
+            continue
+        if kind == "Organization":
+            out.add(f"<{w[0]}{w[-1]}")
+        while True:
+            runs = _runs("".join(sounds.get(c, c) for c in w))
+            out |= {"~" + _runs(x) for x in (_dropped({runs}) if len(w) >= 3 else {runs})}
+            if kind != "Organization" or w[0] not in HAN_LITTLE or len(w) < 3:
+                break
+            w = w[1:]
+            out.add(f"<{w[0]}{w[-1]}")
+    return out
+
+
 def _changes(name: str, written: str) -> list[tuple[str, str]]:
     """Differing segments, each with its neighbours if one side would be empty."""
     out = []
@@ -510,10 +560,11 @@ def linked_texts(texts: DataFrame, names: Names) -> DataFrame:
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, center, similarity) of nodes (id) and undirected links (a, b, similarity): the node with most links among its undecided neighbours is a centre, its neighbours are satellites, and so on with the undecided; a satellite goes to the most similar of its centres, the lesser id on a tie. Nodes without links are their own centres."""
+    """(id, center, similarity) of nodes (id, and weight, which decides between equally many links) and undirected links (a, b, similarity): the node with most links among its undecided neighbours is a centre, its neighbours are satellites, and so on with the undecided; a satellite goes to the most similar of its centres, the lesser id on a tie. Nodes without links are their own centres."""
     both = checkpointed(edges.select("a", "b", "similarity").union(edges.select("b", "a", "similarity")).where("a <> b").groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("id").alias("h"), "id")
-    open_ = checkpointed(nodes.select("id").distinct().join(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", rank.alias("rank")))
+    weight = F.max("weight") if "weight" in nodes.columns else F.lit(0)
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "weight", F.xxhash64("id").alias("h"), "id")
+    open_ = checkpointed(nodes.groupBy("id").agg(weight.alias("weight")).join(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", rank.alias("rank")))
     centers = open_.select("id").limit(0)
     while not open_.isEmpty():
         ahead = both.join(open_.select(F.col("id").alias("b"), F.col("rank").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.max("other").alias("other"))
@@ -537,14 +588,27 @@ def _likeness(names: Names):
     return run
 
 
+def keyed_texts(texts: DataFrame, names: Names) -> DataFrame:
+    """(text, form, entity_type, key): distinct rows (text, form, entity_type) with each of their ``text_keys``."""
+    sounds = names.sounds()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [sorted(text_keys(tuple(parts_of(f)), kind, sounds)) if f else [] for f, kind in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.string()))], ["text", "form", "entity_type", "keys"])
+
+    keys = texts.select("text", "form", "entity_type").mapInArrow(run, "text string, form string, entity_type string, keys array<string>")
+    return keys.select("text", "form", "entity_type", F.explode("keys").alias("key"))
+
+
 def text_stars(texts: DataFrame, names: Names) -> DataFrame:
-    """(text, entity_type, center, similarity) for distinct rows (text, form, entity_type, n): stars of texts that name one thing. Each text is compared with the most frequent text of each of its buckets, so a hot bucket gives one pair a text."""
-    keyed = checkpointed(hashed_texts(texts).join(texts.select("text", "entity_type", "n"), ["text", "entity_type"]))
-    first = keyed.groupBy("entity_type", "key").agg(F.max(F.struct("n", F.xxhash64("text").alias("h"), "text", "form")).alias("first"))
-    pairs = keyed.join(first, ["entity_type", "key"]).where("text <> first.text").select(F.col("text").alias("a"), F.col("first.text").alias("b"), "entity_type", "form", F.col("first.form").alias("other")).distinct()
+    """(text, entity_type, center, similarity) for distinct rows (text, form, entity_type, n): stars of texts that name one thing. Any two texts with a key in common are compared; of texts with equally many links the most frequent becomes the centre."""
+    keyed = checkpointed(keyed_texts(texts, names))
+    other = keyed.select("entity_type", "key", F.col("text").alias("b"), F.col("form").alias("other"))
+    pairs = keyed.withColumnRenamed("text", "a").join(other, ["entity_type", "key"]).where("a < b").select("a", "b", "entity_type", "form", "other").distinct()
     links = pairs.mapInArrow(_likeness(names), "a string, b string, entity_type string, similarity double")
     name = lambda c: F.concat("entity_type", F.lit("\x01"), c)
-    found = star_clusters(texts.select(name(F.col("text")).alias("id")), links.select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b"), "similarity"))
+    found = star_clusters(texts.select(name(F.col("text")).alias("id"), F.col("n").alias("weight")), links.select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b"), "similarity"))
     part = lambda c, k: F.split(c, "\x01", 2)[k]
     return found.select(part("id", 1).alias("text"), part("id", 0).alias("entity_type"), part("center", 1).alias("center"), "similarity")
 

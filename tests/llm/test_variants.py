@@ -99,3 +99,32 @@ def test_variants_without_an_entity_are_clustered(spark):
     assert {got[t]["center"] for t in texts[2:6]} == {"Gustav Ollenberg"} and got["Gustav Ollenberg"]["mentions"] == 3
     assert len({got["Clara Nimsky"]["center"], got["Nimsky, Clara"]["center"]}) == 1
     assert got["Serrvitz, Irène"]["center"] == got["Serrvitz, Irène"]["entity_id"] == "p1"
+
+
+def written(rng):
+    """Random spellings of a few names and institutions, frequent ones and typing errors among them."""
+    typo = lambda w: w if len(w) < 3 or rng.random() < 0.5 else w[: (k := rng.randrange(len(w)))] + rng.choice(["", w[k] * 2, rng.choice("aeostr"), w[k + 1 : k + 2] + w[k]]) + w[k + 1 :]
+    out = set()
+    for _ in range(220):
+        given, family = rng.choice(["Gustav", "Gustave", "Clara", "Oskar", "Al"]), rng.choice(["Ollenberg", "Olmberg", "Nimsky", "Wu", "Pravquisten"])
+        given = typo(rng.choice([given, given, given[0] + ".", given[:3] + "."]))
+        out.add((rng.choice(["{0} {1}", "{1}, {0}", "{1}", "{0} R. {1}"]).format(given, typo(typo(family))), "Person"))
+        han = lambda w: "".join(rng.choice([c, c, c, {"塞": "瑟", "拉": "罗", "德": "", "茨": "兹"}.get(c, c)]) for c in w)
+        out.add((han(rng.choice(["古斯塔夫", "克拉拉", "拉德"])) + "·" + han(rng.choice(["塞尔维茨", "塞拉德", "奥伦德", "塞茨"])), "Person"))
+        place, house = rng.choice(["Torfield", "Norwold"]), rng.choice([["Paper", "Mill"], ["Engineering", "College"], ["Institute"]])
+        out.add((" ".join(rng.sample([typo(place), *(rng.choice([w, w[:3] + w[-1] + ".", typo(w)]) for w in house)], 1 + len(house))), "Organization"))
+        out.add((rng.choice(["托菲市", "托菲"]) + "，" + rng.choice(["的", "", ""]) + rng.choice(["造纸工厂", "造厂", "工程学院", "工院"]), "Organization"))
+    return sorted((t, k) for t, k in out if V.parts_of(t))
+
+
+def test_no_link_between_texts_is_left_out(spark, monkeypatch):
+    texts = written(random.Random(7))
+    names = V.Names([], [("Oskar", "Ossi")])
+    names.alike = {"塞": {"瑟"}, "拉": {"罗"}, "茨": {"兹"}, "奥伦": {"欧"}}
+    parts = [tuple(V.parts_of(t)) for t, _ in texts]
+    brute = {(a[0], b[0]) for i, a in enumerate(texts) for j, b in enumerate(texts) if a[0] < b[0] and a[1] == b[1] and names.likeness(parts[i], parts[j], a[1])}
+    seen = {}
+    monkeypatch.setattr(V, "star_clusters", lambda nodes, edges: seen.update(edges=edges.collect()) or nodes.select("id", F.col("id").alias("center"), F.lit(1.0).alias("similarity")))
+    V.text_stars(spark.createDataFrame([(t, t, k, 1 + i % 9) for i, (t, k) in enumerate(texts)], "text string, form string, entity_type string, n bigint"), names)
+    found = {tuple(sorted(x.split("\x01", 1)[1] for x in r[:2])) for r in seen["edges"]}
+    assert len(brute) > 500 and found == brute
