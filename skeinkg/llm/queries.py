@@ -41,7 +41,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "sentences")
-    model = sentences.trained_model(sentences.sampled_texts(records))
+    model = sentences.fitted(records)
     documents = table(spark, d, "documents").where("stage = 'cleaned'").select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_id"), "text")
     rows = records.where("sentence_id IS NOT NULL").select(F.lit("sentence").alias("record_kind"), F.col("sentence_id").alias("record_id"), "text")
     return sentences.segmented(documents, model).unionByName(sentences.segmented(rows, model, least=2).distinct())

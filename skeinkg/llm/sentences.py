@@ -14,26 +14,35 @@ the same units without their end marks, and its posteriors decide.
 
 What the model doesn't decide: a blank line always ends a unit; a closed quotation is never cut inside.
 
-The training sample has at most ``SAMPLE`` records, those with the least hash of id; segmentation covers all rows.
+All sentence records train the model (``fitted``): they are tokenised once, by document, and written; words, the ends of
+records and n-grams are counted in tasks and added up by Spark, n-grams by hashes of 64 bits. What comes to the driver and
+goes to every task are the frequent words and the n-grams that the model keeps, 16 to 24 bytes each; ``trained_model`` is
+the same in memory.
 
 Defined results: null, empty and blank texts have no units; offsets are code points, half-open, without
 surrounding white space; invisible characters and styled letters are looked through.
 """
 
 import math
+import pickle
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sample import least_hashed
+from ..functions.lineage import checkpointed
 
-#: Sentence records that the model is trained on, at most.
-SAMPLE = 20_000
 ORDER = 4
 #: Words seen less often count as their shape, as do numbers and capitalised words that are neither abbreviated nor seen in lower case.
 SEEN = 8
@@ -129,13 +138,68 @@ class Block:
         self.words, self.inside = out, inside
 
 
+@lru_cache(CACHE)
+def _hash(w: str) -> int:
+    return int.from_bytes(blake2b(w.encode(errors="surrogatepass"), digest_size=8).digest(), "little")
+
+
+def hashed(gram: tuple, start: int = 1) -> int:
+    """64 bits for an n-gram; ``start`` is the hash of what stands before it."""
+    for w in gram:
+        start = (start * 0x9E3779B97F4A7C15 + _hash(w)) & 0xFFFFFFFFFFFFFFFF
+    return start
+
+
+class Hashed:
+    """What is known of n-grams, by their hashes, in sorted arrays."""
+
+    __slots__ = ("keys", "values", "starts", "shift")
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order, bits = np.argsort(keys), len(keys).bit_length()
+        self.keys, self.shift = array("Q", keys[order].tobytes()), 64 - bits
+        self.values = [array("q", v[order].astype(np.int64).tobytes()) for v in values]
+        tops = keys[order] >> np.uint64(self.shift) if bits else keys
+        self.starts = array("q", np.searchsorted(tops, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64).tobytes())
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def get(self, gram: tuple, default=None):
+        k = hashed(gram)
+        top = k >> self.shift
+        end = self.starts[top + 1]
+        i = bisect_left(self.keys, k, self.starts[top], end)
+        if i == end or self.keys[i] != k:
+            return default
+        return self.values[0][i] if len(self.values) == 1 else tuple(v[i] for v in self.values)
+
+
+def _count(counts: Counter, line: list[str], order: int, everywhere: bool) -> None:
+    """Counts the n-grams of a document: near boundaries and end marks, or ``everywhere``."""
+    if everywhere:
+        for k in range(order):
+            counts.update(zip(line[1:]) if not k else zip(*(line[i:] for i in range(k + 1))))
+        return
+    near = [i for i, w in enumerate(line) if w == EDGE or w[0] in _ENDS]
+    wanted = sorted({j for i in near for j in range(i, min(i + order, len(line)))} - {0})
+    for k in range(order):
+        counts.update([tuple(line[j - k : j + 1]) for j in wanted if j >= k])
+
+
+def _vocabulary(seen: dict[str, int], dotted: dict[str, int]) -> frozenset:
+    """Words that stand for themselves, of words with their numbers and how many of them stand before a full stop."""
+    name = lambda w, k: w[0].isupper() and len(w) > 3 and seen.get(w.lower(), 0) < SEEN and dotted.get(w, 0) < 0.5 * k
+    return frozenset(w for w, k in seen.items() if k >= SEEN and not w[0].isdigit() and not name(w, k))
+
+
 class Model:
     """Interpolated n-gram counts (Witten-Bell) of the tokens near boundaries and end marks."""
 
     def __init__(self, order: int = ORDER):
         self.order, self.vocabulary = order, frozenset()
-        self.counts: dict[tuple, int] = {}
-        self.totals: dict[tuple, tuple[int, int]] = {}
+        self.counts: dict[tuple, int] | Hashed = {}
+        self.totals: dict[tuple, tuple[int, int]] | Hashed = {}
         self.cache: dict[tuple, tuple] = {}
         self.known: dict[tuple, float] = {}
         #: A model of text without end marks, and from how many tokens on a stretch is taken for such text: (ended by a mark, script without blanks) -> tokens.
@@ -145,25 +209,23 @@ class Model:
     def name(self, w: str) -> str:
         return w if w in self.vocabulary else _shape(w)
 
+    def line(self, units: list[list[str]]) -> list[str]:
+        """The names of a document's units, with boundaries."""
+        out = [EDGE]
+        for u in units:
+            out += [*map(self.name, u), EDGE]
+        return out
+
     @classmethod
     def trained(cls, sequences: list[list[list[str]]], order: int = ORDER, everywhere: bool = False) -> "Model":
         """``sequences``: for each record its units, each a list of tokens. Counts are taken near boundaries and end marks, or ``everywhere``."""
         m = cls(order)
         seen = Counter(w for units in sequences for u in units for w in u)
         dotted = Counter(a for units in sequences for u in units for a, b in zip(u, u[1:]) if b == ".")
-        name = lambda w, k: w[0].isupper() and len(w) > 3 and seen[w.lower()] < SEEN and dotted[w] < 0.5 * k
-        m.vocabulary = frozenset(w for w, k in seen.items() if k >= SEEN and not w[0].isdigit() and not name(w, k))
+        m.vocabulary = _vocabulary(seen, dotted)
         counts: Counter[tuple] = Counter()
         for units in sequences:
-            line = [EDGE]
-            for u in units:
-                line += [*map(m.name, u), EDGE]
-            near = [i for i, w in enumerate(line) if everywhere or w == EDGE or w[0] in _ENDS]
-            wanted = sorted({j for i in near for j in range(i, min(i + order, len(line)))} - {0})
-            for j in wanted:
-                for k in range(order):
-                    if j - k >= 0:
-                        counts[tuple(line[j - k : j + 1])] += 1
+            _count(counts, m.line(units), order, everywhere)
         m.counts = {g: c for g, c in counts.items() if len(g) < 3 or c > 1 or EDGE in g[-1:]}
         totals: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
         for g, c in m.counts.items():
@@ -280,18 +342,41 @@ def _kind(words: list[str]) -> tuple[bool, bool]:
     return any(w[0] in _ENDS for w in words[-3:]), 2 * sum(1 for w in words if _WIDE_SIGN.match(w)) >= len(words)
 
 
+def _long(lengths: dict[tuple[bool, bool], Counter]) -> dict[tuple[bool, bool], int]:
+    """From how many words on a unit of each kind is long: the least length that fewer than the share UNMARKED of such units have, or any unit if that is more. ``lengths`` has the number of units of each length."""
+    out, most = {}, max((n for c in lengths.values() for n in c), default=0)
+    for kind in ((a, b) for a in (False, True) for b in (False, True)):
+        of = lengths.get(kind, {})
+        total, below = sum(of.values()), 0
+        at = min(total - 1, int(total * (1 - UNMARKED)))
+        out[kind] = 2 + most
+        for n in sorted(of):
+            below += of[n]
+            if below > at:
+                out[kind] = max(2, n + 1)
+                break
+    return out
+
+
+def _length(unit: list[str]) -> int:
+    return sum(1 for w in unit if w[0] not in _ENDS)
+
+
+def _is_bare(w: str) -> bool:
+    return w[0] not in _ENDS and not (w[0] in _CLOSE and w[-1] in "SM")
+
+
+def _bared(units: list[list[str]]) -> list[list[str]]:
+    return [c for u in units if (c := [w for w in u if _is_bare(w)])]
+
+
 def _with_bare(model: Model, sequences: list[list[list[str]]]) -> Model:
     """``model`` with what it needs to know of unpunctuated text."""
-    units = [u for doc in sequences for u in doc if u]
-    lengths: dict[tuple[bool, bool], list[int]] = {(a, b): [] for a in (False, True) for b in (False, True)}
-    for u in units:
-        lengths[_kind(u)].append(sum(1 for w in u if w[0] not in _ENDS))
-    for kind, ns in lengths.items():
-        # the least length that fewer than the share UNMARKED of such units have, or any unit if that is more
-        ns.sort()
-        model.long[kind] = max(2, ns[min(len(ns) - 1, int(len(ns) * (1 - UNMARKED)))] + 1) if ns else 2 + max((n for x in lengths.values() for n in x), default=0)
-    clean = [[[w for w in u if w[0] not in _ENDS and not (w[0] in _CLOSE and w[-1] in "SM")] for u in doc] for doc in sequences]
-    model.bare = Model.trained([[u for u in doc if u] for doc in clean], BARE, everywhere=True)
+    lengths: dict[tuple[bool, bool], Counter] = defaultdict(Counter)
+    for u in (u for doc in sequences for u in doc if u):
+        lengths[_kind(u)][_length(u)] += 1
+    model.long = _long(lengths)
+    model.bare = Model.trained([_bared(doc) for doc in sequences], BARE, everywhere=True)
     model.bare.counts = {g: c for g, c in model.bare.counts.items() if len(g) < 2 or c > 1 or EDGE in g}
     return model
 
@@ -336,46 +421,196 @@ def _cut(b: Block, at: list[int]) -> list[list[str]]:
     return [*parts, b.words[last:]] if last < len(b.words) else parts
 
 
+def _ending(b: Block, j: int) -> tuple[str, str]:
+    """The token at ``j`` and the one before it."""
+    return b.words[j - 1] if j else "", b.words[j]
+
+
+def _sequence(doc: list[Block], cuts: Callable[[Block], list[int]], never: set[tuple[str, str]]) -> list[list[str]]:
+    """Units of a document: its blocks cut, and joined behind what hardly ever ends a record."""
+    found: list[list[str]] = []
+    torn = False
+    for b in doc:
+        parts = _cut(b, cuts(b))
+        if torn:
+            found[-1] = [*found[-1], *parts.pop(0)]
+        found += parts
+        torn = _ending(b, len(b.words) - 1) in never
+    return found
+
+
+def _sure(sure: set[tuple[str, str]]) -> Callable[[Block], list[int]]:
+    return lambda b: [j for j in b.gaps if _ending(b, j) in sure]
+
+
+def _read(texts: list[str]) -> list[Block]:
+    return [b for t in texts if t for s, e in _blocks(t) if (b := Block(t, s, e)).words]
+
+
+def _count_endings(doc: list[Block], all_: Counter, ends: Counter) -> None:
+    for b in doc:
+        ends[_ending(b, len(b.words) - 1)] += 1
+        for j in {*b.gaps, len(b.words) - 1}:
+            all_[_ending(b, j)] += 1
+
+
 def trained_model(documents: list[list[str]]) -> Model:
     """``documents``: the texts of each document's records, in order. Records are first cut where the word and end mark before a gap mostly end a record, then where the model of that finds boundaries."""
-    blocks = [[b for t in texts if t for s, e in _blocks(t) if (b := Block(t, s, e)).words] for texts in documents]
+    blocks = [_read(texts) for texts in documents]
     ends: Counter[tuple] = Counter()
     all_: Counter[tuple] = Counter()
-    kind = lambda b, j: (b.words[j - 1] if j else "", b.words[j])
     for doc in blocks:
-        for b in doc:
-            ends[kind(b, len(b.words) - 1)] += 1
-            for j in {*b.gaps, len(b.words) - 1}:
-                all_[kind(b, j)] += 1
+        _count_endings(doc, all_, ends)
     sure = {k for k, n in all_.items() if n >= 4 and ends[k] >= SURE * n}
     never = {k for k, n in all_.items() if n >= 4 and ends[k] <= (1 - SURE) * n}
+    model = Model.trained([_sequence(doc, _sure(sure), never) for doc in blocks])
+    found = [_sequence(doc, model.boundaries, never) for doc in blocks]
+    return _with_bare(Model.trained(found), found)
 
-    def sequences(cuts) -> list[list[list[str]]]:
-        out = []
-        for doc in blocks:
-            found: list[list[str]] = []
-            torn = False
-            for b in doc:
-                parts = _cut(b, cuts(b))
-                if torn:
-                    found[-1] = [*found[-1], *parts.pop(0)]
-                found += parts
-                torn = kind(b, len(b.words) - 1) in never
-            out.append(found)
-        return out
 
-    model = Model.trained(sequences(lambda b: [j for j in b.gaps if kind(b, j) in sure]))
-    found = sequences(model.boundaries)
-    return _with_bare(Model.trained(found), found)
+def _rows(names: list[str], kinds: list[pa.DataType], rows) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
 
+def _tokenised(records: DataFrame) -> DataFrame:
+    """(blocks) for each document, its records in order, each sentence once: words and gaps of each block, pickled."""
 
-def sampled_texts(records: DataFrame) -> list[list[str]]:
-    """The texts of at most ``SAMPLE`` sentence records, by document in their order, of the documents with the least hashes."""
-    rows = records.where(F.col("text").isNotNull() & F.col("document_id").isNotNull()).select(F.xxhash64("document_id").alias("h"), "document_id", "sentence_index", "sentence_id", "text")
-    seen: dict[str, dict[str, str]] = defaultdict(dict)
-    for r in least_hashed(rows, "document_id", SAMPLE).orderBy("h", "document_id", "sentence_index", "sentence_id", "text").limit(SAMPLE).collect():
-        seen[r["document_id"]].setdefault(r["sentence_id"], r["text"])
-    return [list(x.values()) for x in seen.values()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[bytes] = []
+        for _, doc in groupby(rows, lambda r: r[0]):
+            texts: dict[str, str] = {}
+            for _, i, text in doc:
+                texts.setdefault(i, text)
+            out.append(pickle.dumps([(b.words, b.gaps) for b in _read(list(texts.values()))]))
+            if len(out) == 1000:
+                yield _rows(["blocks"], [pa.binary()], zip(out))
+                out = []
+        yield _rows(["blocks"], [pa.binary()], zip(out))
+
+    rows = records.where(F.col("text").isNotNull() & F.col("document_id").isNotNull()).select("document_id", "sentence_index", "sentence_id", "text").repartition("document_id")
+    return rows.sortWithinPartitions("document_id", "sentence_index", "sentence_id", "text").select("document_id", "sentence_id", "text").mapInArrow(run, "blocks binary")
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Block]]:
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            doc = []
+            for words, gaps in pickle.loads(x):
+                b = Block.__new__(Block)
+                b.words, b.gaps, b.spans, b.inside = words, gaps, [], []
+                doc.append(b)
+            yield doc
+
+
+_WORDS, _ENDINGS = 0, 1
+
+
+def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(what, a, b, n, m, gaps): words with their number and how many stand before a full stop; the last tokens of gaps and blocks with their number, how many end a block and how many are gaps."""
+    seen, dotted, all_, ends, gaps = (Counter() for _ in range(5))
+
+    def rows() -> pa.RecordBatch:
+        found = [(_WORDS, w, "", n, dotted[w], 0) for w, n in seen.items()] + [(_ENDINGS, *k, n, ends[k], gaps[k]) for k, n in all_.items()]
+        for c in (seen, dotted, all_, ends, gaps):
+            c.clear()
+        return _rows(["what", "a", "b", "n", "m", "gaps"], [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()], found)
+
+    for doc in _documents(batches):
+        _count_endings(doc, all_, ends)
+        for b in doc:
+            gaps.update([_ending(b, j) for j in b.gaps])
+            seen.update(b.words)
+            dotted.update([v for v, w in zip(b.words, b.words[1:]) if w == "."])
+        if len(seen) + len(all_) > CACHE:
+            yield rows()
+    yield rows()
+
+
+_MAIN, _BARE, _LENGTHS = 0, 1, 2
+
+
+def _gram_counter(order: int, vocabulary: frozenset, bare: frozenset | None, cuts: Callable[[], Callable[[Block], list[int]]], never: set[tuple[str, str]]):
+    """(model, key, history, kept, n): numbers of n-grams by the hash of all and of all but the last token; ``kept``: 1 if they stay in the model's totals however rare, 2 if in the bare model's counts. With the ``bare`` vocabulary also those of the bare model, and the lengths of units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        main, plain, cut = Model(order), Model(BARE), cuts()
+        main.vocabulary, plain.vocabulary = vocabulary, bare or frozenset()
+        counts: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
+
+        def rows() -> pa.RecordBatch:
+            found = []
+            for model in (_MAIN, _BARE):
+                for g, n in counts[model].items():
+                    history = hashed(g[:-1])
+                    found.append((model, hashed(g[-1:], history), history, (len(g) < 3 or g[-1] == EDGE) + 2 * (len(g) < 2 or EDGE in g), n))
+            found += [(_LENGTHS, 4 * n + 2 * marked + wide, 0, 1, k) for (marked, wide, n), k in counts[_LENGTHS].items()]
+            for c in counts:
+                c.clear()
+            return _rows(["model", "key", "history", "kept", "n"], [pa.int32(), pa.uint64(), pa.uint64(), pa.int32(), pa.int64()], found).cast(pa.schema([("model", pa.int32()), ("key", pa.int64()), ("history", pa.int64()), ("kept", pa.int32()), ("n", pa.int64())]), safe=False)
+
+        for doc in _documents(batches):
+            units = _sequence(doc, cut, never)
+            _count(counts[_MAIN], main.line(units), order, False)
+            if bare is not None:
+                _count(counts[_BARE], plain.line(_bared(units)), BARE, True)
+                counts[_LENGTHS].update([(*_kind(u), _length(u)) for u in units if u])
+            if len(counts[_MAIN]) + len(counts[_BARE]) > CACHE:
+                yield rows()
+        yield rows()
+
+    return run
+
+
+def _of_grams(found: pa.Table, which: int, order: int, vocabulary: frozenset) -> Model:
+    """The model ``which`` of collected rows (model, key, history, kept, n)."""
+    own = found.filter(pa.compute.equal(found["model"], which))
+    key, history = (own[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("key", "history"))
+    kept, n = own["kept"].to_numpy(), own["n"].to_numpy()
+    m = Model(order)
+    m.vocabulary = vocabulary
+    used = (n > 1) | (kept >= 2) if which == _BARE else np.ones(len(n), dtype=bool)
+    m.counts = Hashed(key[used], n[used])
+    histories, at, types = np.unique(history, return_inverse=True, return_counts=True)
+    totals = np.zeros(len(histories), dtype=np.int64)
+    np.add.at(totals, at, n)
+    m.totals = Hashed(histories, totals, types)
+    return m
+
+
+def fitted(records: DataFrame) -> Model:
+    """``trained_model`` of all sentence records (document_id, sentence_index, sentence_id, text) with a text and a document, each sentence of a document once."""
+    blocks = checkpointed(_tokenised(records))
+    words = blocks.mapInArrow(_word_counter, "what int, a string, b string, n bigint, m bigint, gaps bigint").groupBy("what", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "m", "gaps")))
+    ending = F.col("n").cast("double") * SURE <= F.col("m")
+    wanted = F.when(F.col("what") == _WORDS, F.col("n") >= SEEN).otherwise((F.col("n") >= 4) & (ending & (F.col("gaps") > 0) | (F.col("m") <= F.col("n") * (1 - SURE))))
+    seen: dict[str, int] = {}
+    dotted: dict[str, int] = {}
+    sure, never = set(), set()
+    for what, a, b, n, m in zip(*(c.to_pylist() for c in words.where(wanted).select("what", "a", "b", "n", "m").toArrow().columns), strict=True):
+        if what == _WORDS:
+            seen[a], dotted[a] = n, m
+        else:
+            if m >= SURE * n:
+                sure.add((a, b))
+            if m <= (1 - SURE) * n:
+                never.add((a, b))
+    vocabulary, bare = _vocabulary(seen, dotted), _vocabulary({w: n for w, n in seen.items() if _is_bare(w)}, {})
+
+    def grams(cuts, bare=None) -> pa.Table:
+        rows = blocks.mapInArrow(_gram_counter(ORDER, vocabulary, bare, cuts, never), "model int, key bigint, history bigint, kept int, n bigint")
+        return rows.groupBy("model", "key").agg(F.first("history").alias("history"), F.first("kept").alias("kept"), F.sum("n").alias("n")).where("n > 1 OR kept % 2 = 1").toArrow()
+
+    state = _state(_of_grams(grams(lambda: _sure(sure)), _MAIN, ORDER, vocabulary))
+    found = grams(lambda: _restored(state).boundaries, bare)
+    model = _of_grams(found, _MAIN, ORDER, vocabulary)
+    model.bare = _of_grams(found, _BARE, BARE, bare)
+    lengths: dict[tuple[bool, bool], Counter] = defaultdict(Counter)
+    for x, n in zip(*(found.filter(pa.compute.equal(found["model"], _LENGTHS))[c].to_pylist() for c in ("key", "n")), strict=True):
+        lengths[bool(x & 2), bool(x & 1)][x >> 2] += n
+    model.long = _long(lengths)
+    return model
 
 
 def _state(model: Model) -> tuple:

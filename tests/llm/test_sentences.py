@@ -1,5 +1,6 @@
 import random
 
+from skeinkg.llm import queries
 from skeinkg.llm import sentences as Z
 
 PARTS = {
@@ -81,3 +82,32 @@ def test_unpunctuated_text_is_cut_and_short_units_are_not():
         assert len(set(got) & set(units)) / len(set(units) | set(got)) > 0.9
     for one in ("Ada Lin drew the plan", "艾达画了图纸", "Title", "Ada Lin sold the plan."):
         assert Z.units(model, one) == [(0, len(one))]
+
+
+def same(got, expected):
+    assert got.order == expected.order and got.vocabulary == expected.vocabulary and got.long == expected.long
+    for a, b in ((got.counts, expected.counts), (got.totals, expected.totals)):
+        assert len(a) == len(b) and all(a.get(g) == n for g, n in b.items()) and a.get(("no", "such", "gram"), 7) == 7
+    assert (got.bare is None) == (expected.bare is None)
+    if got.bare:
+        same(got.bare, expected.bare)
+
+
+def test_all_records_train_the_model(spark, tmp_path, monkeypatch):
+    # more records than a sample of 20,000 would hold; rare words, repeated and empty rows, records that are cut or torn
+    rng = random.Random(12)
+    docs = [[*d[:2], d[2] + (" " if d[2][0] < "z" else "") + d[3] if rng.random() < 0.2 else d[3], f"Word{i % 900} {rng.choice(['ran', 'sat'])} here", "Dr.", "Ada Lin drew the plan."] for i, d in enumerate(corpus(rng, 3500))]
+    rows = [(f"d{i}", k, f"s{i}-{k}", t) for i, d in enumerate(docs) for k, t in enumerate(d)]
+    rng.shuffle(rows)
+    odd = [*rows[:50], ("d1", 9, "x", None), (None, 0, "y", "No document here."), ("d2", 9, "z", " ")]
+    spark.createDataFrame(rows + odd, "document_id string, sentence_index int, sentence_id string, text string").write.parquet(f"{tmp_path}/sentences.parquet")
+    spark.createDataFrame([(1, "cleaned", "Ada Lin drew the plan. It sat here.")], "doc_id bigint, stage string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    models, segmented = [], Z.segmented
+    monkeypatch.setattr(Z, "segmented", lambda rows, model, least=1: models.append(model) or segmented(rows, model, least))
+    assert queries.p6_found(spark, str(tmp_path)).where("record_kind = 'document'").count() == 2
+    same(models[0], Z.trained_model(docs))
+
+
+def test_no_records_train_an_empty_model(spark):
+    none = spark.createDataFrame([], "document_id string, sentence_index int, sentence_id string, text string")
+    same(Z.fitted(none), Z.trained_model([]))
