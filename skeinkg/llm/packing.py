@@ -31,6 +31,8 @@ NEIGHBOURS = 256
 K1, B = 1.2, 0.75
 #: Terms in up to this share of a shard's texts are asked for: all.
 COMMON = 1.0
+#: Postings are written anew once less than this share of their texts is unused.
+KEPT = 0.85
 OUT = "pack_name string, container string, slot int, doc_id bigint, start_token bigint, end_token bigint, capacity int"
 
 
@@ -47,7 +49,7 @@ class Index:
         vocabulary, at, df = np.unique(terms, return_inverse=True, return_counts=True)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / lengths.mean()) if n else lengths
-        self.n, self.starts, self.terms = n, np.concatenate(([0], np.cumsum(sizes))), at.astype(np.int32)
+        self.n, self.starts, self.terms = n, np.concatenate(([0], np.cumsum(sizes))), at.astype(np.intp)
         self.weights = idf[at] * t * (K1 + 1) / (t + np.repeat(norm, sizes))
         self.asked = np.zeros(len(vocabulary))
 
@@ -67,6 +69,8 @@ class Postings:
         self.index, self.rows, self.starts = index, rows, np.concatenate(([0], np.cumsum(lengths)))
         at = np.arange(self.starts[-1]) + np.repeat(index.starts[rows] - self.starts[:-1], lengths)
         self.terms, self.weights = index.terms[at], index.weights[at]
+        #: Written again by each seed, as new memory for every seed costs more than the sums.
+        self.found = np.empty(len(at))
 
     def scores(self, i: int, k: int) -> np.ndarray:
         """Scores of the first ``k`` rows for the terms of row ``i``."""
@@ -74,7 +78,8 @@ class Postings:
             return np.array([])
         own, end = self.index.terms[self.index.starts[i] : self.index.starts[i + 1]], self.starts[k]
         self.index.asked[own] = 1
-        scores = np.add.reduceat(self.weights[:end] * self.index.asked[self.terms[:end]], self.starts[:k])
+        found = np.take(self.index.asked, self.terms[:end], out=self.found[:end], mode="clip")
+        scores = np.add.reduceat(np.multiply(found, self.weights[:end], out=found), self.starts[:k])
         self.index.asked[own] = 0
         return scores
 
@@ -103,7 +108,7 @@ def packed_shard(tokens: list[np.ndarray], capacity: int, index: Index | None =
         seed = -by_size[-1][1]
         box, left = [take(seed)], capacity - int(size[seed])
         if left and by_size and by_size[0][0] <= left:
-            if 2 * len(by_size) < len(postings.rows):
+            if KEPT * len(postings.rows) > len(by_size):
                 postings = Postings(index, postings.rows[unused[postings.rows]])
             rows = postings.rows[: np.searchsorted(size[postings.rows], left, "right")]
             scores = postings.scores(seed, len(rows))

@@ -210,3 +210,32 @@ def test_small_tables_are_refused_not_cut(spark, monkeypatch):
     monkeypatch.setattr(quality, "MOST_COMMON", 100)
     with pytest.raises(ValueError, match="common words"):
         quality.common_set(spark.range(101).selectExpr("'en' AS lang", "concat('w', id) AS word"))
+
+
+def test_seeds_read_few_used_texts_and_boxes_equal_plain_packing(monkeypatch):
+    rng = random.Random(21)
+    docs = [np.array([int(400 * rng.random() ** 3) for _ in range(rng.choice([20, 30, 40, rng.randrange(1, 60)]))]) for _ in range(200)]
+    read, used, score = [], [], packing.Postings.scores
+
+    def spied(self, i, k):
+        read.append((len(self.rows), i))
+        return score(self, i, k)
+
+    monkeypatch.setattr(packing.Postings, "scores", spied)
+    boxes = packing.packed_shard(docs, 64)
+    for box in boxes:  # texts left after each seed
+        used.append((box[0][0], len(docs) - sum(map(len, boxes[: len(used)])) - 1))
+    left = dict(used)
+    assert len(read) > 20 and all(n <= left[i] / 0.85 + 1 for n, i in read)
+    monkeypatch.undo()
+    index, unused, plain = packing.Index(docs), np.ones(len(docs), dtype=bool), []
+    while unused.any():
+        seed = max(np.flatnonzero(unused), key=lambda i: (len(docs[i]), -i))
+        unused[seed] = False
+        box = [seed]
+        for i in [*index.neighbours(seed, unused), *sorted(np.flatnonzero(unused), key=lambda i: (-len(docs[i]), i))]:
+            if unused[i] and sum(len(docs[j]) for j in box) + len(docs[i]) <= 64:
+                unused[i] = False
+                box.append(i)
+        plain.append([(i, 0, len(docs[i])) for i in box])
+    assert boxes == plain
