@@ -16,7 +16,7 @@ What the model doesn't decide: a blank line always ends a unit; a closed quotati
 
 All sentence records train the model (``fitted``): they are tokenised once, by document, and written; words, the ends of
 records and n-grams are counted in tasks and added up by Spark, n-grams by hashes of 64 bits. What comes to the driver and
-goes to every task are the frequent words and the n-grams that the model keeps, 16 to 24 bytes each; ``trained_model`` is
+goes to every task are the frequent words and the n-grams that the model keeps, some 30 bytes each; ``trained_model`` is
 the same in memory.
 
 Defined results: null, empty and blank texts have no units; offsets are code points, half-open, without
@@ -156,7 +156,7 @@ class Hashed:
     __slots__ = ("keys", "values", "starts", "shift")
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        order, bits = np.argsort(keys), len(keys).bit_length()
+        order, bits = np.argsort(keys), max(0, len(keys).bit_length() - 3)
         self.keys, self.shift = array("Q", keys[order].tobytes()), 64 - bits
         self.values = [array("q", v[order].astype(np.int64).tobytes()) for v in values]
         tops = keys[order] >> np.uint64(self.shift) if bits else keys
@@ -548,7 +548,7 @@ def _gram_counter(order: int, vocabulary: frozenset, bare: frozenset | None, cut
             found += [(_LENGTHS, 4 * n + 2 * marked + wide, 0, 1, k) for (marked, wide, n), k in counts[_LENGTHS].items()]
             for c in counts:
                 c.clear()
-            return _rows(["model", "key", "history", "kept", "n"], [pa.int32(), pa.uint64(), pa.uint64(), pa.int32(), pa.int64()], found).cast(pa.schema([("model", pa.int32()), ("key", pa.int64()), ("history", pa.int64()), ("kept", pa.int32()), ("n", pa.int64())]), safe=False)
+            return _rows(["model", "key", "history", "kept", "n"], [pa.int8(), pa.uint64(), pa.uint64(), pa.int8(), pa.int64()], found).cast(pa.schema([("model", pa.int8()), ("key", pa.int64()), ("history", pa.int64()), ("kept", pa.int8()), ("n", pa.int64())]), safe=False)
 
         for doc in _documents(batches):
             units = _sequence(doc, cut, never)
@@ -599,7 +599,7 @@ def fitted(records: DataFrame) -> Model:
     vocabulary, bare = _vocabulary(seen, dotted), _vocabulary({w: n for w, n in seen.items() if _is_bare(w)}, {})
 
     def grams(cuts, bare=None) -> pa.Table:
-        rows = blocks.mapInArrow(_gram_counter(ORDER, vocabulary, bare, cuts, never), "model int, key bigint, history bigint, kept int, n bigint")
+        rows = blocks.mapInArrow(_gram_counter(ORDER, vocabulary, bare, cuts, never), "model tinyint, key bigint, history bigint, kept tinyint, n bigint")
         return rows.groupBy("model", "key").agg(F.first("history").alias("history"), F.first("kept").alias("kept"), F.sum("n").alias("n")).where("n > 1 OR kept % 2 = 1").toArrow()
 
     state = _state(_of_grams(grams(lambda: _sure(sure)), _MAIN, ORDER, vocabulary))
