@@ -138,6 +138,19 @@ class Block:
         self.words, self.inside = out, inside
 
 
+class _Memo(dict):
+    """What a function says of words, remembered for ``CACHE`` of them."""
+
+    def __init__(self, f: Callable):
+        self.f = f
+
+    def __missing__(self, w: str):
+        if len(self) > CACHE:
+            self.clear()
+        got = self[w] = self.f(w)
+        return got
+
+
 @lru_cache(CACHE)
 def _hash(w: str) -> int:
     return int.from_bytes(blake2b(w.encode(errors="surrogatepass"), digest_size=8).digest(), "little")
@@ -202,6 +215,7 @@ class Model:
         self.totals: dict[tuple, tuple[int, int]] | Hashed = {}
         self.cache: dict[tuple, tuple] = {}
         self.known: dict[tuple, float] = {}
+        self.names = _Memo(self.name)
         #: A model of text without end marks, and from how many tokens on a stretch is taken for such text: (ended by a mark, script without blanks) -> tokens.
         self.bare: Model | None = None
         self.long: dict[tuple[bool, bool], int] = {}
@@ -213,7 +227,7 @@ class Model:
         """The names of a document's units, with boundaries."""
         out = [EDGE]
         for u in units:
-            out += [*map(self.name, u), EDGE]
+            out += [*map(self.names.__getitem__, u), EDGE]
         return out
 
     @classmethod
@@ -304,13 +318,13 @@ class Model:
     def _unmarked(self, block: Block, start: int, end: int) -> list[int]:
         """Boundaries between tokens ``start`` and ``end``, if a single unit is hardly so long."""
         words = [w for w in block.words[start:end] if w[0] not in _ENDS]
-        if len(words) < self.long[_kind(block.words[start:end])]:
+        if len(words) < min(self.long.values()) or len(words) < self.long[_kind(block.words[start:end])]:
             return []
         places = [j for j in range(start, end) if block.words[j][0] not in _ENDS]
         gaps = tuple(k for k, j in enumerate(places[:-1]) if not block.inside[j] and places[k + 1] == j + 1)
         if not gaps:
             return []
-        names = [self.bare.name(w) for w in words]
+        names = [self.bare.names[w] for w in words]
         post = self.bare._chain((EDGE, *names, EDGE), tuple(g + 1 for g in gaps), 1.0)
         return [places[g] for g, p in zip(gaps, post) if p > 0.5]
 
@@ -323,7 +337,7 @@ class Model:
                 j += 1
             lo, hi = max(0, gaps[k] + 1 - h), min(n, gaps[j] + 1 + h)
             before, after = (EDGE,) * (gaps[k] + 1 < h), (EDGE,) * (gaps[j] + 1 + h > n)
-            key = ((*before, *map(self.name, words[lo:hi]), *after), tuple(g - lo + len(before) for g in gaps[k : j + 1]))
+            key = ((*before, *map(self.names.__getitem__, words[lo:hi]), *after), tuple(g - lo + len(before) for g in gaps[k : j + 1]))
             post = self.cache.get(key)
             if post is None:
                 if len(self.cache) > CACHE:
@@ -335,11 +349,14 @@ class Model:
 
 
 _WIDE_SIGN = re.compile(rf"[{_WIDE}]")
+_is_wide = _Memo(lambda w: _WIDE_SIGN.match(w) is not None)
+_is_word = _Memo(lambda w: w[0] not in _ENDS)
+_is_bare = _Memo(lambda w: w[0] not in _ENDS and not (w[0] in _CLOSE and w[-1] in "SM"))
 
 
 def _kind(words: list[str]) -> tuple[bool, bool]:
     """Whether an end mark stands among the last tokens, and whether half the tokens are of a script without blanks."""
-    return any(w[0] in _ENDS for w in words[-3:]), 2 * sum(1 for w in words if _WIDE_SIGN.match(w)) >= len(words)
+    return any(w[0] in _ENDS for w in words[-3:]), 2 * sum(map(_is_wide.__getitem__, words)) >= len(words)
 
 
 def _long(lengths: dict[tuple[bool, bool], Counter]) -> dict[tuple[bool, bool], int]:
@@ -359,15 +376,11 @@ def _long(lengths: dict[tuple[bool, bool], Counter]) -> dict[tuple[bool, bool],
 
 
 def _length(unit: list[str]) -> int:
-    return sum(1 for w in unit if w[0] not in _ENDS)
-
-
-def _is_bare(w: str) -> bool:
-    return w[0] not in _ENDS and not (w[0] in _CLOSE and w[-1] in "SM")
+    return sum(map(_is_word.__getitem__, unit))
 
 
 def _bared(units: list[list[str]]) -> list[list[str]]:
-    return [c for u in units if (c := [w for w in u if _is_bare(w)])]
+    return [c for u in units if (c := [*filter(_is_bare.__getitem__, u)])]
 
 
 def _with_bare(model: Model, sequences: list[list[list[str]]]) -> Model:
@@ -596,7 +609,7 @@ def fitted(records: DataFrame) -> Model:
                 sure.add((a, b))
             if m <= (1 - SURE) * n:
                 never.add((a, b))
-    vocabulary, bare = _vocabulary(seen, dotted), _vocabulary({w: n for w, n in seen.items() if _is_bare(w)}, {})
+    vocabulary, bare = _vocabulary(seen, dotted), _vocabulary({w: n for w, n in seen.items() if _is_bare[w]}, {})
 
     def grams(cuts, bare=None) -> pa.Table:
         rows = blocks.mapInArrow(_gram_counter(ORDER, vocabulary, bare, cuts, never), "model tinyint, key bigint, history bigint, kept tinyint, n bigint")
