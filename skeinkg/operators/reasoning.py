@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
 from ..functions.sizes import small_or_shuffled
 
 
@@ -22,12 +23,23 @@ class Rule:
     weight: float = 0.8
 
 
-def _derived(facts: DataFrame, rule: Rule) -> DataFrame:
+def _pairs(known: DataFrame, names: set[str]) -> DataFrame:
+    """(pair, relation_id, subject, object, least, most, ids) of the facts of some relations: equal facts once, with their confidences and their ids."""
+    c = F.coalesce("confidence", F.lit(0.0))
+    ids = F.array_distinct(F.flatten(F.collect_list(F.array("triple_id"))))
+    g = known.where(F.col("relation_id").isin(sorted(names))).groupBy("relation_id", "subject", "object").agg(F.min(c).alias("least"), F.max(c).alias("most"), ids.alias("ids"))
+    return checkpointed(g.withColumn("pair", F.monotonically_increasing_id()))
+
+
+def _derived(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """(relation_id, subject, object, confidence, support) of a rule, once for each way through ``pairs``; support holds the pairs. Rounding and the lesser of two keep order, so the greatest confidence of each pair stands for all its facts."""
+
     def atom(k: int) -> DataFrame:
         relation, x, y = rule.body[k]
-        a = facts.where(F.col("relation_id") == relation)
-        a = a.select(F.col("subject").alias(f"v_{x}"), F.col("object").alias(f"v_{y}"), F.coalesce("confidence", F.lit(0.0)).alias(f"c{k}"), F.col("triple_id").alias(f"t{k}")) if x != y else a.where("subject = object").select(F.col("subject").alias(f"v_{x}"), F.coalesce("confidence", F.lit(0.0)).alias(f"c{k}"), F.col("triple_id").alias(f"t{k}"))
-        return a
+        a = pairs.where(F.col("relation_id") == relation)
+        a = a if x != y else a.where("subject = object")
+        ends = [F.col("subject").alias(f"v_{x}")] + [F.col("object").alias(f"v_{y}")] * (x != y)
+        return a.select(*ends, F.col("most" if rule.weight >= 0 else "least").alias(f"c{k}"), F.col("pair").alias(f"t{k}"))
 
     d = atom(0)
     for k in range(1, len(rule.body)):
@@ -45,18 +57,26 @@ def _derived(facts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def inferred(facts: DataFrame, rules: list[Rule], entities: DataFrame | None = None, rounds: int = 1) -> DataFrame:
-    """(triple_id, relation_id, subject, object, confidence, support_ids, supports) derived from (triple_id, relation_id, subject, object, confidence)."""
+    """(triple_id, relation_id, subject, object, confidence, support_ids, supports) derived from (triple_id, relation_id, subject, object, confidence).
+
+    Facts that repeat a pair would multiply in a join, so pairs are joined once each; the ids of their facts come last, once for each derived fact and pair."""
     known, made = facts.select("triple_id", "relation_id", "subject", "object", "confidence"), None
+    names = {r for rule in rules for r, _, _ in (*rule.body, rule.head)}
+    fact = ["relation_id", "subject", "object"]
     for _ in range(rounds):
-        new = None
+        pairs, new = _pairs(known, names), None
         for rule in rules:
-            one = _derived(known, rule)
+            one = _derived(pairs, rule)
             new = one if new is None else new.unionByName(one)
         if entities is not None:
             ids = small_or_shuffled(entities.select("id"))
             new = new.join(ids.select(F.col("id").alias("subject")), "subject", "left_semi").join(ids.select(F.col("id").alias("object")), "object", "left_semi")
-        g = new.groupBy("relation_id", "subject", "object").agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("support")))).alias("support_ids"))
-        g = g.join(known, ["relation_id", "subject", "object"], "left_anti").withColumn("triple_id", F.concat_ws(":", F.lit("inferred"), "relation_id", "subject", "object"))
+        new = new.join(pairs.select(fact), fact, "left_anti")
+        # rows of a fact are put together while they are numbers; where the ids are broadcast they aren't moved again
+        new = new.select(*fact, "confidence", F.explode("support").alias("pair")).repartition("subject", "object")
+        new = new.groupBy(*fact, "pair").agg(F.max("confidence").alias("confidence")).join(small_or_shuffled(pairs).select("pair", "ids"), "pair")
+        g = new.groupBy(*fact).agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("support_ids"))
+        g = g.withColumn("triple_id", F.concat_ws(":", F.lit("inferred"), "relation_id", "subject", "object"))
         made = g if made is None else made.unionByName(g)
         known = known.unionByName(g.select(known.columns))
     return made.select("triple_id", "relation_id", "subject", "object", "confidence", "support_ids", F.size("support_ids").alias("supports"))

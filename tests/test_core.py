@@ -147,6 +147,20 @@ def test_rules(spark):
     assert ("n0", "n3") in rows(reasoning.inferred(chain, trans, rounds=2), "subject", "object")
 
 
+def test_rules_on_repeated_facts(spark, monkeypatch):
+    n = 6_000  # 36 million ways from p by hub to q, if each fact is joined with each
+    f = spark.range(2 * n).selectExpr("cast(id AS string) AS triple_id", "'r' AS relation_id", f"if(id < {n}, 'p', 'hub') AS subject", f"if(id < {n}, 'hub', 'q') AS object", f"CASE id WHEN 7 THEN 0.75 WHEN {n} THEN 0.5 WHEN 8 THEN null ELSE 0.25 END AS confidence")
+    trans = [Rule("t", (("r", "a", "b"), ("r", "b", "c")), ("s", "a", "c"), 0.5)]
+    assert rows(reasoning.inferred(f, trans).selectExpr("*", "support_ids[0] AS first", "size(array_distinct(support_ids)) AS ids"), "subject", "object", "confidence", "supports", "first", "ids") == [("p", "q", 0.25, 2 * n, "0", 2 * n)]
+    # an own loop, a way by two middles, a fact that is known, and ids that aren't broadcast
+    few = [("1", "a", "a", 0.4), ("2", "a", "b", 0.6), ("3", "a", "b", 0.8), ("4", "b", "d", 0.9), ("5", "a", "c", 0.5), ("6", "c", "d", 0.7), ("7", "d", "e", None), ("8", "b", None, 1.0)]
+    g = spark.createDataFrame([(i, "r", s, o, c) for i, s, o, c in few] + [("9", "s", "b", "e", 0.1)], "triple_id string, relation_id string, subject string, object string, confidence double")
+    expected = [("a", "b", 0.2, ["1", "2", "3"]), ("a", "c", 0.2, ["1", "5"]), ("a", "d", 0.4, ["2", "3", "4", "5", "6"]), ("c", "e", 0.0, ["6", "7"])]
+    assert rows(reasoning.inferred(g, trans), "subject", "object", "confidence", "support_ids") == expected
+    monkeypatch.setattr(reasoning, "small_or_shuffled", lambda df: df)
+    assert rows(reasoning.inferred(g, trans), "subject", "object", "confidence", "support_ids") == expected
+
+
 def test_component(spark):
     f = spark.createDataFrame([("1", "a", "r", "b", 1.0, "x", "", ""), ("2", "b", "r", "a", 1.0, "x", "", ""), ("3", "c", "r", "d", 1.0, "x", "", "")], FACT)
     n = spark.createDataFrame([(x,) for x in "abcd"], "id string")
