@@ -8,7 +8,7 @@ Defined results: facts with null ends or relation take no part; a null confidenc
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpointed
@@ -31,6 +31,11 @@ def _pairs(known: DataFrame, names: set[str]) -> DataFrame:
     return checkpointed(g.withColumn("pair", F.monotonically_increasing_id()))
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded as SQL engines round doubles, by the product with a power of ten: 0.7787 / 2 becomes 0.3893, since its product with 10,000 lies below 3893.5; ``F.round`` goes by the shortest decimal, 0.38935."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def _derived(pairs: DataFrame, rule: Rule) -> DataFrame:
     """(relation_id, subject, object, confidence, support) of a rule, once for each way through ``pairs``; support holds the pairs. Rounding and the lesser of two keep order, so the greatest confidence of each pair stands for all its facts."""
 
@@ -52,7 +57,7 @@ def _derived(pairs: DataFrame, rule: Rule) -> DataFrame:
     relation, x, y = rule.head
     end = lambda v: F.col(f"v_{v}") if f"v_{v}" in d.columns else F.lit(v)
     least = F.least(*[F.col(f"c{k}") for k in range(n)]) if n > 1 else F.col("c0")
-    made = d.select(F.lit(relation).alias("relation_id"), end(x).alias("subject"), end(y).alias("object"), F.round(F.round(least * rule.weight, 9), 4).alias("confidence"), F.array(*[F.col(f"t{k}") for k in range(n)]).alias("support"))
+    made = d.select(F.lit(relation).alias("relation_id"), end(x).alias("subject"), end(y).alias("object"), _rounded(_rounded(least * rule.weight, 9), 4).alias("confidence"), F.array(*[F.col(f"t{k}") for k in range(n)]).alias("support"))
     return made.where("subject IS NOT NULL AND object IS NOT NULL AND subject <> object")
 
 

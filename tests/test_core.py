@@ -161,6 +161,16 @@ def test_rules_on_repeated_facts(spark, monkeypatch):
     assert rows(reasoning.inferred(g, trans), "subject", "object", "confidence", "support_ids") == expected
 
 
+def test_rule_confidences_round_as_in_sql(spark):
+    import duckdb
+
+    values = [round(k / 10_000, 4) for k in range(10_001)]
+    f = spark.createDataFrame([(f"{k}", "r", f"a{k}", "b", c) for k, c in enumerate(values)], "triple_id string, relation_id string, subject string, object string, confidence double")
+    for weight in (0.5, 0.7, 0.8):
+        found = dict(rows(reasoning.inferred(f, [Rule("t", (("r", "a", "b"),), ("s", "a", "b"), weight)]), "subject", "confidence"))
+        assert found == dict(duckdb.sql(f"SELECT 'a' || k, round(round(k / 10000.0 * {weight}, 9), 4) FROM range(10001) t(k)").fetchall())
+
+
 def test_component(spark):
     f = spark.createDataFrame([("1", "a", "r", "b", 1.0, "x", "", ""), ("2", "b", "r", "a", 1.0, "x", "", ""), ("3", "c", "r", "d", 1.0, "x", "", "")], FACT)
     n = spark.createDataFrame([(x,) for x in "abcd"], "id string")
